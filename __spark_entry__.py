@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from checks import oracle, stand_in
 from tripfold.functions.expressions import iso_time, plain_date, plain_time
-from tripfold.operators import repair, rollups, trips
+from tripfold.operators import repair, trips
 from tripfold.operators import visits as visiting
 from tripfold.operators.hot import by_heat, hot_entities
 from tripfold.plans import journeys
@@ -117,6 +117,11 @@ def _edge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(edge_candidates(stand_in.part_edges(spark, sf_dir)))
 
 
+def _entity_path_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stand_in.readings(spark, sf_dir)
+    return _flat(journeys.journey_path_rollup(rows, hot_entities(rows)))
+
+
 def _visits_export(visits: DataFrame) -> DataFrame:
     """Visits with their times as the JSON sink writes them."""
     return visits.select(
@@ -156,7 +161,7 @@ def queries() -> dict[str, Query]:
         "visits_export": _per_entity(journeys.journey_visits, _visits_export),
         "visit_days": _per_entity(journeys.journey_visits, visiting.visit_days),
         "visit_destinations": _per_entity(journeys.journey_visits, visiting.visit_destinations),
-        "entity_path_rollup": _paths(rollups.entity_path_rollup),
+        "entity_path_rollup": _entity_path_rollup,
         "itinerary": _per_entity(journeys.journey_itinerary),
         "itinerary_days": _per_entity(journeys.journey_itinerary_days),
         "itinerary_legs": _per_entity(journeys.journey_itinerary_legs),

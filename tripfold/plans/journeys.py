@@ -13,7 +13,12 @@ from pyspark.sql import DataFrame
 
 from tripfold.operators.hot import by_heat
 from tripfold.operators.repair import repair_trips, stitched_trips
-from tripfold.operators.rollups import itinerary, itinerary_days, itinerary_leg_rows
+from tripfold.operators.rollups import (
+    entity_path_rollup,
+    itinerary,
+    itinerary_days,
+    itinerary_leg_rows,
+)
 from tripfold.operators.trips import trip_summary
 from tripfold.operators.visits import visits
 from tripfold.schema import PlaceRules
@@ -64,6 +69,10 @@ def journey_visits(
     return by_heat(readings, hot, build)
 
 
+def journey_path_rollup(readings: DataFrame, hot: Sequence[Any] = ()) -> DataFrame:
+    return by_heat(readings, hot, lambda r, s: entity_path_rollup(by_entity(r, s)))
+
+
 def journey_itinerary(
     readings: DataFrame, lookup: DataFrame, hot: Sequence[Any] = ()
 ) -> DataFrame:

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Time texts carry no zone and count as UTC. Adaptive execution sizes the shuffle partitions
-# and splits skewed joins; it is on by default.
 SETTINGS = {
+    # Time texts carry no zone and count as UTC.
     "spark.sql.session.timeZone": "UTC",
+    # Sizes shuffle partitions at run time and splits skewed joins.
     "spark.sql.adaptive.enabled": "true",
+    # Everything follows one shuffle, so a small partition still carries much work.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # Rows arrive at the list aggregates in key order, from the windows before them: a sort
+    # aggregate passes through, a hash aggregate would sort again beyond its first few keys.
+    "spark.sql.execution.useObjectHashAggregateExec": "false",
 }
 
 
