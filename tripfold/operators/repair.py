@@ -34,7 +34,8 @@ def ends_stitch(rules: PlaceRules = PlaceRules()) -> Column:
 
 
 def _merged(segments: DataFrame, *also: str) -> DataFrame:
-    """One record per segment of trips."""
+    """One record per segment of trips. Its ends do not come from the list of members, so that
+    a plan that needs only them makes no lists."""
     members = nested("members", *TRIP_SUMMARY, by="start_time")
     first, last = F.element_at("members", 1), F.element_at("members", -1)
     merged = (
@@ -43,19 +44,20 @@ def _merged(segments: DataFrame, *also: str) -> DataFrame:
             F.sum("total_time").alias("total_time"),
             # Of distances that are rounded already, and rounded again below.
             F.sum("total_distance").alias("distance"),
+            F.min("date").alias("date"),
+            F.min("start_time").alias("start"),
+            F.min_by("start_place", "start_time").alias("start_place"),
+            F.max_by("end_place", "start_time").alias("end_place"),
             members,
         )
         .select(
             "*",
             first["entity_type"].alias("entity_type"),
-            first["date"].alias("date"),
             F.array_join(F.col("members")["path"], STOP_SEP).alias("path"),
             # The days' reverses in forward order: not the reverse of the whole path.
             F.array_join(F.col("members")["path_rev"], STOP_SEP).alias("path_rev"),
-            day_of_week(first["start_time"]).alias("day_of_week"),
-            first["start_place"].alias("start_place"),
-            last["end_place"].alias("end_place"),
-            first["start_time"].alias("start_time"),
+            day_of_week(F.col("start")).alias("day_of_week"),
+            F.col("start").alias("start_time"),
             last["end_time"].alias("end_time"),
             round3(F.col("distance")).alias("total_distance"),
             speed(F.col("distance"), F.col("total_time")).alias("avg_speed"),

@@ -20,8 +20,8 @@ def nested(name: str, *fields: str, by: str = "pos", descending: bool = False) -
     return rows["row"].alias(name)
 
 
-def last_type(*order: str) -> Column:
-    return F.max_by("entity_type", F.struct(*order)).alias("entity_type")
+def last_type(order) -> Column:
+    return F.max_by("entity_type", order).alias("entity_type")
 
 
 # Timelines and paths.
@@ -71,7 +71,7 @@ def trip_path_array(readings: DataFrame) -> DataFrame:
     """One row per trip, path holding its places in time order."""
     visited = F.sort_array(F.collect_list(F.struct(*READING_ORDER, "place")))
     return readings.groupBy(*TRIP).agg(
-        last_type(*READING_ORDER), visited["place"].alias("path")
+        last_type(F.struct(*READING_ORDER)), visited["place"].alias("path")
     )
 
 
@@ -201,31 +201,36 @@ def estimated_leg_rows(
 # Whole trips.
 
 
-def _trip_columns(stops: Column) -> list[Column]:
-    """Columns common to every trip record, from its ordered stops."""
-    places = stops["place"]
-    return [
-        (F.unix_seconds("end_time") - F.unix_seconds("start_time")).alias("total_time"),
-        F.array_join(places, STOP_SEP).alias("path"),
-        F.array_join(F.reverse(places), STOP_SEP).alias("path_rev"),
-        day_of_week(F.col("date")).alias("day_of_week"),
-        F.element_at(places, 1).alias("start_place"),
-        F.element_at(places, -1).alias("end_place"),
-    ]
-
+def _trips_of(legs: DataFrame, stop: list[str], *more: Column) -> DataFrame:
+    """One row per trip: timed_path of `stop` structs, what derives from it, and `more`.
 
-def _with_hash(trips: DataFrame) -> DataFrame:
+    The ends do not come from the list, so that a plan that needs only them makes no lists.
+    """
+    places = F.col("timed_path")["place"]
+    trips = (
+        legs.groupBy(*TRIP)
+        .agg(
+            last_type("pos"),
+            F.min("ts").alias("start_time"),
+            F.max("ts").alias("end_time"),
+            F.min_by("place", "pos").alias("start_place"),
+            F.max_by("place", "pos").alias("end_place"),
+            nested("timed_path", *stop),
+            *more,
+        )
+        .select(
+            "*",
+            (F.unix_seconds("end_time") - F.unix_seconds("start_time")).alias("total_time"),
+            F.array_join(places, STOP_SEP).alias("path"),
+            F.array_join(F.reverse(places), STOP_SEP).alias("path_rev"),
+            day_of_week(F.col("date")).alias("day_of_week"),
+        )
+    )
     return trips.withColumn("path_hash", path_hash(F.col("path"), F.col("path_rev")))
 
 
 def _trip_records(legs: DataFrame, *leg_fields: str) -> DataFrame:
-    trips = legs.groupBy(*TRIP).agg(
-        last_type("pos"),
-        F.min("ts").alias("start_time"),
-        F.max("ts").alias("end_time"),
-        nested("timed_path", *leg_fields),
-    )
-    return _with_hash(trips.select("*", *_trip_columns(F.col("timed_path")))).select(
+    return _trips_of(legs, list(leg_fields)).select(
         *TRIP,
         "entity_type",
         "total_time",
@@ -277,18 +282,8 @@ def trip_summary(
 ) -> DataFrame:
     """One row per trip with its totals, path, ends; with `timed` also its chosen legs."""
     stop = ["ts", "place", "elapsed", "distance", "speed"] if timed else ["place"]
-    trips = (
-        estimated_leg_rows(readings, lookup, pick, limit, spread)
-        .groupBy(*TRIP)
-        .agg(
-            last_type("pos"),
-            F.min("ts").alias("start_time"),
-            F.max("ts").alias("end_time"),
-            F.sum("distance").alias("distance"),
-            nested("timed_path", *stop),
-        )
-    )
-    trips = _with_hash(trips.select("*", *_trip_columns(F.col("timed_path"))))
+    legs = estimated_leg_rows(readings, lookup, pick, limit, spread)
+    trips = _trips_of(legs, stop, F.sum("distance").alias("distance"))
     trips = trips.select(
         "*",
         round3(F.col("distance")).alias("total_distance"),
