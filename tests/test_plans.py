@@ -53,7 +53,8 @@ def test_one_shuffle_by_trip(spark, name, keys):
 
 def test_path_counts_are_combined_before_their_shuffle(spark):
     plan = final_plan(contract.queries()["path_frequency"](spark, SF_DIR))
-    assert shuffles(plan) == ["path", "entity_id, date"] or len(shuffles(plan)) == 2
+    # A hash of the path text, over partial counts; and the readings by trip.
+    assert len(shuffles(plan)) == 2 and shuffles(plan)[1] == "entity_id, date"
     assert "partial_count" in plan
 
 
@@ -64,10 +65,26 @@ def test_scan_reads_only_what_is_used(spark):
 
 def test_hot_entities_never_gather_readings_by_entity(spark, lookup):
     rows = stand_in.readings(spark, SF_DIR)
-    plan = final_plan(journeys.journey_visits(rows, lookup, hot=[1, 2]))
+    lines = final_plan(journeys.journey_visits(rows, lookup, hot=[1, 2])).splitlines()
+    spread = lines[[n for n, line in enumerate(lines) if "Project" in line and line.startswith("+-")][-1] :]
+    moved = [
+        (re.sub(r"#\d+L?", "", line), spread[n + 1])
+        for n, line in enumerate(spread)
+        if re.search(r" Exchange hashpartitioning", line)
+    ]
+    assert any("entity_id, date, slice" in line for line, _ in moved)
     by_entity = [
-        line for line in plan.splitlines() if re.search(r"Exchange hashpartitioning\(entity_id#\d+L?, \d+\)", line)
+        below
+        for line, below in moved
+        if re.search(r"hashpartitioning\(entity_id(, good)?, \d", line)
     ]
-    # One for the ordinary readings; those of the spread plan carry no paths and no readings.
-    assert by_entity
-    assert "slice" in " ".join(shuffles(plan))
+    assert len(by_entity) == 2
+    for below in by_entity:
+        # Short rows, one per trip.
+        assert "Project" in below and "start_time" in below
+        assert not re.search(r"path|members|reading_id", below)
+
+
+def test_nothing_hot_means_the_plain_plan(spark, lookup):
+    rows = stand_in.readings(spark, SF_DIR)
+    assert "Union" not in final_plan(journeys.journey_visits(rows, lookup))

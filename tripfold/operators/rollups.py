@@ -13,10 +13,10 @@ from tripfold.operators.visits import DAILY
 from tripfold.schema import DAY_SEP
 
 
-def entity_path_rollup(readings: DataFrame) -> DataFrame:
+def entity_path_rollup(readings: DataFrame, placed: bool = False) -> DataFrame:
     """days_span is the number of days with readings; path has them in date order."""
     return (
-        trip_path_string(readings)
+        trip_path_string(readings, placed)
         .groupBy("entity_id")
         .agg(
             F.max_by("entity_type", "date").alias("entity_type"),

@@ -67,16 +67,21 @@ def trip_path_rows(readings: DataFrame, spread: bool = False) -> DataFrame:
     return in_order(readings, spread).select(*TRIP, "entity_type", "pos", "place")
 
 
-def trip_path_array(readings: DataFrame) -> DataFrame:
-    """One row per trip, path holding its places in time order."""
+def trip_path_array(readings: DataFrame, placed: bool = False) -> DataFrame:
+    """One row per trip, path holding its places in time order.
+
+    Lists do not shrink by being combined before the shuffle, so readings that are not `placed`
+    by trip or entity yet are moved first, and grouped once where they arrive.
+    """
     visited = F.sort_array(F.collect_list(F.struct(*READING_ORDER, "place")))
+    readings = readings if placed else readings.repartition(*TRIP)
     return readings.groupBy(*TRIP).agg(
         last_type(F.struct(*READING_ORDER)), visited["place"].alias("path")
     )
 
 
-def trip_path_string(readings: DataFrame) -> DataFrame:
-    return trip_path_array(readings).withColumn("path", F.array_join("path", STOP_SEP))
+def trip_path_string(readings: DataFrame, placed: bool = False) -> DataFrame:
+    return trip_path_array(readings, placed).withColumn("path", F.array_join("path", STOP_SEP))
 
 
 def _path_both_ways(readings: DataFrame) -> DataFrame:

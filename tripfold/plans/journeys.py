@@ -70,7 +70,7 @@ def journey_visits(
 
 
 def journey_path_rollup(readings: DataFrame, hot: Sequence[Any] = ()) -> DataFrame:
-    return by_heat(readings, hot, lambda r, s: entity_path_rollup(by_entity(r, s)))
+    return by_heat(readings, hot, lambda r, s: entity_path_rollup(by_entity(r, s), not s))
 
 
 def journey_itinerary(

@@ -63,9 +63,10 @@ class HotRule:
     """When an entity counts as hot: more than `factor` times an even share of the rows.
 
     Rows are counted in `buckets` hash buckets, so an even share is 1/buckets of the rows and
-    at most buckets/factor entities can be hot. Below `min_rows` nothing is worth splitting.
+    at most buckets/factor entities can be hot. One task deals with `min_rows` readings of an
+    entity in minutes, so below that nothing is worth splitting.
     """
 
     buckets: int = 65_536
     factor: float = 5.0
-    min_rows: int = 1_000_000
+    min_rows: int = 10_000_000
