@@ -16,11 +16,16 @@ def in_order(readings: DataFrame, spread: bool = False, slice_seconds: int = 60)
     """
     if spread:
         return _in_sliced_order(readings, slice_seconds)
-    order = Window.partitionBy(*TRIP).orderBy(*READING_ORDER)
-    return (
-        readings.withColumn("pos", F.row_number().over(order))
-        .withColumn("prev_ts", F.lag("ts").over(order))
-        .withColumn("prev_place", F.lag("place").over(order))
+    return _numbered(readings, TRIP)
+
+
+def _numbered(readings: DataFrame, keys: list[str]) -> DataFrame:
+    order = f"PARTITION BY {', '.join(keys)} ORDER BY {', '.join(READING_ORDER)}"
+    return readings.selectExpr(
+        "*",
+        f"row_number() OVER ({order}) AS pos",
+        f"lag(ts) OVER ({order}) AS prev_ts",
+        f"lag(place) OVER ({order}) AS prev_place",
     )
 
 
@@ -43,13 +48,7 @@ def _in_sliced_order(readings: DataFrame, slice_seconds: int) -> DataFrame:
         F.lag("tail").over(over_slices).alias("tail_before"),
     )
 
-    order = Window.partitionBy(*slices).orderBy(*READING_ORDER)
-    local = (
-        sliced.withColumn("pos", F.row_number().over(order))
-        .withColumn("prev_ts", F.lag("ts").over(order))
-        .withColumn("prev_place", F.lag("place").over(order))
-    )
-    return local.join(carried, slices).select(
+    return _numbered(sliced, slices).join(carried, slices).select(
         *readings.columns,
         (F.col("pos") + F.col("n_before")).cast("int").alias("pos"),
         F.coalesce("prev_ts", "tail_before.ts").alias("prev_ts"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TRIP_ORDER = ["start_time", "date"]
@@ -19,19 +19,21 @@ def add_segment(trips: DataFrame, keys: list[str], closes: Column) -> DataFrame:
     closes, the next one opens and cannot, and so on. That is the parity of their running count
     since the last trip for which it does not hold. All windows share one sort.
     """
-    order = Window.partitionBy(*keys).orderBy(*TRIP_ORDER)
-    up_to_here = order.rowsBetween(Window.unboundedPreceding, 0)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    helpers = ["prev_end_place", "nth", "may_close", "n_may", "n_at_break", "does_close"]
+    order = f"PARTITION BY {', '.join(keys)} ORDER BY {', '.join(TRIP_ORDER)}"
+    so_far = f"{order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    before = f"{order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    does_close = "may_close AND (n_may - n_at_break) % 2 = 1"
     return (
-        trips.withColumn("prev_end_place", F.lag("end_place").over(order))
-        .withColumn("nth", F.row_number().over(order))
+        trips.selectExpr(
+            "*",
+            f"lag(end_place) OVER ({order}) AS prev_end_place",
+            f"row_number() OVER ({order}) AS nth",
+        )
         .withColumn("may_close", (F.col("nth") > 1) & closes)
-        .withColumn("n_may", F.sum(F.col("may_close").cast("int")).over(up_to_here))
-        .withColumn("n_at_break", F.max(F.when(~F.col("may_close"), F.col("n_may"))).over(up_to_here))
-        .withColumn("does_close", F.col("may_close") & ((F.col("n_may") - F.col("n_at_break")) % 2 == 1))
-        .withColumn("segment", F.coalesce(F.sum(F.col("does_close").cast("int")).over(before), F.lit(0)))
-        .drop(*helpers)
+        .selectExpr("*", f"count_if(may_close) OVER ({so_far}) AS n_may")
+        .selectExpr("*", f"max(IF(may_close, NULL, n_may)) OVER ({so_far}) AS n_at_break")
+        .selectExpr("*", f"count_if({does_close}) OVER ({before}) AS segment")
+        .drop("prev_end_place", "nth", "may_close", "n_may", "n_at_break")
     )
 
 

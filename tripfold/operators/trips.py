@@ -16,8 +16,8 @@ from tripfold.schema import SPEED_LIMIT, STOP_SEP
 
 def nested(name: str, *fields: str, by: str = "pos", descending: bool = False) -> Column:
     """Aggregate: the rows of a group as an array of `fields`, ordered by `by`."""
-    rows = F.sort_array(F.collect_list(F.struct(by, F.struct(*fields).alias("row"))), not descending)
-    return rows["row"].alias(name)
+    row = f"struct({by}, struct({', '.join(fields)}) AS row)"
+    return F.expr(f"sort_array(collect_list({row}), {not descending}).row").alias(name)
 
 
 def last_type(order) -> Column:

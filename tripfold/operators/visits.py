@@ -57,18 +57,13 @@ def ends_visit(rules: PlaceRules = PlaceRules()) -> Column:
     return rules.at_entrance(F.col("end_place")) | rules.at_base(F.col("end_place"))
 
 
-def daily_records(members: Column, days_since, day_count) -> Column:
-    """The trips of a visit as DAILY structs; the two callables take (trip, position)."""
-
-    def record(m: Column, i: Column) -> Column:
-        values = {
-            "days_since": days_since(m, i),
-            "day_in_visit": day_count(m, i),
-            "hash": m["path_hash"],
-        }
-        return F.struct(*((values[c] if c in values else m[c]).alias(c) for c in DAILY))
-
-    return F.transform(members, record)
+# A trip's record has its own columns but for these.
+_DAYS_SINCE = (
+    "bigint(datediff(date(m.start_time), date(element_at(members, greatest(i, 1)).start_time)))"
+)
+_DAY_IN_VISIT = "bigint(datediff(date(m.start_time), date(members[0].start_time)))"
+_RENAMED = {"days_since": _DAYS_SINCE, "day_in_visit": _DAY_IN_VISIT, "hash": "m.path_hash"}
+_RECORD = ", ".join(f"{_RENAMED.get(c, 'm.' + c)} AS {c}" for c in DAILY)
 
 
 _SLIM = ["entity_id", "date", "start_time", "start_place", "end_place"]
@@ -107,13 +102,6 @@ def visits(
     members = F.col("members")
     first, last = F.element_at(members, 1), F.element_at(members, -1)
 
-    def days_since(m: Column, i: Column) -> Column:
-        previous = F.element_at(members, F.greatest(i, F.lit(1)))
-        return calendar_days(previous["start_time"], m["start_time"])
-
-    def day_in_visit(m: Column, i: Column) -> Column:
-        return calendar_days(first["start_time"], m["start_time"])
-
     whole = segments.groupBy("entity_id", "segment").agg(
         F.sum("total_time").alias("total_time"),
         F.sum("total_distance").alias("total_distance"),
@@ -124,7 +112,7 @@ def visits(
         first["entity_type"].alias("entity_type"),
         calendar_days(first["start_time"], last["start_time"]).alias("total_days"),
         speed(F.col("total_distance"), F.col("total_time")).alias("avg_speed"),
-        daily_records(members, days_since, day_in_visit).alias("daily_records"),
+        F.expr(f"transform(members, (m, i) -> struct({_RECORD}))").alias("daily_records"),
         F.array_join(members["path"], DAY_SEP).alias("path"),
         F.array_join(members["path_rev"], DAY_SEP).alias("path_rev"),
         first["start_place"].alias("start_place"),
