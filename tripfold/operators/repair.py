@@ -33,37 +33,56 @@ def ends_stitch(rules: PlaceRules = PlaceRules()) -> Column:
     return rules.at_entrance(end) | (rules.at_base(end) & jumped)
 
 
-def _merged(segments: DataFrame, *also: str) -> DataFrame:
-    """One record per segment of trips. Its ends do not come from the list of members, so that
-    a plan that needs only them makes no lists."""
-    members = nested("members", *TRIP_SUMMARY, by="start_time")
-    first, last = F.element_at("members", 1), F.element_at("members", -1)
-    merged = (
-        segments.groupBy("entity_id", *also, "segment")
-        .agg(
-            F.sum("total_time").alias("total_time"),
-            # Of distances that are rounded already, and rounded again below.
-            F.sum("total_distance").alias("distance"),
+_MEMBER = [
+    "entity_type",
+    "date",
+    "avg_speed",
+    "path",
+    "path_rev",
+    "start_place",
+    "end_place",
+    "start_time",
+    "end_time",
+]
+
+
+def _merged(segments: DataFrame, spread: bool, *also: str) -> DataFrame:
+    """One record per segment of trips. On the spread plan its ends are aggregates of their own,
+    so that a step that needs only them makes no lists there."""
+    members = F.col("members")
+    first, last = F.element_at(members, 1), F.element_at(members, -1)
+    totals = [
+        F.sum("total_time").alias("total_time"),
+        # Of distances that are rounded already, and rounded again below.
+        F.sum("total_distance").alias("distance"),
+        nested("members", *_MEMBER, by="start_time"),
+    ]
+    if spread:
+        ends = [
             F.min("date").alias("date"),
-            F.min("start_time").alias("start"),
+            F.min("start_time").alias("start_time"),
             F.min_by("start_place", "start_time").alias("start_place"),
             F.max_by("end_place", "start_time").alias("end_place"),
-            members,
-        )
-        .select(
+        ]
+        merged = segments.groupBy("entity_id", *also, "segment").agg(*totals, *ends)
+    else:
+        merged = segments.groupBy("entity_id", *also, "segment").agg(*totals)
+        merged = merged.select(
             "*",
-            first["entity_type"].alias("entity_type"),
-            F.array_join(F.col("members")["path"], STOP_SEP).alias("path"),
-            # The days' reverses in forward order: not the reverse of the whole path.
-            F.array_join(F.col("members")["path_rev"], STOP_SEP).alias("path_rev"),
-            day_of_week(F.col("start")).alias("day_of_week"),
-            F.col("start").alias("start_time"),
-            last["end_time"].alias("end_time"),
-            round3(F.col("distance")).alias("total_distance"),
-            speed(F.col("distance"), F.col("total_time")).alias("avg_speed"),
+            *(first[c].alias(c) for c in ("date", "start_time", "start_place")),
+            last["end_place"].alias("end_place"),
         )
-    )
-    return merged.withColumn("path_hash", path_hash(F.col("path"), F.col("path_rev")))
+    return merged.select(
+        "*",
+        first["entity_type"].alias("entity_type"),
+        F.array_join(members["path"], STOP_SEP).alias("path"),
+        # The days' reverses in forward order: not the reverse of the whole path.
+        F.array_join(members["path_rev"], STOP_SEP).alias("path_rev"),
+        day_of_week(F.col("start_time")).alias("day_of_week"),
+        last["end_time"].alias("end_time"),
+        round3(F.col("distance")).alias("total_distance"),
+        speed(F.col("distance"), F.col("total_time")).alias("avg_speed"),
+    ).withColumn("path_hash", path_hash(F.col("path"), F.col("path_rev")))
 
 
 _SLIM = ["entity_id", "date", "start_time", "start_place", "end_place", "good"]
@@ -81,7 +100,7 @@ def stitched_trips(
         lambda t: add_segment(t, ["entity_id"], ends_stitch(rules)),
         spread,
     )
-    return _merged(segments).select(*TRIP_SUMMARY)
+    return _merged(segments, spread).select(*TRIP_SUMMARY)
 
 
 def repair_trips(
@@ -103,7 +122,7 @@ def repair_trips(
     # A good trip keeps its own average speed, taken from the unrounded distance.
     own_speed = F.element_at("members", 1)["avg_speed"]
     return (
-        _merged(segments, "good")
+        _merged(segments, spread, "good")
         .withColumn("avg_speed", F.when(F.col("good"), own_speed).otherwise(F.col("avg_speed")))
         .select(*TRIP_SUMMARY)
     )

@@ -206,40 +206,54 @@ def estimated_leg_rows(
 # Whole trips.
 
 
-def _trips_of(legs: DataFrame, stop: list[str], *more: Column) -> DataFrame:
-    """One row per trip: timed_path of `stop` structs, what derives from it, and `more`.
+def _trips_of(legs: DataFrame, stop: list[str], spread: bool, *more: Column) -> DataFrame:
+    """One row per trip: stops as structs of at least `stop`, what derives from them, and `more`.
 
-    The ends do not come from the list, so that a plan that needs only them makes no lists.
+    A single list is the cheapest aggregate that gives everything. On the spread plan the ends
+    are aggregates of their own, so that a step that needs only them makes no lists there.
     """
-    places = F.col("timed_path")["place"]
-    trips = (
-        legs.groupBy(*TRIP)
-        .agg(
-            last_type("pos"),
+    stops = F.col("stops")
+    fields = list(dict.fromkeys([*stop, "place", "ts", "entity_type"]))
+    first, last = F.element_at(stops, 1), F.element_at(stops, -1)
+    if spread:
+        ends = [
             F.min("ts").alias("start_time"),
             F.max("ts").alias("end_time"),
             F.min_by("place", "pos").alias("start_place"),
             F.max_by("place", "pos").alias("end_place"),
-            nested("timed_path", *stop),
-            *more,
-        )
-        .select(
+        ]
+        trips = legs.groupBy(*TRIP).agg(nested("stops", *fields), *ends, *more)
+    else:
+        trips = legs.groupBy(*TRIP).agg(nested("stops", *fields), *more)
+        trips = trips.select(
             "*",
-            (F.unix_seconds("end_time") - F.unix_seconds("start_time")).alias("total_time"),
-            F.array_join(places, STOP_SEP).alias("path"),
-            F.array_join(F.reverse(places), STOP_SEP).alias("path_rev"),
-            day_of_week(F.col("date")).alias("day_of_week"),
+            first["ts"].alias("start_time"),
+            last["ts"].alias("end_time"),
+            first["place"].alias("start_place"),
+            last["place"].alias("end_place"),
         )
-    )
-    return trips.withColumn("path_hash", path_hash(F.col("path"), F.col("path_rev")))
+    return trips.select(
+        "*",
+        last["entity_type"].alias("entity_type"),
+        (F.unix_seconds("end_time") - F.unix_seconds("start_time")).alias("total_time"),
+        F.array_join(stops["place"], STOP_SEP).alias("path"),
+        F.array_join(F.reverse(stops["place"]), STOP_SEP).alias("path_rev"),
+        day_of_week(F.col("date")).alias("day_of_week"),
+    ).withColumn("path_hash", path_hash(F.col("path"), F.col("path_rev")))
+
+
+def _timed_path(*fields: str) -> Column:
+    """The stops with `fields` only."""
+    row = ", ".join(f"s.{field} AS {field}" for field in fields)
+    return F.expr(f"transform(stops, s -> struct({row}))").alias("timed_path")
 
 
-def _trip_records(legs: DataFrame, *leg_fields: str) -> DataFrame:
-    return _trips_of(legs, list(leg_fields)).select(
+def _trip_records(legs: DataFrame, spread: bool, *leg_fields: str) -> DataFrame:
+    return _trips_of(legs, list(leg_fields), spread).select(
         *TRIP,
         "entity_type",
         "total_time",
-        "timed_path",
+        _timed_path(*leg_fields),
         "path",
         "path_rev",
         "path_hash",
@@ -250,13 +264,13 @@ def _trip_records(legs: DataFrame, *leg_fields: str) -> DataFrame:
 def trip_legs(readings: DataFrame, lookup: DataFrame, spread: bool = False) -> DataFrame:
     """One row per trip, timed_path holding (ts, place, elapsed, distance, speed)."""
     rows = trip_leg_rows(readings, lookup, spread)
-    return _trip_records(rows, "ts", "place", "elapsed", "distance", "speed")
+    return _trip_records(rows, spread, "ts", "place", "elapsed", "distance", "speed")
 
 
 def trip_leg_candidates(readings: DataFrame, lookup: DataFrame, spread: bool = False) -> DataFrame:
     """One row per trip, timed_path holding (ts, place, elapsed, candidates)."""
     rows = trip_candidate_legs(readings, lookup, spread)
-    return _trip_records(rows, "ts", "place", "elapsed", "candidates")
+    return _trip_records(rows, spread, "ts", "place", "elapsed", "candidates")
 
 
 TRIP_SUMMARY = [
@@ -286,12 +300,11 @@ def trip_summary(
     timed: bool = False,
 ) -> DataFrame:
     """One row per trip with its totals, path, ends; with `timed` also its chosen legs."""
-    stop = ["ts", "place", "elapsed", "distance", "speed"] if timed else ["place"]
+    stop = ["ts", "place", "elapsed", "distance", "speed"] if timed else []
     legs = estimated_leg_rows(readings, lookup, pick, limit, spread)
-    trips = _trips_of(legs, stop, F.sum("distance").alias("distance"))
-    trips = trips.select(
+    trips = _trips_of(legs, stop, spread, F.sum("distance").alias("distance")).select(
         "*",
         round3(F.col("distance")).alias("total_distance"),
         speed(F.col("distance"), F.col("total_time")).alias("avg_speed"),
     )
-    return trips.select(*TRIP_SUMMARY, *(["timed_path"] if timed else []))
+    return trips.select(*TRIP_SUMMARY, *([_timed_path(*stop)] if timed else []))
