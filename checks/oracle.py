@@ -33,6 +33,11 @@ def _speed(distance: str, seconds: str) -> str:
     return f"{distance} * 3600 / nullif({seconds}, 0)"
 
 
+def _sum(rounded: str) -> str:
+    """Sum of rounded values, independent of their order."""
+    return f"CAST(sum(CAST(round({rounded} * 1000000) AS BIGINT)) AS DOUBLE) / 1000000"
+
+
 def _unix(ts: str) -> str:
     return f"CAST(epoch({ts}) AS BIGINT)"
 
@@ -152,7 +157,7 @@ _STEPS: dict[str, str] = {
         FROM (
             SELECT entity_id, segment, arg_min(entity_type, start_time) AS entity_type,
                 min(date) AS date, CAST(sum(total_time) AS BIGINT) AS total_time,
-                sum(total_distance) AS distance,
+                {_sum('total_distance')} AS distance,
                 string_agg(path, ':' ORDER BY start_time) AS path,
                 string_agg(path_rev, ':' ORDER BY start_time) AS path_rev,
                 arg_min(start_place, start_time) AS start_place,
@@ -186,7 +191,7 @@ _STEPS: dict[str, str] = {
         FROM (
             SELECT entity_id, segment, arg_min(entity_type, start_time) AS entity_type,
                 max(day_in_visit) AS total_days, CAST(sum(total_time) AS BIGINT) AS total_time,
-                sum(total_distance) AS total_distance,
+                {_sum('total_distance')} AS total_distance,
                 string_agg(path, '||' ORDER BY pos) AS path,
                 string_agg(path_rev, '||' ORDER BY pos) AS path_rev,
                 arg_min(start_place, start_time) AS start_place,
@@ -402,8 +407,8 @@ def statements() -> dict[str, str]:
             f"""SELECT entity_id, arg_max(entity_type, start_time) AS entity_type,
                 CAST(sum(days_since) AS BIGINT) AS total_days,
                 CAST(sum(total_time) AS BIGINT) AS total_time,
-                sum(total_distance) AS total_distance,
-                {_speed('sum(total_distance)', 'sum(total_time)')} AS avg_speed,
+                {_sum('total_distance')} AS total_distance,
+                {_speed('(' + _sum('total_distance') + ')', 'sum(total_time)')} AS avg_speed,
                 string_agg(path, '||' ORDER BY start_time) AS path,
                 {_signed('CAST(sum(path_hash * 31) AS BIGINT)')} AS path_hash,
                 arg_min(start_place, start_time) AS start_place,

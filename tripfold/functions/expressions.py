@@ -44,6 +44,14 @@ def round3(value: Column) -> Column:
     return F.bround(value, 3)
 
 
+def exact_sum(rounded: Column) -> Column:
+    """Aggregate: sum of values of few decimals, the same in any order of adding.
+
+    Summed as whole millionths, so that a retried or split task cannot change the last digit.
+    """
+    return F.sum(F.rint(rounded * 1_000_000).cast("bigint")) / 1_000_000
+
+
 def speed(distance: Column, seconds: Column) -> Column:
     """Distance per hour; NULL for zero seconds."""
     return F.try_divide(distance * 3600, seconds)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripfold.functions.expressions import day_of_week, path_hash, round3, speed
+from tripfold.functions.expressions import day_of_week, exact_sum, path_hash, round3, speed
 from tripfold.operators.segments import add_segment, attach
 from tripfold.operators.trips import TRIP_SUMMARY, nested
 from tripfold.schema import STOP_SEP, PlaceRules
@@ -54,7 +54,7 @@ def _merged(segments: DataFrame, spread: bool, *also: str) -> DataFrame:
     totals = [
         F.sum("total_time").alias("total_time"),
         # Of distances that are rounded already, and rounded again below.
-        F.sum("total_distance").alias("distance"),
+        exact_sum(F.col("total_distance")).alias("distance"),
         nested("members", *_MEMBER, by="start_time"),
     ]
     if spread:

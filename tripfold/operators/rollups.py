@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripfold.functions.expressions import speed, to_int32, whole_days
+from tripfold.functions.expressions import exact_sum, speed, to_int32, whole_days
 from tripfold.operators.ordering import TRIP
 from tripfold.operators.segments import TRIP_ORDER, attach
 from tripfold.operators.trips import estimated_leg_rows, nested, trip_path_string, trip_summary
@@ -111,7 +111,7 @@ def itinerary(readings: DataFrame, lookup: DataFrame, spread: bool = False) -> D
         days.groupBy("entity_id")
         .agg(
             F.sum("total_time").alias("total_time"),
-            F.sum("total_distance").alias("total_distance"),
+            exact_sum(F.col("total_distance")).alias("total_distance"),
             to_int32(F.sum(F.col("path_hash").cast("bigint") * 31)).alias("path_hash"),
             nested(
                 "members",

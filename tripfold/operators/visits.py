@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripfold.functions.expressions import calendar_days, path_hash, speed
+from tripfold.functions.expressions import calendar_days, exact_sum, path_hash, speed
 from tripfold.operators.segments import add_segment, attach
 from tripfold.operators.trips import nested
 from tripfold.schema import DAY_SEP, DESTINATION_SEP, PlaceRules
@@ -104,7 +104,7 @@ def visits(
 
     whole = segments.groupBy("entity_id", "segment").agg(
         F.sum("total_time").alias("total_time"),
-        F.sum("total_distance").alias("total_distance"),
+        exact_sum(F.col("total_distance")).alias("total_distance"),
         nested("members", *_MEMBER, by="start_time"),
     )
     whole = whole.select(
