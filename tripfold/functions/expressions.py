@@ -76,7 +76,7 @@ def text_hash(text: Column) -> Column:
     """The 32-bit string hash of the JVM.
 
     Called through `reflect`, which answers as text. Folding over the characters with a lambda
-    gives the same, but measured forty times slower.
+    gives the same, but took eight times as long over two million short texts.
     """
     return F.reflect(F.lit("java.util.Objects"), F.lit("hashCode"), text).cast("bigint")
 
