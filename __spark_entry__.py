@@ -20,6 +20,14 @@ from tripfold.plans import journeys
 from tripfold.sources.edges import edge_candidates, edge_distances, edge_lookup
 from tripfold.sources.readings import describe_readings, normalise, with_day_of_week
 
+try:  # the corpus operators are optional
+    import corpus_pipeline
+    from tripfold.llm import queries as corpus
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "tripfold.llm"):
+        raise
+    corpus = corpus_pipeline = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
@@ -133,7 +141,8 @@ def _visits_export(visits: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {
+    found = corpus.queries() | {"pipeline": corpus_pipeline.run} if corpus else {}
+    return found | {
         "readings_normalised": _readings_normalised,
         "readings_dow": _readings_dow,
         "edge_candidates": _edge_candidates,
@@ -183,7 +192,7 @@ def _stranded_trips(readings: DataFrame, lookup: DataFrame, spread: bool) -> Dat
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.statements()
+    return oracle.statements() | (corpus.oracle_sql() if corpus else {})
 
 
 def entry(spark: SparkSession) -> DataFrame:
