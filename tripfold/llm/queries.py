@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripfold.llm import mixing, quality, secrets, simhash, warc
+from tripfold.llm import bitslice, graph, mixing, quality, secrets, simhash, warc
 from tripfold.llm.common import id_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return graph.nearest(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     return found.drop("live", "body_hash")
@@ -39,13 +44,27 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op7_bitslice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return bitslice.top_products(rows, rows.where(F.col("vec_id") % 50 == 0), k=5, scale=256)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality, op5_secrets, op6_warc, op8_mixing)}
+    found = (
+        op1_simhash,
+        op2_quality,
+        op3_graph,
+        op5_secrets,
+        op6_warc,
+        op7_bitslice,
+        op8_mixing,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": warc.PAGES_SQL, "op8_mixing": mixing.TAKEN_SQL}
+    return {"op6_warc": warc.PAGES_SQL, "op7_bitslice": bitslice.PRODUCTS_SQL, "op8_mixing": mixing.TAKEN_SQL}
