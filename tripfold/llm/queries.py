@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripfold.llm import bitslice, graph, mixing, quality, secrets, simhash, warc
+from tripfold.llm import bitslice, graph, lm, mixing, quality, secrets, simhash, toxicity, warc
 from tripfold.llm.common import id_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def op3_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.nearest(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op4_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"), id_fold("doc_id", 5) == 1)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     return found.drop("live", "body_hash")
@@ -53,15 +57,31 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learn = labels.where(id_fold("doc_id", 3) != 1)
+    model = toxicity.train(docs, learn, at=0.7)
+    scored = docs.select("doc_id", "lang", toxicity.score_column(F.col("text"), model).alias("score"))
+    return scored.select(
+        "doc_id",
+        F.coalesce(id_fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        toxicity.flagged(F.col("score"), F.col("lang"), model).alias("flagged_by_language"),
+    )
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_simhash,
         op2_quality,
         op3_graph,
+        op4_bilinear,
         op5_secrets,
         op6_warc,
         op7_bitslice,
         op8_mixing,
+        op9_toxicity,
     )
     return {f.__name__: f for f in found}
 
