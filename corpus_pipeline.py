@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripfold.llm import mixing, quality, secrets, simhash
+from tripfold.llm import mixing, pieces, quality, secrets, simhash
 from tripfold.llm.common import shared_dir, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -37,11 +37,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.repeated(docs)
 
 
+def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every document, as piece ids that decode to its text."""
+    return pieces.segmentations(docs, k=2)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality", keep_good),
     ("near_duplicates", drop_copies),
     ("secrets", hide_secrets),
     ("mixing", mix_sources),
+    ("pieces", to_pieces),
 ]
 
 #: Hashing, training and sampling have no SQL counterpart.

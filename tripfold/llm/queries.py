@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripfold.llm import bitslice, graph, lm, mixing, quality, secrets, simhash, toxicity, warc
+from tripfold.llm import bitslice, graph, lm, mixing, pieces, quality, secrets, simhash, toxicity, warc
 from tripfold.llm.common import id_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.segmentation_digests(table(spark, sf_dir, "documents"), k=2)
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_simhash,
@@ -82,6 +86,7 @@ def queries() -> dict[str, Query]:
         op7_bitslice,
         op8_mixing,
         op9_toxicity,
+        op10_pieces,
     )
     return {f.__name__: f for f in found}
 
