@@ -18,7 +18,7 @@ from tripfold.operators import visits as visiting
 from tripfold.operators.hot import by_heat, hot_entities
 from tripfold.plans import journeys
 from tripfold.sources.edges import edge_candidates, edge_distances, edge_lookup
-from tripfold.sources.readings import describe_readings, normalise, with_day_of_week
+from tripfold.sources.readings import describe_readings, normalise, rejected, with_day_of_week
 
 try:  # the corpus operators are optional
     import corpus_pipeline
@@ -130,6 +130,30 @@ def _entity_path_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(journeys.journey_path_rollup(rows, hot_entities(rows)))
 
 
+def _all_spread(operator) -> Query:
+    """Every entity treated as a hot one."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lookup = edge_lookup(stand_in.edges(spark))
+        return _flat(operator(stand_in.readings(spark, sf_dir), lookup, spread=True))
+
+    return query
+
+
+def _spread_visits(readings: DataFrame, lookup: DataFrame, spread: bool) -> DataFrame:
+    summary = trips.trip_summary(readings, lookup, spread=spread)
+    return visiting.visits(repair.repair_trips(summary, spread=spread), spread=spread)
+
+
+def _shuffled_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lookup = edge_lookup(stand_in.edges(spark), max_bytes=0)
+    return _flat(trips.trip_summary(stand_in.readings(spark, sf_dir), lookup))
+
+
+def _readings_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(rejected(stand_in.broken_readings(spark, sf_dir)))
+
+
 def _visits_export(visits: DataFrame) -> DataFrame:
     """Visits with their times as the JSON sink writes them."""
     return visits.select(
@@ -142,9 +166,14 @@ def _visits_export(visits: DataFrame) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = corpus.queries() | {"pipeline": corpus_pipeline.run} if corpus else {}
-    return found | {
+    return trip_queries() | found
+
+
+def trip_queries() -> dict[str, Query]:
+    return {
         "readings_normalised": _readings_normalised,
         "readings_dow": _readings_dow,
+        "readings_rejected": _readings_rejected,
         "edge_candidates": _edge_candidates,
         "edge_distances": _edge_distances,
         "trip_timeline": _per_reading(trips.trip_timeline_rows),
@@ -160,6 +189,8 @@ def queries() -> dict[str, Query]:
         "trip_leg_candidates": _per_leg(trips.trip_leg_candidate_rows),
         "trip_leg_candidates_records": _per_leg(_candidate_records),
         "trip_summary": _per_leg(trips.trip_summary),
+        "trip_summary_spread": _all_spread(trips.trip_summary),
+        "trip_summary_shuffled_lookup": _shuffled_lookup,
         "trip_summary_closest": _per_leg(trips.trip_summary, pick="closest"),
         "good_trips": _per_leg(_good_trips),
         "stranded_trips": _per_leg(_stranded_trips),
@@ -167,6 +198,7 @@ def queries() -> dict[str, Query]:
         "repaired_trips": _per_entity(journeys.journey_repaired),
         "visit_candidates": _per_entity(journeys.journey_repaired, visiting.visit_candidates),
         "visits": _per_entity(journeys.journey_visits),
+        "visits_spread": _all_spread(_spread_visits),
         "visits_export": _per_entity(journeys.journey_visits, _visits_export),
         "visit_days": _per_entity(journeys.journey_visits, visiting.visit_days),
         "visit_destinations": _per_entity(journeys.journey_visits, visiting.visit_destinations),

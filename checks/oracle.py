@@ -288,13 +288,25 @@ _PATH_RECORD_OUT = f"""entity_id, {_day('date')} AS date, entity_type, total_tim
 
 
 def statements() -> dict[str, str]:
-    return {
+    found = {
         "readings_normalised": with_steps(
             f"""SELECT reading_id, entity_id::VARCHAR AS entity_id, entity_type, place,
                 {_day('date')} AS date, {_unix('ts')} AS unix_time, {_STAMP} AS datetime
             FROM readings""",
             "readings",
         ),
+        "readings_rejected": with_steps(
+            """SELECT reading_id, CASE WHEN reading_id % 5 <> 0 THEN entity_id::VARCHAR END AS entity_id,
+                entity_type, CASE WHEN reading_id % 3 <> 0 THEN place END AS place,
+                CASE WHEN reading_id % 7 = 0 THEN 'no time'
+                    WHEN reading_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S')
+                    ELSE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS time_text,
+                CASE WHEN reading_id % 5 = 0 THEN 'no entity' WHEN reading_id % 3 = 0 THEN 'no place'
+                    ELSE 'unreadable time' END AS reason
+            FROM readings
+            WHERE reading_id % 3 = 0 OR reading_id % 5 = 0 OR reading_id % 7 = 0""",
+            "readings",
+        ),
         "readings_dow": with_steps(
             f"""SELECT reading_id, entity_id, entity_type, {_TIMED}, {_day('date')} AS date,
                 {_dow('ts')} AS day_of_week
@@ -431,3 +443,6 @@ def statements() -> dict[str, str]:
             "days",
         ),
     }
+    # Other plans for the same results.
+    found["trip_summary_spread"] = found["trip_summary_shuffled_lookup"] = found["trip_summary"]
+    return found | {"visits_spread": found["visits"]}

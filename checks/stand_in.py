@@ -81,3 +81,15 @@ def raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("entity_type").alias(RAW_TYPE),
         F.col("place").alias(RAW_PLACE),
     )
+
+
+def broken_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw readings of which every third lacks its place, every fifth its entity, every seventh a
+    readable time."""
+    n = F.col("reading_id")
+    return (
+        raw_readings(spark, sf_dir)
+        .withColumn(RAW_PLACE, F.when(n % 3 != 0, F.col(f"`{RAW_PLACE}`")))
+        .withColumn(RAW_ENTITY, F.when(n % 5 != 0, F.col(f"`{RAW_ENTITY}`")))
+        .withColumn(RAW_TIME, F.when(n % 7 != 0, F.col(f"`{RAW_TIME}`")).otherwise("no time"))
+    )

@@ -3,16 +3,17 @@
 import pytest
 
 import __spark_entry__ as contract
+from checks import oracle
 from checks.compare import difference, frames
 
 SF_DIR = "/root/testdata/sf0.01"
 
 
 def test_every_query_has_sql():
-    assert contract.queries().keys() == contract.oracle_sql().keys()
+    assert contract.trip_queries().keys() == oracle.statements().keys()
 
 
-@pytest.mark.parametrize("name", contract.queries())
+@pytest.mark.parametrize("name", contract.trip_queries())
 def test_query_equals_sql(spark, name):
     ours, theirs = frames(spark, name, SF_DIR)
     assert len(ours) > 0

@@ -22,7 +22,7 @@ def shuffles(plan: str) -> list[str]:
     return [re.sub(r"#\d+L?", "", k).rsplit(",", 1)[0] for k in keys]
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(contract.trip_queries()))
 def test_no_python_and_no_nested_loops(spark, name):
     plan = contract.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     for node in ("Python", "Arrow", "CartesianProduct", "NestedLoop", "SinglePartition"):

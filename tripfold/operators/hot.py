@@ -33,7 +33,7 @@ def hot_entities(readings: DataFrame, rule: HotRule = HotRule()) -> list[Any]:
     if not suspects:
         return []
     heavy = (
-        readings.where(bucket.isin(suspects))
+        readings.where(bucket.isin(suspects) & F.col("entity_id").isNotNull())
         .groupBy("entity_id")
         .count()
         .where(F.col("count") > limit)
@@ -45,8 +45,11 @@ def hot_entities(readings: DataFrame, rule: HotRule = HotRule()) -> list[Any]:
 def by_heat(
     rows: DataFrame, hot: Sequence[Any], build: Callable[[DataFrame, bool], DataFrame]
 ) -> DataFrame:
-    """build(rows, spread=False), with hot entities, if any, built apart with spread=True."""
+    """build(rows, spread=False), with hot entities, if any, built apart with spread=True.
+
+    Rows without an entity are never hot, and stay with the others.
+    """
     if not hot:
         return build(rows, False)
-    is_hot = F.col("entity_id").isin(list(hot))
+    is_hot = F.coalesce(F.col("entity_id").isin(list(hot)), F.lit(False))
     return build(rows.where(~is_hot), False).unionByName(build(rows.where(is_hot), True))

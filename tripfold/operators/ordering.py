@@ -48,9 +48,11 @@ def _in_sliced_order(readings: DataFrame, slice_seconds: int) -> DataFrame:
         F.lag("tail").over(over_slices).alias("tail_before"),
     )
 
+    # Only a slice's first reading has its predecessor in another slice; its place may be NULL.
+    is_first = F.col("pos") == 1
     return _numbered(sliced, slices).join(carried, slices).select(
         *readings.columns,
         (F.col("pos") + F.col("n_before")).cast("int").alias("pos"),
-        F.coalesce("prev_ts", "tail_before.ts").alias("prev_ts"),
-        F.coalesce("prev_place", "tail_before.place").alias("prev_place"),
+        F.when(is_first, F.col("tail_before.ts")).otherwise(F.col("prev_ts")).alias("prev_ts"),
+        F.when(is_first, F.col("tail_before.place")).otherwise(F.col("prev_place")).alias("prev_place"),
     )

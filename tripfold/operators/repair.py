@@ -12,12 +12,13 @@ from tripfold.schema import STOP_SEP, PlaceRules
 
 
 def is_good(rules: PlaceRules = PlaceRules()) -> Column:
-    """A trip that starts and ends at a boundary place, and takes time."""
-    return (
+    """A trip that starts and ends at a boundary place, and takes time; not if a place is NULL."""
+    good = (
         rules.is_boundary(F.col("start_place"))
         & rules.is_boundary(F.col("end_place"))
         & (F.col("start_time") != F.col("end_time"))
     )
+    return F.coalesce(good, F.lit(False))
 
 
 def good_trips(trips: DataFrame, rules: PlaceRules = PlaceRules()) -> DataFrame:

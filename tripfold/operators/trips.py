@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripfold.functions.expressions import day_of_week, path_hash, round3, speed
+from tripfold.functions.expressions import any_order_sum, day_of_week, path_hash, round3, speed
 from tripfold.operators.ordering import READING_ORDER, TRIP, in_order
 from tripfold.schema import SPEED_LIMIT, STOP_SEP
 
@@ -213,7 +213,7 @@ def _trips_of(legs: DataFrame, stop: list[str], spread: bool, *more: Column) ->
     are aggregates of their own, so that a step that needs only them makes no lists there.
     """
     stops = F.col("stops")
-    fields = list(dict.fromkeys([*stop, "place", "ts", "entity_type"]))
+    fields = list(dict.fromkeys([*stop, "place", "ts", *([] if spread else ["entity_type"])]))
     first, last = F.element_at(stops, 1), F.element_at(stops, -1)
     if spread:
         ends = [
@@ -221,6 +221,7 @@ def _trips_of(legs: DataFrame, stop: list[str], spread: bool, *more: Column) ->
             F.max("ts").alias("end_time"),
             F.min_by("place", "pos").alias("start_place"),
             F.max_by("place", "pos").alias("end_place"),
+            F.max_by("entity_type", "pos").alias("entity_type"),
         ]
         trips = legs.groupBy(*TRIP).agg(nested("stops", *fields), *ends, *more)
     else:
@@ -231,10 +232,10 @@ def _trips_of(legs: DataFrame, stop: list[str], spread: bool, *more: Column) ->
             last["ts"].alias("end_time"),
             first["place"].alias("start_place"),
             last["place"].alias("end_place"),
+            last["entity_type"].alias("entity_type"),
         )
     return trips.select(
         "*",
-        last["entity_type"].alias("entity_type"),
         (F.unix_seconds("end_time") - F.unix_seconds("start_time")).alias("total_time"),
         F.array_join(stops["place"], STOP_SEP).alias("path"),
         F.array_join(F.reverse(stops["place"]), STOP_SEP).alias("path_rev"),
@@ -302,7 +303,7 @@ def trip_summary(
     """One row per trip with its totals, path, ends; with `timed` also its chosen legs."""
     stop = ["ts", "place", "elapsed", "distance", "speed"] if timed else []
     legs = estimated_leg_rows(readings, lookup, pick, limit, spread)
-    trips = _trips_of(legs, stop, spread, F.sum("distance").alias("distance")).select(
+    trips = _trips_of(legs, stop, spread, any_order_sum(F.col("distance")).alias("distance")).select(
         "*",
         round3(F.col("distance")).alias("total_distance"),
         speed(F.col("distance"), F.col("total_time")).alias("avg_speed"),

@@ -1,5 +1,8 @@
 """The batch job: readings and edges in CSV, visits (and repaired trips) out in JSON.
 
+Readings are parsed once and trips made once: both are kept as Parquet in the work folder, beside
+what was rejected, and later steps read them from there.
+
 Run as python -m tripfold.plans.job READINGS EDGES VISITS_OUT [TRIPS_OUT]
 """
 
@@ -7,15 +10,15 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from tripfold.operators.hot import hot_entities
-from tripfold.plans.journeys import journey_repaired, journey_visits
+from tripfold.plans.journeys import journey_repaired, visits_of
 from tripfold.schema import HotRule, PlaceRules
 from tripfold.session import configure
-from tripfold.sinks.files import write_json
-from tripfold.sources.edges import edge_lookup, read_edges
-from tripfold.sources.readings import read_readings
+from tripfold.sinks.files import write_json, write_parquet
+from tripfold.sources.edges import edge_lookup, read_edges, rejected_edges
+from tripfold.sources.readings import normalise, read_raw_readings, rejected
 
 
 def run(
@@ -27,14 +30,32 @@ def run(
     rules: PlaceRules = PlaceRules(),
     heat: HotRule = HotRule(),
     single_file: bool = False,
-) -> None:
+    work_path: str | None = None,
+) -> dict[str, int]:
+    """Writes the results; returns how many readings and edges were rejected.
+
+    The work folder is `visits_path` with `.work` behind it unless given, and must not exist.
+    """
     configure(spark)
-    readings = read_readings(spark, readings_path)
+    work = work_path or visits_path.rstrip("/") + ".work"
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        write_parquet(rows, f"{work}/{name}")
+        return spark.read.parquet(f"{work}/{name}")
+
+    raw = read_raw_readings(spark, readings_path)
+    readings = kept(normalise(raw), "readings")
+    rejects = {
+        "readings": kept(rejected(raw), "rejected_readings").count(),
+        "edges": kept(rejected_edges(spark, edges_path), "rejected_edges").count(),
+    }
     lookup = edge_lookup(read_edges(spark, edges_path))
     hot = hot_entities(readings, heat)
+    repaired = kept(journey_repaired(readings, lookup, rules, hot), "repaired_trips")
     if trips_path:
-        write_json(journey_repaired(readings, lookup, rules, hot), trips_path, single_file=single_file)
-    write_json(journey_visits(readings, lookup, rules, hot), visits_path, single_file=single_file)
+        write_json(repaired, trips_path, single_file=single_file)
+    write_json(visits_of(repaired, rules, hot), visits_path, single_file=single_file)
+    return rejects
 
 
 if __name__ == "__main__":

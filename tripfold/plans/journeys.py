@@ -69,6 +69,13 @@ def journey_visits(
     return by_heat(readings, hot, build)
 
 
+def visits_of(
+    repaired: DataFrame, rules: PlaceRules = PlaceRules(), hot: Sequence[Any] = ()
+) -> DataFrame:
+    """Visits from repaired trips that are there already."""
+    return by_heat(repaired, hot, lambda r, spread: visits(r, rules, spread))
+
+
 def journey_path_rollup(readings: DataFrame, hot: Sequence[Any] = ()) -> DataFrame:
     return by_heat(readings, hot, lambda r, s: entity_path_rollup(by_entity(r, s), not s))
 

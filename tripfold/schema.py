@@ -23,14 +23,6 @@ RAW_READINGS = T.StructType(
     [T.StructField(name, T.StringType()) for name in (RAW_TIME, RAW_ENTITY, RAW_TYPE, RAW_PLACE)]
 )
 
-RAW_EDGES = T.StructType(
-    [
-        T.StructField("source", T.StringType()),
-        T.StructField("target", T.StringType()),
-        T.StructField("distance", T.DoubleType()),
-    ]
-)
-
 
 @dataclass(frozen=True)
 class PlaceRules:

@@ -14,10 +14,12 @@ def write_json(
 ) -> None:
     """JSON lines; every timestamp, nested ones too, as ISO text with a literal Z.
 
-    A single file means a single task writes everything, so it is for small results only.
+    A single file means a single task writes everything, so it is for small results only; making
+    them is not drawn into that task. NULL fields are written as null.
     """
-    rows = rows.coalesce(1) if single_file else rows
+    rows = rows.repartition(1) if single_file else rows
     writer = rows.write.mode(mode).option("timestampFormat", ISO_TIME)
+    writer = writer.option("ignoreNullFields", False)
     writer.option("dateFormat", DATE).json(path)
 
 
@@ -27,5 +29,10 @@ def write_parquet(
     mode: str = "errorifexists",
     partition_by: Sequence[str] = (),
 ) -> None:
-    """Parquet; partitioned by date, trips can be read back a day at a time."""
+    """Parquet; partitioned by date, trips can be read back a day at a time.
+
+    Rows are placed by partition first, so that a date is a few files, and a large date is split.
+    """
+    if partition_by:
+        rows = rows.hint("rebalance", *partition_by)
     rows.write.mode(mode).partitionBy(*partition_by).parquet(path)

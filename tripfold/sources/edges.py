@@ -5,20 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripfold.schema import RAW_EDGES
+from tripfold.sources.named import read_named
 
 # What may be sent to every executor: measured before the hint is given.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV edge list with a header line: source, target, distance."""
-    return spark.read.schema(RAW_EDGES).option("header", True).csv(path)
+    """A CSV edge list whose header names source, target and distance, in any order.
+
+    Edges without a readable distance are left out; `rejected_edges` lists them.
+    """
+    return _parsed_edges(spark, path).where("distance IS NOT NULL").drop("distance_text")
+
+
+def rejected_edges(spark: SparkSession, path: str) -> DataFrame:
+    return _parsed_edges(spark, path).where("distance IS NULL").drop("distance")
+
+
+def _parsed_edges(spark: SparkSession, path: str) -> DataFrame:
+    raw = read_named(spark, path, ["source", "target", "distance"])
+    return raw.select(
+        "source",
+        "target",
+        F.col("distance").try_cast("double").alias("distance"),
+        F.col("distance").alias("distance_text"),
+    )
 
 
 def edge_candidates(edges: DataFrame) -> DataFrame:
-    """One row per (source, target, distance), with the number of equal parallel edges."""
-    return edges.groupBy("source", "target", "distance").agg(F.count("*").alias("copies"))
+    """One row per (source, target, distance), with the number of equal parallel edges.
+
+    Edges with a NULL distance are no candidates.
+    """
+    return edges.where("distance IS NOT NULL").groupBy("source", "target", "distance").agg(F.count("*").alias("copies"))
 
 
 def edge_distances(edges: DataFrame) -> DataFrame:

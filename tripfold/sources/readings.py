@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tripfold.functions.expressions import day_of_week, parse_time, plain_time
 from tripfold.schema import RAW_ENTITY, RAW_PLACE, RAW_READINGS, RAW_TIME, RAW_TYPE
+from tripfold.sources.named import read_named
 
 
 def read_raw_readings(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV table of readings with a header line, every column text."""
-    return spark.read.schema(RAW_READINGS).option("header", True).csv(path)
+    """A CSV table of readings whose header names the columns, in any order; all text."""
+    return read_named(spark, path, RAW_READINGS.names)
 
 
 def read_readings(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
@@ -49,9 +50,9 @@ def normalise(raw: DataFrame, strict: bool = False) -> DataFrame:
     parsed = _parsed(raw)
     if strict:
         complaint = F.concat(F.lit("unusable reading at "), F.coalesce("time_text", F.lit("NULL")))
-        parsed = parsed.withColumn(
-            "ts", F.when(_unusable(), F.raise_error(complaint)).otherwise(F.col("ts"))
-        )
+        # A condition, not a column: a query that uses no column still meets it.
+        fails = F.raise_error(complaint).cast("boolean")
+        parsed = parsed.where(F.when(_unusable(), fails).otherwise(F.lit(True)))
     else:
         parsed = parsed.where(~_unusable())
     return with_date(parsed.drop("time_text"))
