@@ -177,14 +177,19 @@ def _dealt(rows: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
 
 
 def close_links(
-    prints: DataFrame, distance: int = 3, hot_rows: int = 2_000, task_rows: int = 200_000
+    prints: DataFrame,
+    distance: int = 3,
+    hot_rows: int = 2_000,
+    task_rows: int = 200_000,
+    depth: int = 3,
 ) -> DataFrame:
     """`a, b`: links between distinct fingerprints (`fp`), enough to connect all that are close.
 
     Groups that share a block's bits are dealt out again by blocks of their other bits while they
     hold more than `hot_rows`, or a thousandth of all rows; such groups number a thousand per
     block at most, however large the input. A pair differs on the other bits only, so the argument
-    above holds at every step.
+    above holds at every step. After `depth` steps a group agrees on more than half of its bits and
+    is left to one task's index, as it may be one cluster that no bits part.
     """
     spark = prints.sparkSession
     whole = prints.select("fp", F.lit(0).cast("long").alias("mask"))
@@ -197,8 +202,9 @@ def close_links(
         total = counts.agg(F.sum("count")).first()[0] or 0
         limit = limit or max(hot_rows, total // 1000)
         hot = [tuple(r) for r in counts.where(F.col("count") > limit).select("mask", "shared").collect()]
-        if not hot:
+        if not hot or not depth:
             break
+        depth -= 1
         keys = F.broadcast(spark.createDataFrame(hot, "mask long, shared long"))
         cool = rows.join(keys, ["mask", "shared"], "left_anti")
         ready = cool if ready is None else ready.unionByName(cool)
