@@ -13,12 +13,13 @@ from tripfold.llm import bitslice, graph, lm, mixing, pieces, quality, secrets,
 from tripfold.llm.common import id_fold
 from tripfold.llm.components import connected_components
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, label string, fp long, rank int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, label string, fp long, rank int, "
+DOCS += "copies long, row long, doc string, hit string, marked_id long, mix_words string, component_id string"
 
 
 def docs_of(spark, rows):
     """Documents with columns whose names clash with those the operators make."""
-    full = [(i, t, lang, src, None if t is None else len(t), "x", 5, 1) for i, t, lang, src in rows]
+    full = [(i, t, lang, src, None if t is None else len(t), "x", 5, 1, 9, 9, "x", "x", 9, "x", "x") for i, t, lang, src in rows]
     return spark.createDataFrame(full, DOCS).repartition(3)
 
 

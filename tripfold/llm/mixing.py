@@ -130,17 +130,18 @@ def repeated(docs: DataFrame) -> DataFrame:
 
     Words of a part are joined by blanks, and its n_chars follows.
     """
-    names = docs.columns
-    mixed = mix(docs.withColumn("mix_words", word_count(F.col("text"))), size="mix_words")
+    # Whole rows in one column, so that no other name of theirs meets the names made here.
+    packed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct("*").alias("doc"))
+    mixed = mix(packed)
     copies = F.col("mix_whole") + (F.col("mix_part") > 0).cast("long")
     each = mixed.where(copies > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
-    partial = (F.col("mix_copy") > F.col("mix_whole")) & (F.col("mix_part") < F.col("mix_words"))
-    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("mix_part").cast("int"))
+    partial = (F.col("mix_copy") > F.col("mix_whole")) & (F.col("mix_part") < F.col("size"))
+    words = F.slice(F.regexp_extract_all("doc.text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("mix_part").cast("int"))
     columns = {
-        "text": F.when(partial, F.array_join(words, " ")).otherwise(F.col("text")),
-        "n_chars": F.when(partial, F.length(F.array_join(words, " ")).cast("long")).otherwise(F.col("n_chars")),
+        "text": F.when(partial, F.array_join(words, " ")).otherwise(F.col("doc.text")),
+        "n_chars": F.when(partial, F.length(F.array_join(words, " ")).cast("long")).otherwise(F.col("doc.n_chars")),
     }
-    return each.select(*(columns.get(c, F.col(c)).alias(c) for c in names))
+    return each.select(*(columns[c].alias(c) if c in columns else F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
 
 
 def taken(docs: DataFrame) -> DataFrame:

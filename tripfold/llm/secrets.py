@@ -189,14 +189,16 @@ def redact(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
             F.first("live").alias("marked_spans")
         )
     )
-    same = docs["doc_id"].eqNullSafe(marks["marked_id"]) & (F.xxhash64(docs["text"]) == marks["marked_text"])
-    joined = docs.join(marks, same, "left")
+    # Whole rows in one column, so that no other name of theirs meets the names made here.
+    rows = docs.select(F.struct("*").alias("doc"))
+    same = F.col("doc.doc_id").eqNullSafe(F.col("marked_id")) & (F.xxhash64("doc.text") == F.col("marked_text"))
+    joined = rows.join(marks, same, "left")
     hit = F.col("marked_spans").isNotNull()
-    some = F.coalesce("marked_spans", F.array().cast("array<struct<start:long,end:long>>"))
-    text = F.when(F.col("text").isNull(), F.lit(None)).otherwise(cleaned(F.coalesce("text", F.lit("")), some))
-    new = joined.withColumn("marked_new", text)
+    body = F.col("doc.text")
+    text = F.when(hit & body.isNotNull(), cleaned(F.coalesce(body, F.lit("")), F.coalesce("marked_spans", F.array().cast("array<struct<start:long,end:long>>")))).otherwise(body)
+    new = joined.select("doc", hit.alias("hit"), text.alias("cleaned"))
     columns = {
-        "text": F.col("marked_new"),
-        "n_chars": F.when(hit, F.length("marked_new").cast("long")).otherwise(F.col("n_chars")),
+        "text": F.col("cleaned"),
+        "n_chars": F.when(F.col("hit"), F.length("cleaned").cast("long")).otherwise(F.col("doc.n_chars")),
     }
-    return new.select(*(columns.get(c, F.col(c)).alias(c) for c in docs.columns))
+    return new.select(*(columns[c].alias(c) if c in columns else F.col(f"doc.`{c}`").alias(c) for c in docs.columns))

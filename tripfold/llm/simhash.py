@@ -274,16 +274,16 @@ def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFra
         .groupBy("doc_id")
         .agg(F.count("*").alias("copies"))
     )
-    names = docs.columns
-    kept = docs.join(stay, "doc_id")
-    single = kept.where("copies = 1").select(names)
-    repeated = kept.where("copies > 1").dropDuplicates(["doc_id"]).select(names)
-    out = single.unionByName(repeated)
+    # Whole rows in one column, so that no other name of theirs meets the names made here.
+    kept = docs.select("doc_id", F.struct("*").alias("doc")).join(stay, "doc_id")
+    single = kept.where("copies = 1").select("doc")
+    repeated = kept.where("copies > 1").dropDuplicates(["doc_id"]).select("doc")
+    out = single.unionByName(repeated).select("doc.*")
     nameless = docs.where(F.col("doc_id").isNull())
     if nameless.isEmpty():
         return out
     alone = found.where("doc_id IS NULL AND component_id IS NULL").select("fingerprint").distinct()
-    texts = nameless.select(F.xxhash64("text").alias("row"), *names)
+    texts = nameless.select(F.xxhash64("text").alias("row"), "text", F.struct("*").alias("doc"))
     prints = checkpoint(
         fingerprints(texts, "row", "text", shingle)
         .select(
@@ -295,4 +295,5 @@ def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFra
         .agg(F.min("row").alias("row"))
         .select("row")
     )
-    return out.unionByName(texts.join(prints, "row").dropDuplicates(["row"]).select(names))
+    chosen = texts.join(prints, "row").dropDuplicates(["row"])
+    return out.unionByName(chosen.select("doc.*"))
