@@ -141,8 +141,45 @@ def _all_spread(operator) -> Query:
 
 
 def _spread_visits(readings: DataFrame, lookup: DataFrame, spread: bool) -> DataFrame:
-    summary = trips.trip_summary(readings, lookup, spread=spread)
-    return visiting.visits(repair.repair_trips(summary, spread=spread), spread=spread)
+    summary, ends = trips.trip_summary(readings, lookup, spread=spread), trips.trip_ends(readings)
+    repaired = repair.repair_trips(summary, spread=spread, ends=ends)
+    return visiting.visits(repaired, spread=spread, ends=repair.repaired_ends(ends))
+
+
+def _list_rows(name: str, *keys: str) -> Callable[[DataFrame], DataFrame]:
+    """The structs of a nested list as rows, numbered from 1."""
+
+    def rows(records: DataFrame) -> DataFrame:
+        each = records.select(*keys, F.posexplode(name).alias("at", "item"))
+        return each.select(*keys, (F.col("at") + 1).alias("pos"), "item.*")
+
+    return rows
+
+
+def _legs_list(readings: DataFrame, lookup: DataFrame, spread: bool) -> DataFrame:
+    return _list_rows("timed_path", "entity_id", "date")(trips.trip_legs(readings, lookup, spread))
+
+
+def _candidates_list(readings: DataFrame, lookup: DataFrame, spread: bool) -> DataFrame:
+    records = trips.trip_leg_candidates(readings, lookup, spread)
+    legs = _list_rows("timed_path", "entity_id", "date")(records)
+    keys = ["entity_id", "date", "pos", "ts", "place", "elapsed"]
+    each = legs.select(*keys, F.posexplode_outer("candidates").alias("at", "way"))
+    return each.select(*keys, (F.col("at") + 1).alias("candidate"), "way.distance", "way.speed")
+
+
+def _part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips whose edges come from a supplied table."""
+    rows = stand_in.readings(spark, sf_dir)
+    lookup = edge_lookup(stand_in.place_edges(spark, sf_dir))
+    return _flat(
+        by_heat(rows, hot_entities(rows), lambda r, s: trips.trip_summary(r, lookup, spread=s))
+    )
+
+
+def _entity_path_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stand_in.readings(spark, sf_dir)
+    return _flat(journeys.journey_path_rows(rows, hot_entities(rows)))
 
 
 def _shuffled_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,6 +243,20 @@ def trip_queries() -> dict[str, Query]:
         "itinerary": _per_entity(journeys.journey_itinerary),
         "itinerary_days": _per_entity(journeys.journey_itinerary_days),
         "itinerary_legs": _per_entity(journeys.journey_itinerary_legs),
+        "itinerary_timed_path": _per_entity(
+            journeys.journey_itinerary, _list_rows("timed_path", "entity_id")
+        ),
+        "itinerary_daily_records": _per_entity(
+            journeys.journey_itinerary, _list_rows("daily_records", "entity_id")
+        ),
+        "trip_legs_list": _per_leg(_legs_list),
+        "trip_leg_candidates_list": _per_leg(_candidates_list),
+        "trip_summary_part_edges": _part_edges,
+        "trip_totals": _per_entity(journeys.journey_trip_totals),
+        "repaired_totals": _per_entity(journeys.journey_repaired_totals),
+        "visit_totals": _per_entity(journeys.journey_visit_totals),
+        "itinerary_totals": _per_entity(journeys.journey_itinerary_totals),
+        "entity_path_rows": _entity_path_rows,
     }
 
 

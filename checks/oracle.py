@@ -5,7 +5,7 @@ Statements are chains of named steps. `with_steps` puts together the steps a fin
 
 from __future__ import annotations
 
-from checks.stand_in import PLACE_OF, edge_values
+from checks.stand_in import NUMBERED, PLACE_OF, edge_values
 
 _CASES = " ".join(f"WHEN '{e}' THEN '{p}'" for e, p in PLACE_OF.items())
 
@@ -241,7 +241,12 @@ _USES = {
 }
 
 
-def with_steps(select: str, *last: str) -> str:
+_NAMES = "[" + ", ".join(f"'{p}'" for p in NUMBERED) + "]"
+_PLACE_EDGES = f"""SELECT {_NAMES}[(p_partkey % 5)::INT + 1] AS source,
+    {_NAMES}[(p_size % 5)::INT + 1] AS target, p_size / 16 AS distance FROM part"""
+
+
+def with_steps(select: str, *last: str, edges: str | None = None) -> str:
     needed: list[str] = []
 
     def need(step: str) -> None:
@@ -252,7 +257,8 @@ def with_steps(select: str, *last: str) -> str:
 
     for step in last:
         need(step)
-    ctes = ",\n".join(f"{step} AS ({_STEPS[step]})" for step in needed)
+    steps = _STEPS | ({"edges": edges} if edges else {})
+    ctes = ",\n".join(f"{step} AS ({steps[step]})" for step in needed)
     return f"WITH {ctes}\n{select}"
 
 
@@ -261,6 +267,11 @@ _TRIP_OUT = (
     "path, path_rev, path_hash, day_of_week, start_place, end_place, "
     f"{_unix('start_time')} AS start_time, {_unix('end_time')} AS end_time"
 )
+_TOTALS_OUT = (
+    f"entity_id, entity_type, {_day('date')} AS date, total_time, total_distance, avg_speed, "
+    f"day_of_week, start_place, end_place, {_unix('start_time')} AS start_time, "
+    f"{_unix('end_time')} AS end_time"
+)
 _ROW = f"entity_id, {_day('date')} AS date, entity_type, pos"
 _TIMED = f"{_unix('ts')} AS ts, place"
 _STAMP = "strftime(ts, '%Y-%m-%d %H:%M:%S')"
@@ -443,6 +454,72 @@ def statements() -> dict[str, str]:
             "days",
         ),
     }
+    # Totals without paths, and what the nested lists hold.
+    found |= {
+        "trip_totals": with_steps(f"SELECT {_TOTALS_OUT} FROM trips", "trips"),
+        "repaired_totals": with_steps(f"SELECT {_TOTALS_OUT} FROM repaired", "repaired"),
+        "visit_totals": with_steps(
+            f"""SELECT entity_id, entity_type, total_days, total_time, total_distance, avg_speed,
+                start_place, end_place, {_unix('start_time')} AS start_time,
+                {_unix('end_time')} AS end_time
+            FROM visits""",
+            "visits",
+        ),
+        "itinerary_totals": with_steps(
+            f"""SELECT entity_id, arg_max(entity_type, start_time) AS entity_type,
+                CAST(sum(days_since) AS BIGINT) AS total_days,
+                CAST(sum(total_time) AS BIGINT) AS total_time,
+                {_sum('total_distance')} AS total_distance,
+                {_speed('(' + _sum('total_distance') + ')', 'sum(total_time)')} AS avg_speed,
+                arg_min(start_place, start_time) AS start_place,
+                arg_max(end_place, start_time) AS end_place,
+                {_unix('min(start_time)')} AS start_time,
+                {_unix('arg_max(end_time, start_time)')} AS end_time
+            FROM days GROUP BY entity_id""",
+            "days",
+        ),
+        "entity_path_rows": with_steps(
+            f"""SELECT o.entity_id, {_day('o.date')} AS date, d.days_span, d.day, o.pos, o.place
+            FROM ordered o JOIN (
+                SELECT entity_id, date, count(*) OVER (PARTITION BY entity_id) AS days_span,
+                    row_number() OVER (PARTITION BY entity_id ORDER BY date) AS day
+                FROM ordered GROUP BY entity_id, date) d
+            ON o.entity_id = d.entity_id AND o.date = d.date""",
+            "ordered",
+        ),
+        "trip_legs_list": with_steps(
+            f"""SELECT entity_id, {_day('date')} AS date, pos, {_TIMED}, elapsed,
+                coalesce(min_distance, 0.0)::DOUBLE AS distance,
+                {_speed('coalesce(min_distance, 0.0)::DOUBLE', 'elapsed')} AS speed
+            FROM located""",
+            "located",
+        ),
+        "trip_leg_candidates_list": with_steps(
+            f"""SELECT entity_id, {_day('date')} AS date, pos, {_TIMED}, elapsed,
+                CASE WHEN e.distance IS NOT NULL THEN row_number() OVER
+                    (PARTITION BY entity_id, date, pos ORDER BY e.distance) END AS candidate,
+                e.distance AS distance, {_speed('e.distance', 'elapsed')} AS speed
+            FROM located l LEFT JOIN edges e ON l.prev_place = e.source AND l.place = e.target""",
+            "located",
+        ),
+        "itinerary_timed_path": with_steps(
+            f"""SELECT l.entity_id, {_TIMED}, l.elapsed, l.distance, d.days_to_next,
+                row_number() OVER (PARTITION BY l.entity_id ORDER BY l.date, l.pos) AS pos,
+                coalesce({_speed('l.distance', 'l.elapsed')}, 0) AS speed
+            FROM lowest l JOIN days d ON l.entity_id = d.entity_id AND l.date = d.date""",
+            "lowest",
+            "days",
+        ),
+        "itinerary_daily_records": with_steps(
+            f"""SELECT entity_id, {_DAILY},
+                row_number() OVER (PARTITION BY entity_id ORDER BY date) AS pos
+            FROM numbered_days""",
+            "numbered_days",
+        ),
+        "trip_summary_part_edges": with_steps(
+            f"SELECT {_TRIP_OUT} FROM trips", "trips", edges=_PLACE_EDGES
+        ),
+    }
     # Other plans for the same results.
     found["trip_summary_spread"] = found["trip_summary_shuffled_lookup"] = found["trip_summary"]
     return found | {"visits_spread": found["visits"]}

@@ -51,6 +51,18 @@ def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def place_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between the five places, many of them parallel: the part's number gives the source,
+    its size the target and the distance."""
+    names = F.array(*map(F.lit, NUMBERED))
+    parts = configure(spark).read.parquet(f"{sf_dir}/part.parquet")
+    return parts.select(
+        F.get(names, (F.col("p_partkey") % 5).cast("int")).alias("source"),
+        F.get(names, (F.col("p_size") % 5).cast("int")).alias("target"),
+        (F.col("p_size") / 16).alias("distance"),
+    )
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = configure(spark).read.parquet(f"{sf_dir}/events.parquet")
     place = F.lit(None).cast("string")

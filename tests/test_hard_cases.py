@@ -10,6 +10,7 @@ from tripfold.functions.expressions import text_hash
 from tripfold.operators.hot import by_heat, hot_entities
 from tripfold.operators.repair import good_trips, stranded_trips
 from tripfold.operators.trips import path_signature, trip_summary
+from tripfold.plans import journeys
 from tripfold.plans.job import run
 from tripfold.plans.journeys import journey_visits
 from tripfold.schema import HotRule
@@ -51,6 +52,16 @@ def test_plain_and_spread_plans_give_equal_values(spark):
     assert plain == rows_of(trip_summary(readings, edge_lookup(odd_edges(spark), max_bytes=0)))
 
 
+@pytest.mark.parametrize("name", ["trip", "repaired", "visit", "itinerary"])
+def test_totals_are_equal_whatever_is_hot(spark, name):
+    readings = odd_readings(spark)
+    lookup = edge_lookup(odd_edges(spark))
+    build = getattr(journeys, f"journey_{name}_totals")
+    plain = build(readings, lookup)
+    hot = [r.entity_id for r in readings.where("entity_id IS NOT NULL").select("entity_id").distinct().take(3)]
+    assert rows_of(plain) == rows_of(build(readings, lookup, hot=hot))
+
+
 def test_a_null_place_keeps_a_trip_stranded(spark):
     trips = trip_summary(odd_readings(spark), edge_lookup(odd_edges(spark)))
     assert good_trips(trips).count() + stranded_trips(trips).count() == trips.count()

@@ -70,7 +70,7 @@ def test_hot_entities_never_gather_readings_by_entity(spark, lookup):
     moved = [
         (re.sub(r"#\d+L?", "", line), spread[n + 1])
         for n, line in enumerate(spread)
-        if re.search(r" Exchange hashpartitioning", line)
+        if re.search(r" Exchange hashpartitioning", line) and "ReusedExchange" not in line
     ]
     assert any("entity_id, date, slice" in line for line, _ in moved)
     by_entity = [
@@ -88,3 +88,21 @@ def test_hot_entities_never_gather_readings_by_entity(spark, lookup):
 def test_nothing_hot_means_the_plain_plan(spark, lookup):
     rows = stand_in.readings(spark, SF_DIR)
     assert "Union" not in final_plan(journeys.journey_visits(rows, lookup))
+
+
+@pytest.mark.parametrize("name", ["trip", "repaired", "visit", "itinerary"])
+@pytest.mark.parametrize("hot", [[], [1, 2]])
+def test_totals_make_no_lists(spark, lookup, name, hot):
+    rows = stand_in.readings(spark, SF_DIR)
+    plan = final_plan(getattr(journeys, f"journey_{name}_totals")(rows, lookup, hot=hot))
+    assert "collect_list" not in plan and "array_join" not in plan
+
+
+def test_hot_plan_reads_little(spark, lookup):
+    """Readings by slice, slices' last readings and trips' ends; edges joined once a branch."""
+    rows = stand_in.readings(spark, SF_DIR)
+    plan = final_plan(journeys.journey_visits(rows, lookup, hot=[1, 2]))
+    # The plain branch reads once.
+    assert len(re.findall(r"Scan parquet", plan)) <= 1 + 3
+    # A broadcast side that is used again shows as a join only.
+    assert len(re.findall(r"HashJoin|SortMergeJoin", plan)) - plan.count("min_distance IS") <= 1 + 4

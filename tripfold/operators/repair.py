@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tripfold.functions.expressions import day_of_week, exact_sum, path_hash, round3, speed
 from tripfold.operators.segments import add_segment, attach
-from tripfold.operators.trips import TRIP_SUMMARY, nested
+from tripfold.operators.trips import TRIP_SUMMARY, TRIP_TOTALS, nested
 from tripfold.schema import STOP_SEP, PlaceRules
 
 
@@ -47,6 +47,15 @@ _MEMBER = [
 ]
 
 
+def _merged_ends() -> list[Column]:
+    return [
+        F.min("date").alias("date"),
+        F.min("start_time").alias("start_time"),
+        F.min_by("start_place", "start_time").alias("start_place"),
+        F.max_by("end_place", "start_time").alias("end_place"),
+    ]
+
+
 def _merged(segments: DataFrame, spread: bool, *also: str) -> DataFrame:
     """One record per segment of trips. On the spread plan its ends are aggregates of their own,
     so that a step that needs only them makes no lists there."""
@@ -59,13 +68,7 @@ def _merged(segments: DataFrame, spread: bool, *also: str) -> DataFrame:
         nested("members", *_MEMBER, by="start_time"),
     ]
     if spread:
-        ends = [
-            F.min("date").alias("date"),
-            F.min("start_time").alias("start_time"),
-            F.min_by("start_place", "start_time").alias("start_place"),
-            F.max_by("end_place", "start_time").alias("end_place"),
-        ]
-        merged = segments.groupBy("entity_id", *also, "segment").agg(*totals, *ends)
+        merged = segments.groupBy("entity_id", *also, "segment").agg(*totals, *_merged_ends())
     else:
         merged = segments.groupBy("entity_id", *also, "segment").agg(*totals)
         merged = merged.select(
@@ -89,37 +92,60 @@ def _merged(segments: DataFrame, spread: bool, *also: str) -> DataFrame:
 _SLIM = ["entity_id", "date", "start_time", "start_place", "end_place", "good"]
 
 
+def _short(ends: DataFrame | None, rules: PlaceRules) -> DataFrame | None:
+    return None if ends is None else ends.withColumn("good", is_good(rules)).select(*_SLIM)
+
+
 def stitched_trips(
-    trips: DataFrame, rules: PlaceRules = PlaceRules(), spread: bool = False
+    trips: DataFrame,
+    rules: PlaceRules = PlaceRules(),
+    spread: bool = False,
+    ends: DataFrame | None = None,
 ) -> DataFrame:
-    """Stranded trips of an entity, put together into longer ones."""
+    """Stranded trips of an entity, put together into longer ones.
+
+    `ends` (see `trip_ends`) spares the spread plan a second copy of the trips.
+    """
     stranded = stranded_trips(trips, rules).withColumn("good", F.lit(False))
+    short = None if ends is None else _short(ends, rules).where("NOT good")
     segments = attach(
         stranded,
         ["entity_id", "date"],
         _SLIM,
         lambda t: add_segment(t, ["entity_id"], ends_stitch(rules)),
         spread,
+        short,
     )
     return _merged(segments, spread).select(*TRIP_SUMMARY)
 
 
+def _numbered(trips: DataFrame, rules: PlaceRules) -> DataFrame:
+    """Adds `segment`, over trips with `good`; each good trip is a segment of its own."""
+    rows = add_segment(trips, ["entity_id", "good"], ends_stitch(rules))
+    own = F.datediff("date", F.lit("1970-01-01").cast("date")).cast("bigint")
+    return rows.withColumn("segment", F.when(F.col("good"), own).otherwise(F.col("segment")))
+
+
 def repair_trips(
-    trips: DataFrame, rules: PlaceRules = PlaceRules(), spread: bool = False
+    trips: DataFrame,
+    rules: PlaceRules = PlaceRules(),
+    spread: bool = False,
+    ends: DataFrame | None = None,
 ) -> DataFrame:
     """Good trips as they are, and stranded ones stitched.
 
-    One pass over the trips: good and stranded ones are kept apart by a partition key, and each
-    good trip is a segment of its own.
+    One pass over the trips: good and stranded ones are kept apart by a partition key. `ends` (see
+    `trip_ends`) spares the spread plan a second copy of the trips.
     """
     marked = trips.withColumn("good", is_good(rules))
-
-    def number(rows: DataFrame) -> DataFrame:
-        rows = add_segment(rows, ["entity_id", "good"], ends_stitch(rules))
-        own = F.datediff("date", F.lit("1970-01-01").cast("date")).cast("bigint")
-        return rows.withColumn("segment", F.when(F.col("good"), own).otherwise(F.col("segment")))
-
-    segments = attach(marked, ["entity_id", "date"], _SLIM, number, spread)
+    segments = attach(
+        marked,
+        ["entity_id", "date"],
+        _SLIM,
+        lambda t: _numbered(t, rules),
+        spread,
+        _short(ends, rules),
+    )
     # A good trip keeps its own average speed, taken from the unrounded distance.
     own_speed = F.element_at("members", 1)["avg_speed"]
     return (
@@ -127,3 +153,35 @@ def repair_trips(
         .withColumn("avg_speed", F.when(F.col("good"), own_speed).otherwise(F.col("avg_speed")))
         .select(*TRIP_SUMMARY)
     )
+
+
+
+def repaired_ends(ends: DataFrame, rules: PlaceRules = PlaceRules()) -> DataFrame:
+    """One short row per repaired trip, from the `trip_ends` of the daily ones."""
+    return (
+        _numbered(_short(ends, rules), rules)
+        .groupBy("entity_id", "good", "segment")
+        .agg(*_merged_ends())
+        .drop("good", "segment")
+    )
+
+
+def repaired_totals(totals: DataFrame, rules: PlaceRules = PlaceRules()) -> DataFrame:
+    """Repaired trips without paths, from `trip_totals`: rows are short, and there are no lists."""
+    segments = _numbered(totals.withColumn("good", is_good(rules)), rules)
+    merged = segments.groupBy("entity_id", "good", "segment").agg(
+        *_merged_ends(),
+        F.min_by("entity_type", "start_time").alias("entity_type"),
+        F.max_by("end_time", "start_time").alias("end_time"),
+        F.sum("total_time").alias("total_time"),
+        exact_sum(F.col("total_distance")).alias("distance"),
+        # A good trip is alone, and keeps its speed.
+        F.min("avg_speed").alias("own_speed"),
+    )
+    own, both = F.col("own_speed"), speed(F.col("distance"), F.col("total_time"))
+    return merged.select(
+        "*",
+        round3(F.col("distance")).alias("total_distance"),
+        F.when(F.col("good"), own).otherwise(both).alias("avg_speed"),
+        day_of_week(F.col("start_time")).alias("day_of_week"),
+    ).select(*TRIP_TOTALS)

@@ -6,9 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripfold.functions.expressions import exact_sum, speed, to_int32, whole_days
-from tripfold.operators.ordering import TRIP
+from tripfold.operators.ordering import TRIP, in_order
 from tripfold.operators.segments import TRIP_ORDER, attach
-from tripfold.operators.trips import estimated_leg_rows, nested, trip_path_string, trip_summary
+from tripfold.operators.trips import (
+    estimated_leg_rows,
+    nested,
+    trip_ends,
+    trip_path_string,
+    trip_summary,
+)
 from tripfold.operators.visits import DAILY
 from tripfold.schema import DAY_SEP
 
@@ -26,10 +32,31 @@ def entity_path_rollup(readings: DataFrame, placed: bool = False) -> DataFrame:
     )
 
 
+def entity_path_rows(readings: DataFrame, spread: bool = False) -> DataFrame:
+    """The rollup as a row per reading: its day's number among the entity's days with readings,
+    how many those are, and its place in the day."""
+    days = readings.groupBy(*TRIP).agg(F.lit(1).alias("one"))
+    order = Window.partitionBy("entity_id").orderBy("date")
+    numbered = days.select(
+        *TRIP,
+        F.row_number().over(order).alias("day"),
+        F.count("*").over(Window.partitionBy("entity_id")).alias("days_span"),
+    )
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"d.{c}")) for c in TRIP]
+    return (
+        in_order(readings, spread)
+        .alias("r")
+        .join(numbered.alias("d"), same)
+        .select(*(f"r.{c}" for c in TRIP), "days_span", "day", "pos", "place")
+    )
+
+
 _SLIM = ["entity_id", "date", "start_time"]
 
 
-def _with_day_counters(trips: DataFrame, spread: bool) -> DataFrame:
+def _with_day_counters(
+    trips: DataFrame, spread: bool, ends: DataFrame | None = None
+) -> DataFrame:
     """Adds days_since, day_in_visit and days_to_next: completed 24 hour periods between the
     starts of neighbouring trips, and the running sum of the first."""
 
@@ -45,13 +72,13 @@ def _with_day_counters(trips: DataFrame, spread: bool) -> DataFrame:
             .withColumn("day_in_visit", so_far)
         )
 
-    return attach(trips, TRIP, _SLIM, count, spread)
+    return attach(trips, TRIP, _SLIM, count, spread, ends)
 
 
 def itinerary_days(readings: DataFrame, lookup: DataFrame, spread: bool = False) -> DataFrame:
     """One row per daily trip of an entity, with its day counters."""
     trips = trip_summary(readings, lookup, spread=spread)
-    return _with_day_counters(trips, spread).select(
+    return _with_day_counters(trips, spread, trip_ends(readings)).select(
         *TRIP, *(F.col("path_hash").alias("hash") if c == "hash" else F.col(c) for c in DAILY)
     )
 
@@ -61,8 +88,7 @@ def itinerary_leg_rows(readings: DataFrame, lookup: DataFrame, spread: bool = Fa
     day's start."""
     columns = [*TRIP, "pos", "ts", "place", "elapsed", "distance", "speed", "days_to_next"]
     if spread:
-        starts = readings.groupBy(*TRIP).agg(F.min("ts").alias("start_time"))
-        labels = _with_day_counters(starts, False).select(*TRIP, "days_to_next")
+        labels = _with_day_counters(trip_ends(readings), False).select(*TRIP, "days_to_next")
         legs = estimated_leg_rows(readings, lookup, spread=True)
         return legs.join(labels, TRIP).select(*columns)
     trips = _with_day_counters(trip_summary(readings, lookup, timed=True), False)
@@ -94,7 +120,7 @@ ITINERARY = [
 def itinerary(readings: DataFrame, lookup: DataFrame, spread: bool = False) -> DataFrame:
     """One row per entity over all its daily trips."""
     trips = trip_summary(readings, lookup, spread=spread, timed=True)
-    days = _with_day_counters(trips, spread)
+    days = _with_day_counters(trips, spread, trip_ends(readings))
     members = F.col("members")
     first, last = F.element_at(members, 1), F.element_at(members, -1)
 
@@ -138,3 +164,29 @@ def itinerary(readings: DataFrame, lookup: DataFrame, spread: bool = False) -> D
         )
         .select(*ITINERARY)
     )
+
+
+#: An itinerary without records, legs and paths.
+ITINERARY_TOTALS = [
+    c for c in ITINERARY if c not in ("daily_records", "timed_path", "path", "path_hash")
+]
+
+
+def itinerary_totals(totals: DataFrame) -> DataFrame:
+    """One row per entity over its `trip_totals`: no lists."""
+    return (
+        _with_day_counters(totals, False)
+        .groupBy("entity_id")
+        .agg(
+            F.max_by("entity_type", "start_time").alias("entity_type"),
+            F.sum("days_since").alias("total_days"),
+            F.sum("total_time").alias("total_time"),
+            exact_sum(F.col("total_distance")).alias("total_distance"),
+            F.min_by("start_place", "start_time").alias("start_place"),
+            F.max_by("end_place", "start_time").alias("end_place"),
+            F.max_by("end_time", "start_time").alias("end_time"),
+            F.min("start_time").alias("start_time"),
+        )
+        .withColumn("avg_speed", speed(F.col("total_distance"), F.col("total_time")))
+        .select(*ITINERARY_TOTALS)
+    )

@@ -37,14 +37,22 @@ def add_segment(trips: DataFrame, keys: list[str], closes: Column) -> DataFrame:
     )
 
 
-def attach(trips: DataFrame, keys: list[str], slim: list[str], mark, spread: bool) -> DataFrame:
+def attach(
+    trips: DataFrame,
+    keys: list[str],
+    slim: list[str],
+    mark,
+    spread: bool,
+    ends: DataFrame | None = None,
+) -> DataFrame:
     """mark(trips), where `mark` adds columns by windows over an entity's trips.
 
     With `spread` the windows see only the `slim` columns, one short row per trip and so at most
     one per calendar day, and their result is joined back; the wide columns, with the paths,
-    never gather by entity.
+    never gather by entity. `ends` may hold the short rows, where they are had more cheaply than
+    from the trips.
     """
     if not spread:
         return mark(trips)
-    marked = mark(trips.select(*slim))
+    marked = mark((trips if ends is None else ends).select(*slim))
     return trips.join(marked.drop(*(c for c in slim if c not in keys)), keys)

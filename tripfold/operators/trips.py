@@ -206,6 +206,23 @@ def estimated_leg_rows(
 # Whole trips.
 
 
+def _ends(*order: str) -> list[Column]:
+    """Aggregates: a trip's ends, from its readings in any order."""
+    place = F.struct(*order)
+    return [
+        F.min("ts").alias("start_time"),
+        F.max("ts").alias("end_time"),
+        F.min_by("place", place).alias("start_place"),
+        F.max_by("place", place).alias("end_place"),
+        F.max_by("entity_type", place).alias("entity_type"),
+    ]
+
+
+def trip_ends(readings: DataFrame) -> DataFrame:
+    """One short row per trip, combined before its shuffle: no order, distances or lists."""
+    return readings.groupBy(*TRIP).agg(*_ends(*READING_ORDER))
+
+
 def _trips_of(legs: DataFrame, stop: list[str], spread: bool, *more: Column) -> DataFrame:
     """One row per trip: stops as structs of at least `stop`, what derives from them, and `more`.
 
@@ -216,14 +233,7 @@ def _trips_of(legs: DataFrame, stop: list[str], spread: bool, *more: Column) ->
     fields = list(dict.fromkeys([*stop, "place", "ts", *([] if spread else ["entity_type"])]))
     first, last = F.element_at(stops, 1), F.element_at(stops, -1)
     if spread:
-        ends = [
-            F.min("ts").alias("start_time"),
-            F.max("ts").alias("end_time"),
-            F.min_by("place", "pos").alias("start_place"),
-            F.max_by("place", "pos").alias("end_place"),
-            F.max_by("entity_type", "pos").alias("entity_type"),
-        ]
-        trips = legs.groupBy(*TRIP).agg(nested("stops", *fields), *ends, *more)
+        trips = legs.groupBy(*TRIP).agg(nested("stops", *fields), *_ends("pos"), *more)
     else:
         trips = legs.groupBy(*TRIP).agg(nested("stops", *fields), *more)
         trips = trips.select(
@@ -309,3 +319,33 @@ def trip_summary(
         speed(F.col("distance"), F.col("total_time")).alias("avg_speed"),
     )
     return trips.select(*TRIP_SUMMARY, *([_timed_path(*stop)] if timed else []))
+
+
+#: A trip without its path.
+TRIP_TOTALS = [c for c in TRIP_SUMMARY if c not in ("path", "path_rev", "path_hash")]
+
+
+def trip_totals(
+    readings: DataFrame,
+    lookup: DataFrame,
+    pick: str = "lowest",
+    limit: float = SPEED_LIMIT,
+    spread: bool = False,
+) -> DataFrame:
+    """Trips with their times, distances and ends, from sums and least values: no lists."""
+    legs = estimated_leg_rows(readings, lookup, pick, limit, spread)
+    distance = any_order_sum(F.col("distance")).alias("distance")
+    seconds = F.unix_seconds("end_time") - F.unix_seconds("start_time")
+    trips = legs.groupBy(*TRIP).agg(*_ends("pos"), distance)
+    return trips.withColumn("total_time", seconds).select(
+        *TRIP,
+        "entity_type",
+        "total_time",
+        round3(F.col("distance")).alias("total_distance"),
+        speed(F.col("distance"), F.col("total_time")).alias("avg_speed"),
+        day_of_week(F.col("date")).alias("day_of_week"),
+        "start_place",
+        "end_place",
+        "start_time",
+        "end_time",
+    ).select(*TRIP_TOTALS)

@@ -84,11 +84,47 @@ _MEMBER = [
 ]
 
 
+VISIT_TOTALS = [
+    c
+    for c in VISIT
+    if c not in ("daily_records", "path", "path_hash", "destinations", "destination_string")
+]
+
+
+def visit_totals(totals: DataFrame, rules: PlaceRules = PlaceRules()) -> DataFrame:
+    """Visits without their records and paths, from `repaired_totals`: no lists."""
+    candidates = visit_candidates(totals, rules)
+    whole = (
+        add_segment(candidates, ["entity_id"], ends_visit(rules))
+        .groupBy("entity_id", "segment")
+        .agg(
+            F.min_by("entity_type", "start_time").alias("entity_type"),
+            F.sum("total_time").alias("total_time"),
+            exact_sum(F.col("total_distance")).alias("total_distance"),
+            F.min_by("start_place", "start_time").alias("start_place"),
+            F.max_by("end_place", "start_time").alias("end_place"),
+            F.max("start_time").alias("last_start"),
+            F.max_by("end_time", "start_time").alias("end_time"),
+            F.min("start_time").alias("start_time"),
+        )
+    )
+    return whole.select(
+        "*",
+        calendar_days(F.col("start_time"), F.col("last_start")).alias("total_days"),
+        speed(F.col("total_distance"), F.col("total_time")).alias("avg_speed"),
+    ).select(*VISIT_TOTALS)
+
+
 def visits(
-    trips: DataFrame, rules: PlaceRules = PlaceRules(), spread: bool = False
+    trips: DataFrame,
+    rules: PlaceRules = PlaceRules(),
+    spread: bool = False,
+    ends: DataFrame | None = None,
 ) -> DataFrame:
     """One row per visit, over repaired trips.
 
+    `ends` (see `repaired_ends`) spares the spread plan a second copy of the trips.
+
     Trips of a visit may overlap, so its end is that of the trip that starts last. The day
     counters are in calendar days.
     """
@@ -98,6 +134,7 @@ def visits(
         _SLIM,
         lambda t: add_segment(t, ["entity_id"], ends_visit(rules)),
         spread,
+        None if ends is None else visit_candidates(ends, rules),
     )
     members = F.col("members")
     first, last = F.element_at(members, 1), F.element_at(members, -1)

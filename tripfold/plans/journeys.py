@@ -12,15 +12,22 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from tripfold.operators.hot import by_heat
-from tripfold.operators.repair import repair_trips, stitched_trips
+from tripfold.operators.repair import (
+    repair_trips,
+    repaired_ends,
+    repaired_totals,
+    stitched_trips,
+)
 from tripfold.operators.rollups import (
     entity_path_rollup,
+    entity_path_rows,
     itinerary,
     itinerary_days,
     itinerary_leg_rows,
+    itinerary_totals,
 )
-from tripfold.operators.trips import trip_summary
-from tripfold.operators.visits import visits
+from tripfold.operators.trips import trip_ends, trip_summary, trip_totals
+from tripfold.operators.visits import visit_totals, visits
 from tripfold.schema import PlaceRules
 
 
@@ -40,9 +47,10 @@ def journey_stitched(
     rules: PlaceRules = PlaceRules(),
     hot: Sequence[Any] = (),
 ) -> DataFrame:
-    return by_heat(
-        readings, hot, lambda r, spread: stitched_trips(_trips(r, lookup, spread), rules, spread)
-    )
+    def build(rows: DataFrame, spread: bool) -> DataFrame:
+        return stitched_trips(_trips(rows, lookup, spread), rules, spread, trip_ends(rows))
+
+    return by_heat(readings, hot, build)
 
 
 def journey_repaired(
@@ -51,9 +59,10 @@ def journey_repaired(
     rules: PlaceRules = PlaceRules(),
     hot: Sequence[Any] = (),
 ) -> DataFrame:
-    return by_heat(
-        readings, hot, lambda r, spread: repair_trips(_trips(r, lookup, spread), rules, spread)
-    )
+    def build(rows: DataFrame, spread: bool) -> DataFrame:
+        return repair_trips(_trips(rows, lookup, spread), rules, spread, trip_ends(rows))
+
+    return by_heat(readings, hot, build)
 
 
 def journey_visits(
@@ -63,8 +72,9 @@ def journey_visits(
     hot: Sequence[Any] = (),
 ) -> DataFrame:
     def build(rows: DataFrame, spread: bool) -> DataFrame:
-        repaired = repair_trips(_trips(rows, lookup, spread), rules, spread)
-        return visits(repaired, rules, spread)
+        ends = trip_ends(rows)
+        repaired = repair_trips(_trips(rows, lookup, spread), rules, spread, ends)
+        return visits(repaired, rules, spread, repaired_ends(ends, rules))
 
     return by_heat(readings, hot, build)
 
@@ -96,3 +106,48 @@ def journey_itinerary_legs(
     readings: DataFrame, lookup: DataFrame, hot: Sequence[Any] = ()
 ) -> DataFrame:
     return by_heat(readings, hot, lambda r, s: itinerary_leg_rows(by_entity(r, s), lookup, s))
+
+
+# Without paths and records. Trips come to the windows as short rows, so hot entities differ only
+# in how their readings are ordered.
+
+
+def _totals(readings: DataFrame, lookup: DataFrame, spread: bool) -> DataFrame:
+    return trip_totals(by_entity(readings, spread), lookup, spread=spread)
+
+
+def journey_trip_totals(
+    readings: DataFrame, lookup: DataFrame, hot: Sequence[Any] = ()
+) -> DataFrame:
+    return by_heat(readings, hot, lambda r, s: _totals(r, lookup, s))
+
+
+def journey_repaired_totals(
+    readings: DataFrame,
+    lookup: DataFrame,
+    rules: PlaceRules = PlaceRules(),
+    hot: Sequence[Any] = (),
+) -> DataFrame:
+    return by_heat(readings, hot, lambda r, s: repaired_totals(_totals(r, lookup, s), rules))
+
+
+def journey_visit_totals(
+    readings: DataFrame,
+    lookup: DataFrame,
+    rules: PlaceRules = PlaceRules(),
+    hot: Sequence[Any] = (),
+) -> DataFrame:
+    def build(rows: DataFrame, spread: bool) -> DataFrame:
+        return visit_totals(repaired_totals(_totals(rows, lookup, spread), rules), rules)
+
+    return by_heat(readings, hot, build)
+
+
+def journey_itinerary_totals(
+    readings: DataFrame, lookup: DataFrame, hot: Sequence[Any] = ()
+) -> DataFrame:
+    return by_heat(readings, hot, lambda r, s: itinerary_totals(_totals(r, lookup, s)))
+
+
+def journey_path_rows(readings: DataFrame, hot: Sequence[Any] = ()) -> DataFrame:
+    return by_heat(readings, hot, lambda r, s: entity_path_rows(by_entity(r, s), s))
