@@ -67,6 +67,14 @@ def test_simhash_equals_brute_force(spark, hard):
     assert simhash.near_duplicates(hard.limit(0)).count() == 0
 
 
+def test_one_of_each_where_ids_repeat(spark):
+    texts = ["one text of its own kind", "quite another text than that", "a third one on other things"]
+    rows = [(3, texts[0]), (5, texts[0]), (5, texts[1]), (5, texts[1]), (5, texts[2]), (None, texts[2])]
+    kept = simhash.one_of_each(docs_of(spark, [(i, t, "en", "a") for i, t in rows]))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(3, texts[0]), (5, texts[1]), (5, texts[2])])
+    assert simhash.one_of_each(docs_of(spark, [(1, None, "en", "a")]).limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("hot_rows", [5, 10_000])
 def test_gray_index_finds_every_link(spark, hot_rows):
     rng = random.Random(9)

@@ -57,21 +57,23 @@ def fingerprint(text: str | None, length: int) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = 3) -> DataFrame:
-    """`doc_id, fp`: a row per row; fp is the fingerprint as a signed long.
+    """`doc_id, body, fp`: a row per row; body is a hash of the text, fp a signed long.
 
     A NULL or empty text has fingerprint 0. Keys are carried along as they are, NULL included.
     """
 
     def batch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            prints = [fingerprint(x.as_py(), shingle) for x in part.column(1)]
+            prints = [fingerprint(x.as_py(), shingle) for x in part.column(2)]
             signed = np.array(prints, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(signed)], names=["doc_id", "fp"]
+                [part.column(0), part.column(1), pa.array(signed)], names=["doc_id", "body", "fp"]
             )
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(batch, "doc_id long, fp long")
+    rows = docs.select(
+        F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("body"), F.col(text).alias("text")
+    )
+    return rows.mapInArrow(batch, "doc_id long, body long, fp long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -235,15 +237,11 @@ def close_links(
     return placed.mapInArrow(batch, "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 3
-) -> DataFrame:
-    """`doc_id, fingerprint, component_id`, a row per document, other columns not read.
+def components(docs: DataFrame, key: str, text: str, shingle: int, distance: int) -> DataFrame:
+    """`doc_id, body, fp, component, component_id`, a row per document.
 
-    component_id is the smallest doc_id in reach over links of at most `distance` bits, itself
-    included. Texts without words (NULL and empty too) share fingerprint zero. Rows that repeat a
-    doc_id give a row each. A NULL doc_id is kept, and is nobody's component_id; a component
-    without any other has component_id NULL. An empty table gives no rows.
+    `component` is one fingerprint of the component, so that it tells components apart even where
+    rows that repeat a doc_id give two of them the same smallest doc_id.
     """
     prints = checkpoint(fingerprints(docs, key, text, shingle))
     lowest = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
@@ -252,48 +250,56 @@ def near_duplicates(
         linked.join(lowest, linked["node"] == lowest["fp"]).select("fp", "label", "low")
     )
     roots = checkpoint(members.groupBy("label").agg(F.min("low").alias("root")))
-    reached = checkpoint(members.join(roots, "label").select("fp", "root"))
+    reached = checkpoint(members.join(roots, "label").select("fp", "label", "root"))
     ids = checkpoint(
         lowest.join(reached, "fp", "left").select(
-            "fp", F.when(F.col("root").isNotNull(), F.col("root")).otherwise(F.col("low")).alias("component_id")
+            "fp",
+            F.coalesce("label", "fp").alias("component"),
+            F.coalesce("root", "low").alias("component_id"),
         )
     )
-    return prints.join(ids, "fp").select(
+    return prints.join(ids, "fp").select("doc_id", "body", "fp", "component", "component_id")
+
+
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 3
+) -> DataFrame:
+    """`doc_id, fingerprint, component_id`, a row per document, other columns not read.
+
+    component_id is the smallest doc_id in reach over links of at most `distance` bits, itself
+    included. Texts without words (NULL and empty too) share fingerprint zero. Rows that repeat a
+    doc_id give a row each. A NULL doc_id is kept, and is nobody's component_id; a component
+    without any other has component_id NULL. An empty table gives no rows.
+    """
+    return components(docs, key, text, shingle, distance).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """The documents whose doc_id is their component's smallest; rows repeating it count once.
+    """One document of each component: that of the smallest doc_id, NULL last.
 
-    Rows without doc_id stay only where their whole component has none, one per fingerprint.
+    Of rows with this doc_id but different texts, that of the smaller text hash stays; of rows
+    that agree in both, one.
     """
-    found = near_duplicates(docs, shingle=shingle, distance=distance)
+    found = components(docs, "doc_id", "text", shingle, distance)
+    counted = found.groupBy("component", "doc_id", "body").agg(F.count("*").alias("copies"))
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "body", "copies")
     stay = checkpoint(
-        found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("doc_id").isNotNull())
-        .groupBy("doc_id")
-        .agg(F.count("*").alias("copies"))
-    )
-    # Whole rows in one column, so that no other name of theirs meets the names made here.
-    kept = docs.select("doc_id", F.struct("*").alias("doc")).join(stay, "doc_id")
-    single = kept.where("copies = 1").select("doc")
-    repeated = kept.where("copies > 1").dropDuplicates(["doc_id"]).select("doc")
-    out = single.unionByName(repeated).select("doc.*")
-    nameless = docs.where(F.col("doc_id").isNull())
-    if nameless.isEmpty():
-        return out
-    alone = found.where("doc_id IS NULL AND component_id IS NULL").select("fingerprint").distinct()
-    texts = nameless.select(F.xxhash64("text").alias("row"), "text", F.struct("*").alias("doc"))
-    prints = checkpoint(
-        fingerprints(texts, "row", "text", shingle)
+        counted.groupBy("component")
+        .agg(F.min(order).alias("stay"))
         .select(
-            F.col("doc_id").alias("row"),
-            F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+            F.col("stay.doc_id").alias("stay_id"),
+            F.col("stay.body").alias("stay_body"),
+            F.col("stay.copies").alias("copies"),
         )
-        .join(alone, "fingerprint")
-        .groupBy("fingerprint")
-        .agg(F.min("row").alias("row"))
-        .select("row")
     )
-    chosen = texts.join(prints, "row").dropDuplicates(["row"])
-    return out.unionByName(chosen.select("doc.*"))
+    # Whole rows in one column, so that no other name of theirs meets the names made here.
+    rows = docs.select("doc_id", F.xxhash64("text").alias("body"), F.struct("*").alias("doc"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("stay_id")) & (F.col("body") == F.col("stay_body"))
+    single = rows.join(stay.where("copies = 1"), same).select("doc.*")
+    repeated = stay.where("copies > 1")
+    if repeated.isEmpty():
+        return single
+    firsts = rows.join(repeated, same).dropDuplicates(["stay_id", "stay_body"])
+    return single.unionByName(firsts.select("doc.*"))
