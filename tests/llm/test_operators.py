@@ -130,6 +130,26 @@ def test_quality_learns_and_takes_any_text(spark, hard):
     assert quality.train(docs, labels.limit(0), "doc_id", "text", "quality").weights == (0.0,) * quality.FEATURES
 
 
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_a_labelled_id_that_repeats_trains_once(spark, module, monkeypatch):
+    rows = [(1, f"copy {i % 7} of the hot row", "en", "a") for i in range(300)] + [(i, f"text {i}", "en", "a") for i in range(2, 8)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 8)], "doc_id long, quality int, toxic int")
+    seen, fit = [], module.fit
+    monkeypatch.setattr(module, "fit", lambda x, good, *rest: seen.append((len(x), int(good.sum()))) or fit(x, good, *rest))
+    label = "quality" if module is quality else "toxic"
+    module.train(docs_of(spark, rows), labels, "doc_id", "text", label)
+    assert seen == [(7, 4)]
+
+
+def test_toxicity_words_are_bounded(spark, monkeypatch):
+    docs = docs_of(spark, [(i, "w " * 100, "en", "a") for i in range(200)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    sizes, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda texts, *rest: sizes.append(sum(map(len, texts))) or fit(texts, *rest))
+    toxicity.train(docs, labels, most_words=2_000)
+    assert 0 < sizes[0] < 6_000
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, score string")
 

@@ -68,13 +68,23 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
 
 
-def bounded_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
+def one_text_each(rows: DataFrame, keys: list[str], body: str, *others: str) -> DataFrame:
+    """One row per `keys`, that of the smallest text hash; combined before the shuffle.
+
+    Many rows of one key cost a row per task. `others` come with the text and part equal texts.
+    """
+    first = F.min(F.struct(F.xxhash64(body).alias("hash"), body, *others)).alias("first")
+    return rows.groupBy(*keys).agg(first).select(*keys, *(F.col(f"first.{c}").alias(c) for c in (body, *others)))
+
+
+def bounded_sample(rows: DataFrame, key: str, limit: int, salt: str = "sample") -> DataFrame:
     """At most about `limit` rows, the same on each run; all of them where there are no more.
 
-    Keeps the rows whose id hash is below limit / count, which needs no sort of the table.
+    Keeps the rows whose id hash is below limit / count, which needs no sort of the table. A sample of a
+    sample needs a `salt` of its own.
     """
     total = rows.count()
     if total <= limit:
         return rows
-    share = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) / F.lit(1 << 30)
+    share = F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1 << 30)) / F.lit(1 << 30)
     return rows.where(share < limit / total)

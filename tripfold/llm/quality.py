@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripfold.llm.common import bounded_sample, sigmoid
+from tripfold.llm.common import bounded_sample, one_text_each, sigmoid
 
 _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + bytes(range(97, 123))
@@ -117,7 +117,8 @@ def train(
     """A model from labelled documents, at most about `limit` of them, whose ids are broadcast.
 
     Labels other than 0 and 1 and rows with a NULL key count for nothing; a document labelled more
-    than once takes its largest label.
+    than once takes its largest label; of rows that repeat an id, that of the smallest text hash
+    counts.
     """
     known = (
         labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull())
@@ -126,7 +127,8 @@ def train(
     )
     known = bounded_sample(known, "labelled", limit)
     texts = docs.select(F.col(key).alias("labelled"), F.col(text).alias("body"))
-    chosen = texts.join(F.broadcast(known), "labelled").select("labelled", "mark", feature_column(F.col("body")).alias("x"))
+    joined = one_text_each(texts.join(F.broadcast(known), "labelled"), ["labelled", "mark"], "body")
+    chosen = joined.select("labelled", "mark", feature_column(F.col("body")).alias("x"))
     rows = chosen.toPandas().sort_values("labelled", kind="stable")
     x = np.array(rows["x"].tolist(), float).reshape(-1, FEATURES)
     return fit(x, rows["mark"].to_numpy() == 1, at)
