@@ -177,6 +177,19 @@ def test_bitslice_equals_brute_force(points):
         assert mine == [(n, i, -s) for n, (s, i) in enumerate(scored, 1)]
 
 
+@pytest.mark.parametrize("module", [graph, bitslice])
+def test_a_vector_id_that_repeats_is_one_candidate(spark, module, monkeypatch):
+    hot = [(1, [float(1 + i % 5), 2.0]) for i in range(300)] + [(1, [3.0, 1.0, 2.0])]
+    rows = spark.createDataFrame(hot + [(i, [float(i), 1.0]) for i in range(2, 10)], "vec_id long, embedding array<float>")
+    counts, deal = [], module.dealt
+    monkeypatch.setattr(module, "dealt", lambda rows, shards: counts.append(rows.count()) or deal(rows, shards))
+    find = graph.nearest if module is graph else bitslice.top_products
+    got = find(rows, rows.where("vec_id = 9"), k=8).collect()
+    assert counts == [10] and sorted(r.vec_id for r in got) == list(range(1, 9))
+    if module is bitslice:
+        assert [r.score for r in got if r.vec_id == 1] == [(9 * 1 + 1 * 2) * 256 * 256]
+
+
 def test_bitslice_adds_like_numbers():
     rng = np.random.default_rng(8)
     values, queries = rng.integers(-300, 300, (130, 6)), rng.integers(-200, 200, (9, 6))

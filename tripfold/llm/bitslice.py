@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripfold.llm.vectors import KEYS, best, dealt, distinct_ids, in_blocks, matrix, one_vector_each, per_block, shard_count, usable
+from tripfold.llm.vectors import KEYS, best, dealt, distinct_ids, in_blocks, matrix, one_row_each, one_vector_each, per_block, shard_count, usable
 
 #: Components this large would let a score leave the range of a long.
 MOST = float(1 << 20)
@@ -176,7 +176,7 @@ def top_products(
     tables give no rows. Rows are dealt by id over shards, and every block of queries goes to every
     shard; a task holds one shard and one block.
     """
-    rows = usable(vectors, key, vector, MOST, zero=True)
+    rows = one_row_each(usable(vectors, key, vector, MOST, zero=True))
     shards = shard_count(rows, shard_rows)
     asked, blocks = in_blocks(one_vector_each(usable(queries, key, vector, MOST, zero=True)), shards, block_rows)
 

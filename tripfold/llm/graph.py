@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripfold.llm.common import checkpoint
-from tripfold.llm.vectors import KEYS, best, dealt, distinct_ids, in_blocks, matrix, one_vector_each, per_block, shard_count, usable
+from tripfold.llm.vectors import KEYS, best, dealt, distinct_ids, in_blocks, matrix, one_row_each, one_vector_each, per_block, shard_count, usable
 
 NODES = "dim int, shard int, node int, vec array<double>, ids array<long>, edges array<int>"
 FOUND = "query_id long, vec_id long, score double"
@@ -257,7 +257,7 @@ def nearest(
     its smallest vector. Rows without id and vectors that are NULL, empty, zero or have a NULL or
     non-finite component take no part. Empty tables give no rows.
     """
-    rows = usable(vectors, key, vector, float("inf"), zero=False)
+    rows = one_row_each(usable(vectors, key, vector, float("inf"), zero=False))
     shards = shard_count(rows, shard_rows)
     asked, blocks = in_blocks(
         one_vector_each(usable(queries, key, vector, float("inf"), zero=False)), shards, block_rows

@@ -44,6 +44,12 @@ def one_vector_each(queries: DataFrame) -> DataFrame:
     return checkpoint(queries.groupBy("vec_id").agg(F.min("vec").alias("vec")))
 
 
+def one_row_each(rows: DataFrame) -> DataFrame:
+    """Of an id and length that repeat, the smallest vector; combined before the shuffle."""
+    dim = F.size("vec").alias("dim")
+    return checkpoint(rows.groupBy("vec_id", dim).agg(F.min("vec").alias("vec")).select("vec_id", "vec"))
+
+
 def in_blocks(queries: DataFrame, shards: int, block_rows: int) -> tuple[DataFrame, int]:
     """Queries in blocks of about `block_rows`, each block once for every shard."""
     blocks = max(1, -(-queries.count() // block_rows))
