@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripfold.llm import bitslice, graph, lm, mixing, pieces, quality, secrets, simhash, toxicity, warc
+from tripfold.llm import bitslice, graph, lm, merkle, mixing, pieces, quality, secrets, simhash, toxicity, warc
 from tripfold.llm.common import id_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,10 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.segmentation_digests(table(spark, sf_dir, "documents"), k=2)
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_simhash,
@@ -87,9 +91,15 @@ def queries() -> dict[str, Query]:
         op8_mixing,
         op9_toxicity,
         op10_pieces,
+        op13_merkle,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": warc.PAGES_SQL, "op7_bitslice": bitslice.PRODUCTS_SQL, "op8_mixing": mixing.TAKEN_SQL}
+    return {
+        "op6_warc": warc.PAGES_SQL,
+        "op7_bitslice": bitslice.PRODUCTS_SQL,
+        "op8_mixing": mixing.TAKEN_SQL,
+        "op13_merkle": merkle.MANIFEST_SQL,
+    }
