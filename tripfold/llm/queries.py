@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripfold.llm import bitslice, graph, lm, merkle, mixing, pieces, quality, secrets, simhash, toxicity, warc
+from tripfold.llm import (
+    bitslice,
+    graph,
+    language,
+    lm,
+    merkle,
+    mixing,
+    pieces,
+    quality,
+    runs,
+    secrets,
+    simhash,
+    toxicity,
+    warc,
+)
 from tripfold.llm.common import id_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +89,14 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.segmentation_digests(table(spark, sf_dir, "documents"), k=2)
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.document_runs(spark, sf_dir)
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.document_languages(spark, sf_dir)
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_manifest(spark, sf_dir)
 
@@ -91,6 +113,8 @@ def queries() -> dict[str, Query]:
         op8_mixing,
         op9_toxicity,
         op10_pieces,
+        op11_runs,
+        op12_language,
         op13_merkle,
     )
     return {f.__name__: f for f in found}
