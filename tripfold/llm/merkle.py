@@ -65,65 +65,66 @@ def _numbered(leaves: DataFrame, order: Sequence[str]) -> DataFrame:
     return placed.join(starts, ["tree", "part"]).withColumn("idx", F.col("at") + F.col("shift")).drop("at", "part", "shift")
 
 
-def _depth(n: Column) -> Column:
-    """Levels above the leaves of a tree of n leaves."""
-    return F.when(n > 1, F.length(F.bin(n - 1))).otherwise(F.lit(0))
-
-
-def _levels(batches: Iterator[pd.DataFrame], base: int) -> Iterator[pd.DataFrame]:
-    """The levels over each block, up to STEP more or the tree's root."""
+def _levels(batches: Iterator[pd.DataFrame], base: int, step: int) -> Iterator[pd.DataFrame]:
+    """The levels over each block, up to `step` more or the tree's root."""
     for batch in batches:
         out = []
-        for tree, depth, block, nodes in batch[["tree", "depth", "block", "nodes"]].itertuples(index=False):
-            nodes, start = list(nodes), block << STEP
-            out.append((tree, depth, base, start, nodes))
-            for level in range(base + 1, min(base + STEP, depth) + 1):
+        for tree, n, block, nodes in batch[["tree", "n", "block", "nodes"]].itertuples(index=False):
+            nodes, start, depth = list(nodes), block << step, (n - 1).bit_length()
+            out.append((tree, n, depth, base, start, nodes))
+            for level in range(base + 1, min(base + step, depth) + 1):
                 texts = [n.hex() for n in nodes]
                 pairs = ("".join(texts[i : i + 2]) for i in range(0, len(texts), 2))
                 nodes = [hashlib.sha256(p.encode()).digest() for p in pairs]
                 start >>= 1
-                out.append((tree, depth, level, start, nodes))
-        yield pd.DataFrame(out, columns=["tree", "depth", "level", "start", "nodes"])
+                out.append((tree, n, depth, level, start, nodes))
+        yield pd.DataFrame(out, columns=["tree", "n", "depth", "level", "start", "nodes"])
 
 
 def _blocks(nodes: DataFrame, base: int) -> DataFrame:
     """Levels base to base + STEP over each block of nodes at level base, as rows of one array a level.
 
-    `nodes` has tree, idx, depth, digest; the result tree, depth, level, start (idx of the first), nodes.
+    `nodes` has tree, n, idx, digest; the result tree, n, depth, level, start (idx of the first), nodes.
     A level's digest is that of every two neighbours below, or of the last one alone.
     """
     listed = F.sort_array(F.collect_list(F.struct("idx", "digest")))["digest"].alias("nodes")
     block = F.shiftright("idx", STEP).alias("block")
-    blocks = nodes.groupBy("tree", "depth", block).agg(listed)
-    made = "tree string, depth int, level int, start long, nodes array<binary>"
-    return blocks.mapInPandas(partial(_levels, base=base), made)
+    blocks = nodes.groupBy("tree", "n", block).agg(listed)
+    made = "tree string, n long, depth int, level int, start long, nodes array<binary>"
+    return blocks.mapInPandas(partial(_levels, base=base, step=STEP), made)
 
 
 def _nodes(blocks: DataFrame) -> DataFrame:
-    """A row for each node: tree, depth, level, idx, digest, and `path`, its sibling as a list of one.
+    """A row for each node: tree, n, depth, level, idx, digest, and `path`, its sibling as a list of one.
 
     The sibling is NULL where the node is alone; the list of a tree's root is empty.
     """
     each = blocks.select("*", F.posexplode("nodes").alias("i", "digest"))
     sibling = F.array(F.get("nodes", F.col("i").bitwiseXOR(F.lit(1))))
     path = F.when(F.col("level") < F.col("depth"), sibling).otherwise(F.array().cast("array<binary>"))
-    return each.select("tree", "depth", "level", (F.col("start") + F.col("i")).alias("idx"), "digest", path.alias("path"))
+    return each.select("tree", "n", "depth", "level", (F.col("start") + F.col("i")).alias("idx"), "digest", path.alias("path"))
 
 
 def _jump(rows: DataFrame, above: DataFrame, distance: int) -> DataFrame:
     """rows with the paths of their ancestors at `distance` behind their own.
 
-    Rows whose path has reached the root stay. An ancestor of more than 2**CHUNK rows is there once for
-    each chunk of them, and met by that chunk only.
+    Rows whose path has reached the root find none. An ancestor of more than 2**CHUNK rows is there
+    once for each chunk of them, and met by that chunk only.
     """
     cut = min(distance, CHUNK)
-    ways = above.select("tree", F.col("level").alias("to_level"), F.col("idx").alias("to"), F.col("path").alias("further"), "count_below")
-    last = F.least(F.shiftleft(F.col("to") + 1, distance - cut) - 1, F.shiftright(F.col("count_below") - 1, cut))
-    ways = ways.withColumn("chunk", F.explode(F.sequence(F.shiftleft("to", distance - cut), last))).drop("to", "count_below")
-    open_ = F.col("level") + distance < F.col("depth")
-    go_on = rows.where(open_).withColumn("to_level", F.col("level") + distance).withColumn("chunk", F.shiftright("idx", cut))
-    joined = go_on.join(ways, ["tree", "to_level", "chunk"]).withColumn("path", F.concat("path", "further"))
-    return rows.where(~open_).unionByName(joined.select(*rows.columns))
+    wide = distance - cut
+    # (n - 1 >> level) + 1 nodes stand at a level.
+    last = F.least(F.shiftleft(F.col("idx") + 1, wide) - 1, F.expr(f"shiftright(shiftright(n - 1, level - {distance}), {cut})"))
+    ways = above.where("level < depth").select(
+        "tree",
+        F.col("level").alias("to_level"),
+        F.explode(F.sequence(F.shiftleft("idx", wide), last)).alias("chunk"),
+        F.col("path").alias("further"),
+    )
+    asked = rows.withColumn("to_level", F.col("level") + distance).withColumn("chunk", F.shiftright("idx", cut))
+    met = asked.join(ways, ["tree", "to_level", "chunk"], "left")
+    further = F.coalesce("further", F.array().cast("array<binary>"))
+    return met.withColumn("path", F.concat("path", further)).select(*rows.columns)
 
 
 def proofs(leaves: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -132,50 +133,41 @@ def proofs(leaves: DataFrame, order: Sequence[str]) -> DataFrame:
     Adds idx (place in its tree from 0), n (leaves of the tree), path (siblings from the leaf up, a
     list of binary with NULL where a node was alone) and subroot (hex).
     """
-    numbered = checkpoint(_numbered(leaves, order).withColumn("depth", _depth(F.col("n"))))
-    deepest = numbered.agg(F.max("depth")).first()[0] or 0
-    level = numbered.select("tree", "depth", "idx", F.unhex("leaf").alias("digest"))
+    numbered = checkpoint(_numbered(leaves, order))
+    deepest = ((numbered.agg(F.max("n")).first()[0] or 1) - 1).bit_length()
+    level = numbered.select("tree", "n", "idx", F.unhex("leaf").alias("digest"))
     built = []
     for base in range(0, max(deepest, 1), STEP):
         blocks = checkpoint(_blocks(level, base))
         # The top of a block is the ground of the next.
         top = (F.col("level") == base + STEP) & (F.col("depth") > base + STEP)
         built.append(_nodes(blocks.where(~top)))
-        level = blocks.where(top).select("tree", "depth", F.col("start").alias("idx"), F.col("nodes")[0].alias("digest"))
+        level = blocks.where(top).select("tree", "n", F.col("start").alias("idx"), F.col("nodes")[0].alias("digest"))
     nodes = built[0]
     for more in built[1:]:
         nodes = nodes.unionByName(more)
 
-    # Of a level's ancestors at a distance a chunk must know how many nodes there are below.
-    sizes = numbered.groupBy("tree").agg(F.max("n").alias("n"))
-
-    def count_below(rows: DataFrame, distance: int) -> DataFrame:
-        # ceil(n / 2**level) nodes stand at a level.
-        below = F.expr(f"shiftright(n - 1, level - {distance}) + 1")
-        return rows.join(sizes, "tree").withColumn("count_below", below).drop("n")
-
     grown, waiting, distance = nodes.where("level > 0").drop("digest"), [], 1
     while distance < deepest:
         # Nodes at odd multiples of the distance are met from below, the others go on.
-        met = checkpoint(count_below(grown.where(F.col("level") % (2 * distance) == distance), distance))
+        met = checkpoint(grown.where(F.col("level") % (2 * distance) == distance))
         waiting.append((distance, met.where(F.col("level") == distance)))
-        grown = _jump(grown.where(F.col("level") % (2 * distance) == 0), met, distance)
+        grown = checkpoint(_jump(grown.where(F.col("level") % (2 * distance) == 0), met, distance))
         distance *= 2
 
-    siblings = nodes.where("level = 0").select("tree", "idx", "path")
+    siblings = built[0].where("level = 0").select("tree", "idx", "path")
     found = numbered.withColumn("level", F.lit(0)).join(siblings, ["tree", "idx"])
     for distance, above in waiting:
         found = _jump(found, above, distance)
-    subroots = nodes.where("level = depth").select("tree", _hex(F.col("digest")).alias("subroot"))
-    return per_tree(found, subroots).drop("level", "depth")
+    subroots = nodes.where("level = depth").select("tree", "n", _hex(F.col("digest")).alias("subroot"))
+    return per_tree(found, subroots).drop("level")
 
 
-def per_tree(rows: DataFrame, of_trees: DataFrame) -> DataFrame:
-    """rows (tree, idx, n, ...) with the columns of their tree; a large tree meets it in chunks."""
-    chunk = F.shiftright("idx", CHUNK)
-    sizes = rows.where("idx = 0").select("tree", F.shiftright(F.col("n") - 1, CHUNK).alias("last"))
-    each = of_trees.join(sizes, "tree").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
-    return rows.withColumn("chunk", chunk).join(each, ["tree", "chunk"]).drop("chunk")
+def per_tree(rows: DataFrame, trees: DataFrame) -> DataFrame:
+    """rows (tree, idx, ...) with the columns of their tree (tree, n, ...); a large one meets them in chunks."""
+    chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright(F.col("n") - 1, CHUNK))).alias("chunk")
+    each = trees.select("*", chunks).drop("n")
+    return rows.withColumn("chunk", F.shiftright("idx", CHUNK)).join(each, ["tree", "chunk"]).drop("chunk")
 
 
 def folded(leaf: Column, path: Column, idx: Column, first: Column | int = 0) -> Column:
@@ -206,9 +198,15 @@ def manifest(leaves: DataFrame, order: Sequence[str], claimed: str | None = None
     """
     known = leaves.withColumn("tree", F.coalesce(F.concat(F.lit("1"), "tree"), F.lit("0")))
     inner = checkpoint(proofs(checkpoint(known), order))
-    roots = inner.where("idx = 0").select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("subroot").alias("leaf"))
+    roots = inner.where("idx = 0").select(
+        F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("n").alias("size"), F.col("subroot").alias("leaf")
+    )
     top = proofs(roots, ["name"]).select(
-        F.col("name").alias("tree"), F.col("idx").alias("top_idx"), F.col("path").alias("top_path"), F.col("subroot").alias("root")
+        F.col("name").alias("tree"),
+        F.col("size").alias("n"),
+        F.col("idx").alias("top_idx"),
+        F.col("path").alias("top_path"),
+        F.col("subroot").alias("root"),
     )
     rows = per_tree(inner, checkpoint(top))
     start = F.coalesce(F.col(claimed), F.col("leaf")) if claimed else F.col("leaf")
