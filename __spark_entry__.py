@@ -16,6 +16,7 @@ from tripfold.functions.expressions import iso_time, plain_date, plain_time
 from tripfold.operators import repair, trips
 from tripfold.operators import visits as visiting
 from tripfold.operators.hot import by_heat, hot_entities
+from tripfold.operators.prints import count_paths, path_words
 from tripfold.plans import journeys
 from tripfold.sources.edges import edge_candidates, edge_distances, edge_lookup
 from tripfold.sources.readings import describe_readings, normalise, rejected, with_day_of_week
@@ -46,7 +47,7 @@ def _flat(rows: DataFrame) -> DataFrame:
             column = column.cast("bigint")
         return column.alias(name)
 
-    return rows.select(*(flat(n, k) for n, k in rows.dtypes if not k.startswith("array")))
+    return rows.select(*(flat(n, k) for n, k in rows.dtypes if not k.startswith(("array", "struct"))))
 
 
 def _per_reading(operator) -> Query:
@@ -182,6 +183,16 @@ def _entity_path_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(journeys.journey_path_rows(rows, hot_entities(rows)))
 
 
+def _path_frequency_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stand_in.readings(spark, sf_dir)
+    return _flat(journeys.journey_path_frequency(rows, hot_entities(rows)))
+
+
+def _path_frequency_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entity treated as a hot one."""
+    return _flat(count_paths(path_words(stand_in.readings(spark, sf_dir), spread=True)))
+
+
 def _shuffled_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lookup = edge_lookup(stand_in.edges(spark), max_bytes=0)
     return _flat(trips.trip_summary(stand_in.readings(spark, sf_dir), lookup))
@@ -220,6 +231,8 @@ def trip_queries() -> dict[str, Query]:
         "trip_path_array": _per_reading(trips.trip_path_rows),
         "trip_path_string": _paths(trips.trip_path_string),
         "path_frequency": _paths(trips.path_frequency),
+        "path_frequency_rows": _path_frequency_rows,
+        "path_frequency_spread": _path_frequency_spread,
         "path_signature": _paths(trips.path_signature),
         "trip_legs": _per_leg(trips.trip_leg_rows),
         "trip_legs_records": _per_leg(trips.trip_legs),
@@ -253,6 +266,7 @@ def trip_queries() -> dict[str, Query]:
         "trip_leg_candidates_list": _per_leg(_candidates_list),
         "trip_summary_part_edges": _part_edges,
         "trip_totals": _per_entity(journeys.journey_trip_totals),
+        "trip_totals_spread": _all_spread(trips.trip_totals),
         "repaired_totals": _per_entity(journeys.journey_repaired_totals),
         "visit_totals": _per_entity(journeys.journey_visit_totals),
         "itinerary_totals": _per_entity(journeys.journey_itinerary_totals),

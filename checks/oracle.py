@@ -269,7 +269,7 @@ _TRIP_OUT = (
 )
 _TOTALS_OUT = (
     f"entity_id, entity_type, {_day('date')} AS date, total_time, total_distance, avg_speed, "
-    f"day_of_week, start_place, end_place, {_unix('start_time')} AS start_time, "
+    f"path_hash, day_of_week, start_place, end_place, {_unix('start_time')} AS start_time, "
     f"{_unix('end_time')} AS end_time"
 )
 _ROW = f"entity_id, {_day('date')} AS date, entity_type, pos"
@@ -361,6 +361,15 @@ def statements() -> dict[str, str]:
             FROM ({_BOTH_WAYS}) GROUP BY ALL""",
             "ordered",
         ),
+        "path_frequency_rows": with_steps(
+            f"""SELECT trip.entity_id AS entity_id, {_day('trip.date')} AS date, count,
+                unnest(range(1, len(words) + 1)) AS pos, unnest(words) AS place
+            FROM (
+                SELECT string_split(greatest(path, path_rev), ':') AS words, count(*) AS count,
+                    min({{'entity_id': entity_id, 'date': date}}) AS trip
+                FROM ({_BOTH_WAYS}) GROUP BY words)""",
+            "ordered",
+        ),
         "path_signature": with_steps(
             f"""SELECT entity_id, {_day('date')} AS date, entity_type, path, path_rev,
                 {_path_hash('path', 'path_rev')} AS path_hash, {_dow('date')} AS day_of_week
@@ -460,7 +469,7 @@ def statements() -> dict[str, str]:
         "repaired_totals": with_steps(f"SELECT {_TOTALS_OUT} FROM repaired", "repaired"),
         "visit_totals": with_steps(
             f"""SELECT entity_id, entity_type, total_days, total_time, total_distance, avg_speed,
-                start_place, end_place, {_unix('start_time')} AS start_time,
+                path_hash, start_place, end_place, {_unix('start_time')} AS start_time,
                 {_unix('end_time')} AS end_time
             FROM visits""",
             "visits",
@@ -471,6 +480,7 @@ def statements() -> dict[str, str]:
                 CAST(sum(total_time) AS BIGINT) AS total_time,
                 {_sum('total_distance')} AS total_distance,
                 {_speed('(' + _sum('total_distance') + ')', 'sum(total_time)')} AS avg_speed,
+                {_signed('CAST(sum(path_hash * 31) AS BIGINT)')} AS path_hash,
                 arg_min(start_place, start_time) AS start_place,
                 arg_max(end_place, start_time) AS end_place,
                 {_unix('min(start_time)')} AS start_time,
@@ -521,5 +531,7 @@ def statements() -> dict[str, str]:
         ),
     }
     # Other plans for the same results.
+    found["path_frequency_spread"] = found["path_frequency_rows"]
+    found["trip_totals_spread"] = found["trip_totals"]
     found["trip_summary_spread"] = found["trip_summary_shuffled_lookup"] = found["trip_summary"]
     return found | {"visits_spread": found["visits"]}

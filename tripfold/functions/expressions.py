@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,6 +98,48 @@ def text_hash(text: Column) -> Column:
 
 def path_hash(path: Column, path_rev: Column) -> Column:
     """Hash of a path that is the same when path and path_rev change places."""
-    return to_int32(
-        text_hash(F.greatest(path, path_rev)) + text_hash(F.least(path, path_rev)) * 31
-    )
+    return mixed_hash(text_hash(F.greatest(path, path_rev)), text_hash(F.least(path, path_rev)))
+
+
+def mixed_hash(greater: Column, lesser: Column) -> Column:
+    """The path hash from the hashes of the greater and the lesser text."""
+    return to_int32(greater + lesser * 31)
+
+
+def utf16_length(text: str) -> str:
+    """SQL: the length of a text in UTF-16 code units."""
+    wide = f"octet_length(encode({text}, 'UTF-16BE')) div 2"
+    return f"IF(octet_length({text}) = char_length({text}), CAST(char_length({text}) AS bigint), {wide})"
+
+
+def low32(bits: Column) -> Column:
+    return bits.bitwiseAND(F.lit(_LOW_32))
+
+
+def times32(a: Column, b: Column) -> Column:
+    """The low 32 bits of a product of two numbers of 32 bits, without a product beyond 48 bits."""
+    high = F.shiftleft((a * F.shiftright(b, 16)).bitwiseAND(F.lit(65_535)), 16)
+    return low32(a * b.bitwiseAND(F.lit(65_535)) + high)
+
+
+# 31 to the power of 2**27 is 1 modulo 2**32, so 27 bits of an exponent count: three digits of nine.
+_DIGIT = 9
+
+
+def _digit_powers(digit: int) -> np.ndarray:
+    base = pow(31, 1 << (_DIGIT * digit), 1 << 32)
+    return np.array([pow(base, k, 1 << 32) for k in range(1 << _DIGIT)], np.int64)
+
+
+_POWERS = [_digit_powers(d) for d in range(3)]
+INVERSE_31 = pow(31, -1, 1 << 32)
+
+
+def power31(exponent: Column) -> Column:
+    """31 to a power modulo 2**32; a negative exponent gives the inverse."""
+    powers = []
+    for digit, table in enumerate(_POWERS):
+        place = F.shiftright(exponent, _DIGIT * digit).bitwiseAND(F.lit((1 << _DIGIT) - 1))
+        # An array as one literal: 512 literals would be as many nodes of a plan.
+        powers.append(F.get(F.lit(table), place.cast("int")))
+    return times32(times32(powers[0], powers[1]), powers[2])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripfold.functions.expressions import day_of_week, exact_sum, path_hash, round3, speed
+from tripfold.operators.prints import joined_print, print_hash
 from tripfold.operators.segments import add_segment, attach
 from tripfold.operators.trips import TRIP_SUMMARY, TRIP_TOTALS, nested
 from tripfold.schema import STOP_SEP, PlaceRules
@@ -167,10 +168,13 @@ def repaired_ends(ends: DataFrame, rules: PlaceRules = PlaceRules()) -> DataFram
 
 
 def repaired_totals(totals: DataFrame, rules: PlaceRules = PlaceRules()) -> DataFrame:
-    """Repaired trips without paths, from `trip_totals`: rows are short, and there are no lists."""
+    """Repaired trips without the texts of paths, from `trip_totals`: rows are short, there are no lists."""
+    keys = ["entity_id", "good", "segment"]
     segments = _numbered(totals.withColumn("good", is_good(rules)), rules)
-    merged = segments.groupBy("entity_id", "good", "segment").agg(
+    segments, prints, path_print = joined_print(segments, keys, "start_time", STOP_SEP)
+    merged = segments.groupBy(*keys).agg(
         *_merged_ends(),
+        *prints,
         F.min_by("entity_type", "start_time").alias("entity_type"),
         F.max_by("end_time", "start_time").alias("end_time"),
         F.sum("total_time").alias("total_time"),
@@ -184,4 +188,6 @@ def repaired_totals(totals: DataFrame, rules: PlaceRules = PlaceRules()) -> Data
         round3(F.col("distance")).alias("total_distance"),
         F.when(F.col("good"), own).otherwise(both).alias("avg_speed"),
         day_of_week(F.col("start_time")).alias("day_of_week"),
+        path_print.alias("path_print"),
+        print_hash(path_print).alias("path_hash"),
     ).select(*TRIP_TOTALS)

@@ -138,7 +138,7 @@ def itinerary(readings: DataFrame, lookup: DataFrame, spread: bool = False) -> D
         .agg(
             F.sum("total_time").alias("total_time"),
             exact_sum(F.col("total_distance")).alias("total_distance"),
-            to_int32(F.sum(F.col("path_hash").cast("bigint") * 31)).alias("path_hash"),
+            _days_hash(),
             nested(
                 "members",
                 *fields,
@@ -166,10 +166,13 @@ def itinerary(readings: DataFrame, lookup: DataFrame, spread: bool = False) -> D
     )
 
 
-#: An itinerary without records, legs and paths.
-ITINERARY_TOTALS = [
-    c for c in ITINERARY if c not in ("daily_records", "timed_path", "path", "path_hash")
-]
+#: An itinerary without records, legs and the text of its path.
+ITINERARY_TOTALS = [c for c in ITINERARY if c not in ("daily_records", "timed_path", "path")]
+
+
+def _days_hash() -> Column:
+    """Aggregate: the path hash of an itinerary, from those of its days."""
+    return to_int32(F.sum(F.col("path_hash").cast("bigint") * 31)).alias("path_hash")
 
 
 def itinerary_totals(totals: DataFrame) -> DataFrame:
@@ -186,6 +189,7 @@ def itinerary_totals(totals: DataFrame) -> DataFrame:
             F.max_by("end_place", "start_time").alias("end_place"),
             F.max_by("end_time", "start_time").alias("end_time"),
             F.min("start_time").alias("start_time"),
+            _days_hash(),
         )
         .withColumn("avg_speed", speed(F.col("total_distance"), F.col("total_time")))
         .select(*ITINERARY_TOTALS)

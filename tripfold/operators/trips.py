@@ -6,11 +6,14 @@ Operators named *_records give one row per trip with the list nested in it.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripfold.functions.expressions import any_order_sum, day_of_week, path_hash, round3, speed
 from tripfold.operators.ordering import READING_ORDER, TRIP, in_order
+from tripfold.operators.prints import PATH_SUMS, faced, print_hash, trip_aggregates, with_place_terms
 from tripfold.schema import SPEED_LIMIT, STOP_SEP
 
 
@@ -113,10 +116,12 @@ def path_signature(readings: DataFrame) -> DataFrame:
 # Legs: a reading together with the way from the one before it.
 
 
-def _located_legs(readings: DataFrame, lookup: DataFrame, spread: bool) -> DataFrame:
+def _located_legs(
+    readings: DataFrame, lookup: DataFrame, spread: bool, sums: Mapping[str, str] | None = None
+) -> DataFrame:
     """Ordered readings with elapsed seconds and the lookup's columns for the leg's two ends."""
     elapsed = F.unix_seconds("ts") - F.unix_seconds("prev_ts")
-    rows = in_order(readings, spread).withColumn(
+    rows = in_order(readings, spread, sums=sums).withColumn(
         "elapsed", F.coalesce(elapsed, F.lit(0).cast("bigint"))
     )
     ends = (F.col("prev_place") == F.col("source")) & (F.col("place") == F.col("target"))
@@ -171,9 +176,11 @@ def estimated_leg_rows(
     pick: str = "lowest",
     limit: float = SPEED_LIMIT,
     spread: bool = False,
+    sums: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Legs with one chosen candidate: the one of the lowest speed, or of the speed closest to
-    `limit`. Distance and speed are 0 without a candidate or without elapsed time.
+    `limit`. Distance and speed are 0 without a candidate or without elapsed time. `sums` are
+    carried along (see `in_order`).
 
     Within a leg the time is the same for all, so the lowest speed is the least distance.
     """
@@ -191,7 +198,7 @@ def estimated_leg_rows(
         raise ValueError(f"pick must be 'lowest' or 'closest', not {pick!r}")
     distance = F.when(F.col("elapsed") > 0, F.coalesce(chosen, F.lit(0.0))).otherwise(F.lit(0.0))
     return (
-        _located_legs(readings, lookup, spread)
+        _located_legs(readings, lookup, spread, sums)
         .withColumn("distance", distance)
         .select(
             *TRIP,
@@ -199,6 +206,7 @@ def estimated_leg_rows(
             *_LEG,
             "distance",
             F.coalesce(speed(F.col("distance"), F.col("elapsed")), F.lit(0.0)).alias("speed"),
+            *(f"{name}_{part}" for name in sums or () for part in ("before", "total")),
         )
     )
 
@@ -321,8 +329,8 @@ def trip_summary(
     return trips.select(*TRIP_SUMMARY, *([_timed_path(*stop)] if timed else []))
 
 
-#: A trip without its path.
-TRIP_TOTALS = [c for c in TRIP_SUMMARY if c not in ("path", "path_rev", "path_hash")]
+#: A trip without the texts of its path; path_print is what longer paths' hashes are made of.
+TRIP_TOTALS = [*(c for c in TRIP_SUMMARY if c not in ("path", "path_rev")), "path_print"]
 
 
 def trip_totals(
@@ -332,20 +340,36 @@ def trip_totals(
     limit: float = SPEED_LIMIT,
     spread: bool = False,
 ) -> DataFrame:
-    """Trips with their times, distances and ends, from sums and least values: no lists."""
-    legs = estimated_leg_rows(readings, lookup, pick, limit, spread)
-    distance = any_order_sum(F.col("distance")).alias("distance")
+    """Trips with their times, distances, ends and path hash, from sums and least values: no lists."""
+    legs = estimated_leg_rows(readings, lookup, pick, limit, spread, PATH_SUMS)
+    exact = F.when(F.col("face.own"), F.col("distance").cast("decimal(38,18)"))
+    pairs = [
+        F.min("ts").alias("start_time"),
+        F.max("ts").alias("end_time"),
+        F.min(F.struct("pos", "place")).alias("first_stop"),
+        F.max(F.struct("pos", "place", "entity_type")).alias("last_stop"),
+        F.sum(exact).alias("exact"),
+    ]
+    whole = [
+        F.min("start_time").alias("start_time"),
+        F.max("end_time").alias("end_time"),
+        F.min("first_stop").alias("first_stop"),
+        F.max("last_stop").alias("last_stop"),
+        F.sum("exact").cast("double").alias("distance"),
+    ]
+    trips = trip_aggregates(faced(with_place_terms(legs)), pairs, whole)
     seconds = F.unix_seconds("end_time") - F.unix_seconds("start_time")
-    trips = legs.groupBy(*TRIP).agg(*_ends("pos"), distance)
     return trips.withColumn("total_time", seconds).select(
         *TRIP,
-        "entity_type",
+        "last_stop.entity_type",
         "total_time",
         round3(F.col("distance")).alias("total_distance"),
         speed(F.col("distance"), F.col("total_time")).alias("avg_speed"),
         day_of_week(F.col("date")).alias("day_of_week"),
-        "start_place",
-        "end_place",
+        F.col("first_stop.place").alias("start_place"),
+        F.col("last_stop.place").alias("end_place"),
         "start_time",
         "end_time",
+        print_hash(F.col("path_print")).alias("path_hash"),
+        "path_print",
     ).select(*TRIP_TOTALS)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripfold.functions.expressions import calendar_days, exact_sum, path_hash, speed
+from tripfold.operators.prints import joined_print, print_hash
 from tripfold.operators.segments import add_segment, attach
 from tripfold.operators.trips import nested
 from tripfold.schema import DAY_SEP, DESTINATION_SEP, PlaceRules
@@ -45,8 +46,12 @@ DAILY = [
 
 
 def is_visit_candidate(rules: PlaceRules = PlaceRules()) -> Column:
-    """A trip that does not both start and end at an outer place."""
-    return ~rules.is_outer(F.col("start_place")) | ~rules.is_outer(F.col("end_place"))
+    """A trip that does not both start and end at an outer place; a NULL place is not outer."""
+
+    def outer(place: str) -> Column:
+        return F.coalesce(rules.is_outer(F.col(place)), F.lit(False))
+
+    return ~outer("start_place") | ~outer("end_place")
 
 
 def visit_candidates(trips: DataFrame, rules: PlaceRules = PlaceRules()) -> DataFrame:
@@ -87,17 +92,19 @@ _MEMBER = [
 VISIT_TOTALS = [
     c
     for c in VISIT
-    if c not in ("daily_records", "path", "path_hash", "destinations", "destination_string")
+    if c not in ("daily_records", "path", "destinations", "destination_string")
 ]
 
 
 def visit_totals(totals: DataFrame, rules: PlaceRules = PlaceRules()) -> DataFrame:
-    """Visits without their records and paths, from `repaired_totals`: no lists."""
-    candidates = visit_candidates(totals, rules)
+    """Visits without their records and the texts of paths, from `repaired_totals`: no lists."""
+    keys = ["entity_id", "segment"]
+    segments = add_segment(visit_candidates(totals, rules), ["entity_id"], ends_visit(rules))
+    segments, prints, path_print = joined_print(segments, keys, "start_time", DAY_SEP)
     whole = (
-        add_segment(candidates, ["entity_id"], ends_visit(rules))
-        .groupBy("entity_id", "segment")
+        segments.groupBy(*keys)
         .agg(
+            *prints,
             F.min_by("entity_type", "start_time").alias("entity_type"),
             F.sum("total_time").alias("total_time"),
             exact_sum(F.col("total_distance")).alias("total_distance"),
@@ -110,6 +117,7 @@ def visit_totals(totals: DataFrame, rules: PlaceRules = PlaceRules()) -> DataFra
     )
     return whole.select(
         "*",
+        print_hash(path_print).alias("path_hash"),
         calendar_days(F.col("start_time"), F.col("last_start")).alias("total_days"),
         speed(F.col("total_distance"), F.col("total_time")).alias("avg_speed"),
     ).select(*VISIT_TOTALS)

@@ -12,6 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from tripfold.operators.hot import by_heat
+from tripfold.operators.prints import count_paths, path_words
 from tripfold.operators.repair import (
     repair_trips,
     repaired_ends,
@@ -151,3 +152,8 @@ def journey_itinerary_totals(
 
 def journey_path_rows(readings: DataFrame, hot: Sequence[Any] = ()) -> DataFrame:
     return by_heat(readings, hot, lambda r, s: entity_path_rows(by_entity(r, s), s))
+
+
+def journey_path_frequency(readings: DataFrame, hot: Sequence[Any] = ()) -> DataFrame:
+    """Path counts as a row per word, without a path in one value; see `count_paths`."""
+    return count_paths(by_heat(readings, hot, lambda r, s: path_words(by_entity(r, s), s)))
