@@ -18,7 +18,15 @@ from tripfold.operators import visits as visiting
 from tripfold.operators.hot import by_heat, hot_entities
 from tripfold.operators.prints import count_paths, path_words
 from tripfold.plans import journeys
-from tripfold.sources.edges import edge_candidates, edge_distances, edge_lookup
+from tripfold.sources.dated import read_days
+from tripfold.sources.edges import (
+    edge_candidates,
+    edge_distance_rows,
+    edge_lookup,
+    parsed_edges,
+    unusable_edges,
+    usable_edges,
+)
 from tripfold.sources.readings import describe_readings, normalise, rejected, with_day_of_week
 
 try:  # the corpus operators are optional
@@ -111,15 +119,15 @@ def _readings_dow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edge_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    distances = edge_distances(stand_in.part_edges(spark, sf_dir))
-    return _flat(
-        distances.select(
-            "source",
-            "target",
-            "min_distance",
-            F.posexplode("distances").alias("pos", "distance"),
-        )
-    )
+    return _flat(edge_distance_rows(stand_in.part_edges(spark, sf_dir)))
+
+
+def _edges_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(unusable_edges(parsed_edges(stand_in.broken_edges(spark, sf_dir))))
+
+
+def _edges_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(usable_edges(parsed_edges(stand_in.broken_edges(spark, sf_dir))))
 
 
 def _edge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,8 +173,9 @@ def _candidates_list(readings: DataFrame, lookup: DataFrame, spread: bool) -> Da
     records = trips.trip_leg_candidates(readings, lookup, spread)
     legs = _list_rows("timed_path", "entity_id", "date")(records)
     keys = ["entity_id", "date", "pos", "ts", "place", "elapsed"]
-    each = legs.select(*keys, F.posexplode_outer("candidates").alias("at", "way"))
-    return each.select(*keys, (F.col("at") + 1).alias("candidate"), "way.distance", "way.speed")
+    each = legs.select(*keys, F.explode_outer("candidates").alias("way"))
+    number = F.expr(f"explode_outer({trips.CANDIDATE_NUMBERS})").alias("candidate")
+    return each.select(*keys, number, "way.distance", "way.speed")
 
 
 def _part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,6 +221,47 @@ def _visits_export(visits: DataFrame) -> DataFrame:
     )
 
 
+def _job_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visits as the job writes them, from CSV to JSON."""
+    folder, _ = stand_in.job_run(spark, sf_dir)
+    return spark.read.json(f"{folder}/visits").select(
+        "entity_id", "start_time", "end_time", "total_time", "total_distance", "path", "path_hash", "destination_string"
+    )
+
+
+def _job_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repaired trips as the job writes them, from CSV to JSON."""
+    folder, _ = stand_in.job_run(spark, sf_dir)
+    return spark.read.json(f"{folder}/trips").select(
+        "entity_id", "date", "start_time", "end_time", "total_time", "total_distance", "path", "path_hash", "day_of_week"
+    )
+
+
+def _job_dated_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repaired trips of some days from the job's table by date."""
+    folder, _ = stand_in.job_run(spark, sf_dir)
+    return _flat(read_days(spark, f"{folder}/dated", *oracle.SOME_DAYS).select("entity_id", "date", "path", "path_hash"))
+
+
+def _job_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the job read, rejected and made."""
+    _, counts = stand_in.job_run(spark, sf_dir)
+    return spark.createDataFrame(sorted(counts.items()), "what string, n bigint")
+
+
+def _chunks(plan, name: str, **size) -> Query:
+    """Chunks of an entity's records as rows, numbered through."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = stand_in.readings(spark, sf_dir)
+        chunks = plan(rows, edge_lookup(stand_in.edges(spark)), hot=hot_entities(rows), **size)
+        each = chunks.select("entity_id", "chunk", F.posexplode(name).alias("at", "item"))
+        number = F.col("chunk") * next(iter(size.values())) + F.col("at") + 1
+        return _flat(each.select("entity_id", number.alias("pos"), "item.*"))
+
+    return query
+
+
 def queries() -> dict[str, Query]:
     found = corpus.queries() | {"pipeline": corpus_pipeline.run} if corpus else {}
     return trip_queries() | found
@@ -222,6 +272,8 @@ def trip_queries() -> dict[str, Query]:
         "readings_normalised": _readings_normalised,
         "readings_dow": _readings_dow,
         "readings_rejected": _readings_rejected,
+        "edges_usable": _edges_usable,
+        "edges_rejected": _edges_rejected,
         "edge_candidates": _edge_candidates,
         "edge_distances": _edge_distances,
         "trip_timeline": _per_reading(trips.trip_timeline_rows),
@@ -271,11 +323,18 @@ def trip_queries() -> dict[str, Query]:
         "visit_totals": _per_entity(journeys.journey_visit_totals),
         "itinerary_totals": _per_entity(journeys.journey_itinerary_totals),
         "entity_path_rows": _entity_path_rows,
+        "itinerary_leg_chunks": _chunks(journeys.journey_itinerary_leg_chunks, "timed_path", legs=7),
+        "itinerary_day_chunks": _chunks(journeys.journey_itinerary_day_chunks, "daily_records", days=3),
+        "job_visits": _job_visits,
+        "job_trips": _job_trips,
+        "job_dated_trips": _job_dated_trips,
+        "job_counts": _job_counts,
     }
 
 
 def _candidate_records(readings: DataFrame, lookup: DataFrame, spread: bool) -> DataFrame:
-    counts = F.transform("timed_path", lambda leg: F.size(leg["candidates"]).cast("string"))
+    several = "aggregate(leg.candidates, 0L, (n, c) -> n + c.copies)"
+    counts = F.expr(f"transform(timed_path, leg -> string({several}))")
     records = trips.trip_leg_candidates(readings, lookup, spread)
     return records.withColumn("candidate_counts", F.array_join(counts, ";"))
 

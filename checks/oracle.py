@@ -246,7 +246,7 @@ _PLACE_EDGES = f"""SELECT {_NAMES}[(p_partkey % 5)::INT + 1] AS source,
     {_NAMES}[(p_size % 5)::INT + 1] AS target, p_size / 16 AS distance FROM part"""
 
 
-def with_steps(select: str, *last: str, edges: str | None = None) -> str:
+def with_steps(select: str, *last: str, edges: str | None = None, readings: str | None = None) -> str:
     needed: list[str] = []
 
     def need(step: str) -> None:
@@ -257,7 +257,7 @@ def with_steps(select: str, *last: str, edges: str | None = None) -> str:
 
     for step in last:
         need(step)
-    steps = _STEPS | ({"edges": edges} if edges else {})
+    steps = _STEPS | ({"edges": edges} if edges else {}) | ({"readings": readings} if readings else {})
     ctes = ",\n".join(f"{step} AS ({steps[step]})" for step in needed)
     return f"WITH {ctes}\n{select}"
 
@@ -287,6 +287,14 @@ _BOTH_WAYS = """
         string_agg(place, ':' ORDER BY pos DESC) AS path_rev
     FROM ordered GROUP BY entity_id, date"""
 _PARTS = "SELECT p_brand AS source, p_type AS target, p_size / 16 AS distance FROM part"
+_BROKEN = """
+    SELECT *, CASE distance_text WHEN 'far' THEN 'unreadable distance' WHEN 'NaN' THEN 'distance not finite'
+        WHEN 'Infinity' THEN 'distance not finite' WHEN '1e21' THEN 'distance out of range' END AS reason,
+        CASE WHEN distance_text = '-2' THEN -2 ELSE p_size / 16 END AS distance
+    FROM (SELECT p_brand AS source, p_type AS target, p_size,
+        CASE WHEN p_partkey % 13 = 0 THEN 'NaN' WHEN p_partkey % 11 = 0 THEN 'Infinity'
+            WHEN p_partkey % 7 = 0 THEN 'far' WHEN p_partkey % 5 = 0 THEN '1e21'
+            WHEN p_partkey % 3 = 0 THEN '-2' END AS distance_text FROM part)"""
 _PATH_RECORD = f"""
     SELECT entity_id, date, arg_max(entity_type, pos) AS entity_type,
         {_unix('max(ts)')} - {_unix('min(ts)')} AS total_time,
@@ -298,6 +306,14 @@ _PATH_RECORD_OUT = f"""entity_id, {_day('date')} AS date, entity_type, total_tim
     {_path_hash('path', 'path_rev')} AS path_hash, {_dow('date')} AS day_of_week"""
 
 
+#: The readings that the job's input has unbroken, as the job reads them.
+_UNBROKEN = f"""SELECT * REPLACE (entity_id::VARCHAR AS entity_id) FROM ({_STEPS['readings']})
+    WHERE reading_id % 3 <> 0 AND reading_id % 5 <> 0 AND reading_id % 7 <> 0"""
+#: Days that the trips by date are read for.
+SOME_DAYS = ("2024-01-05", "2024-01-20")
+_ISO = "'%Y-%m-%dT%H:%M:%SZ'"
+
+
 def statements() -> dict[str, str]:
     found = {
         "readings_normalised": with_steps(
@@ -324,6 +340,8 @@ def statements() -> dict[str, str]:
             FROM readings""",
             "readings",
         ),
+        "edges_usable": f"SELECT source, target, distance FROM ({_BROKEN}) WHERE reason IS NULL",
+        "edges_rejected": f"SELECT source, target, distance_text, reason FROM ({_BROKEN}) WHERE reason IS NOT NULL",
         "edge_candidates": f"""
             SELECT source, target, distance, count(*) AS copies
             FROM ({_PARTS}) GROUP BY source, target, distance""",
@@ -530,7 +548,46 @@ def statements() -> dict[str, str]:
             f"SELECT {_TRIP_OUT} FROM trips", "trips", edges=_PLACE_EDGES
         ),
     }
+    found |= {
+        "job_visits": with_steps(
+            f"""SELECT entity_id, strftime(start_time, {_ISO}) AS start_time, strftime(end_time, {_ISO}) AS end_time,
+                total_time, total_distance, path, path_hash, destination_string
+            FROM visits""",
+            "visits",
+            readings=_UNBROKEN,
+        ),
+        "job_trips": with_steps(
+            f"""SELECT entity_id, {_day('date')} AS date, strftime(start_time, {_ISO}) AS start_time,
+                strftime(end_time, {_ISO}) AS end_time, total_time, total_distance, path, path_hash, day_of_week
+            FROM repaired""",
+            "repaired",
+            readings=_UNBROKEN,
+        ),
+        "job_dated_trips": with_steps(
+            f"""SELECT entity_id, {_day('date')} AS date, path, path_hash FROM repaired
+            WHERE date BETWEEN DATE '{SOME_DAYS[0]}' AND DATE '{SOME_DAYS[1]}'""",
+            "repaired",
+            readings=_UNBROKEN,
+        ),
+        "job_counts": with_steps(
+            """SELECT 'readings' AS what, (SELECT count(*) FROM readings) AS n
+            UNION ALL SELECT 'rejected_readings', (SELECT count(*) FROM events) - (SELECT count(*) FROM readings)
+            UNION ALL SELECT 'edges', (SELECT count(*) FROM edges)
+            UNION ALL SELECT 'rejected_edges', 0
+            UNION ALL SELECT 'repaired_trips', (SELECT count(*) FROM repaired)
+            UNION ALL SELECT 'visits', (SELECT count(*) FROM visits)""",
+            "visits",
+            readings=_UNBROKEN,
+        ),
+        "itinerary_day_chunks": with_steps(
+            f"""SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY date) AS pos,
+                {_DAILY.replace('path, path_hash', 'path_hash')}
+            FROM numbered_days""",
+            "numbered_days",
+        ),
+    }
     # Other plans for the same results.
+    found["itinerary_leg_chunks"] = found["itinerary_timed_path"]
     found["path_frequency_spread"] = found["path_frequency_rows"]
     found["trip_totals_spread"] = found["trip_totals"]
     found["trip_summary_spread"] = found["trip_summary_shuffled_lookup"] = found["trip_summary"]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripfold.schema import ISO_TIME, PLAIN_TIME, RAW_ENTITY, RAW_PLACE, RAW_TIME, RAW_TYPE
-from tripfold.session import configure
+from tripfold.plans import job
+from tripfold.schema import ISO_TIME, PLAIN_TIME, RAW_ENTITY, RAW_PLACE, RAW_READINGS, RAW_TIME, RAW_TYPE
+from tripfold.session import configure, shared_folder
 from tripfold.sources.readings import with_date
 
 # The place each event type stands for, and the place numbers of the edge rule.
@@ -63,6 +66,19 @@ def place_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# What stands in for every thirteenth distance and so on in `broken_edges`.
+BROKEN = {13: "NaN", 11: "Infinity", 7: "far", 5: "1e21", 3: "-2"}
+
+
+def broken_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The larger edge list as text, with odd distances by the part's number, most of them unusable."""
+    parts = configure(spark).read.parquet(f"{sf_dir}/part.parquet")
+    text = (F.col("p_size") / 16).cast("string")
+    for number, wrong in sorted(BROKEN.items()):
+        text = F.when(F.col("p_partkey") % number == 0, wrong).otherwise(text)
+    return parts.select(F.col("p_brand").alias("source"), F.col("p_type").alias("target"), text.alias("distance"))
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = configure(spark).read.parquet(f"{sf_dir}/events.parquet")
     place = F.lit(None).cast("string")
@@ -105,3 +121,16 @@ def broken_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn(RAW_ENTITY, F.when(n % 5 != 0, F.col(f"`{RAW_ENTITY}`")))
         .withColumn(RAW_TIME, F.when(n % 7 != 0, F.col(f"`{RAW_TIME}`")).otherwise("no time"))
     )
+
+
+def job_run(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, int]]:
+    """The job over CSV tables of the broken readings and the edges: its folder and what it counted.
+
+    The folder has visits and trips in JSON, and trips by date in `dated`.
+    """
+    folder = f"{shared_folder(configure(spark))}/job-{uuid.uuid4().hex}"
+    raw = broken_readings(spark, sf_dir).select(*(F.col(f"`{c}`") for c in RAW_READINGS.names))
+    raw.write.option("header", True).csv(f"{folder}/readings")
+    edges(spark).write.option("header", True).csv(f"{folder}/edges")
+    paths = (f"{folder}/{name}" for name in ("readings", "edges", "visits", "trips"))
+    return folder, job.run(spark, *paths, dated_path=f"{folder}/dated")

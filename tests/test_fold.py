@@ -193,7 +193,7 @@ def test_records_hold_the_rows(readings, lookup):
         want = {}
         for r in sorted(long.collect(), key=lambda r: r.pos):
             want.setdefault((r.entity_id, r.date), []).append(tuple(r[f] for f in fields))
-        got = {(r.entity_id, r.date): [tuple(s) for s in r.timed_path] for r in record.collect()}
+        got = {(r.entity_id, r.date): [tuple(s[f] for f in fields) for s in r.timed_path] for r in record.collect()}
         if "total_time" in record.columns and "path" not in record.columns:
             got = {k: v[::-1] for k, v in got.items()}
         assert got == want

@@ -132,11 +132,13 @@ def test_the_job_writes_and_counts_rejects(spark, tmp_path):
     (tmp_path / "r.csv").write_text(
         "Timestamp,car-id,car-type,gate-name\n2015-05-01 00:43:28,1,4,gate8\nnever,1,4,gate8\n"
     )
-    (tmp_path / "e.csv").write_text("source,target,distance\na,b,x\n")
+    (tmp_path / "e.csv").write_text("source,target,distance\na,b,NaN\n")
     counts = run(spark, str(tmp_path / "r.csv"), str(tmp_path / "e.csv"), str(tmp_path / "v"), str(tmp_path / "t"))
-    assert counts == {"readings": 1, "edges": 1}
-    kept = spark.read.parquet(str(tmp_path / "v.work" / "rejected_readings"))
-    assert kept.first().reason == "unreadable time"
+    assert counts == {
+        "readings": 1, "rejected_readings": 1, "edges": 0, "rejected_edges": 1, "repaired_trips": 1, "visits": 1
+    }
+    kept = spark.read.parquet(str(tmp_path / "v.work" / "readings")).where("status = 'rejected'")
+    assert [r.reason for r in kept.collect()] == ["unreadable time"]
     assert rejected(read_raw_readings(spark, str(tmp_path / "r.csv"))).count() == 1
     trips = [json.loads(x) for f in (tmp_path / "t").glob("*.json") for x in f.read_text().splitlines()]
     assert len(trips) == 1 and trips[0]["avg_speed"] is None

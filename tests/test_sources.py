@@ -10,7 +10,7 @@ from tests.data import edge_list, random_readings, readings_frame
 from tripfold.operators.trips import trip_summary
 from tripfold.plans.job import run
 from tripfold.sinks.files import write_json, write_parquet
-from tripfold.sources.edges import edge_candidates, edge_distances, edge_lookup, read_edges
+from tripfold.sources.edges import edge_candidates, edge_distance_rows, edge_distances, edge_lookup, read_edges
 from tripfold.sources.readings import (
     describe_readings,
     normalise,
@@ -72,8 +72,10 @@ def test_edges(spark, tmp_path):
     path = tmp_path / "edges.csv"
     path.write_text("source,target,distance\na,b,2.5\nb,a,1\na,b,0.5\na,b,2.5\n")
     edges = read_edges(spark, str(path))
-    got = {(r.source, r.target): (r.distances, r.min_distance) for r in edge_distances(edges).collect()}
-    assert got == {("a", "b"): ([0.5, 2.5, 2.5], 0.5), ("b", "a"): ([1.0], 1.0)}
+    got = {(r.source, r.target): ([tuple(run) for run in r.runs], r.min_distance) for r in edge_distances(edges).collect()}
+    assert got == {("a", "b"): ([(0.5, 1, 0), (2.5, 2, 1)], 0.5), ("b", "a"): ([(1.0, 1, 0)], 1.0)}
+    each = sorted((r.source, r.pos, r.distance) for r in edge_distance_rows(edges).collect())
+    assert each == [("a", 0, 0.5), ("a", 1, 2.5), ("a", 2, 2.5), ("b", 0, 1.0)]
     copies = {(r.source, r.distance): r.copies for r in edge_candidates(edges).collect()}
     assert copies == {("a", 0.5): 1, ("a", 2.5): 2, ("b", 1.0): 1}
 

@@ -48,9 +48,10 @@ def round3(value: Column) -> Column:
 def exact_sum(rounded: Column) -> Column:
     """Aggregate: sum of values of few decimals, the same in any order of adding.
 
-    Summed as whole millionths, so that a retried or split task cannot change the last digit.
+    Summed as whole millionths, so that a retried or split task cannot change the last digit; as
+    decimals, which hold any number of the largest distances.
     """
-    return F.sum(F.rint(rounded * 1_000_000).cast("bigint")) / 1_000_000
+    return F.sum(F.rint(rounded * 1_000_000).cast("decimal(28,0)")).cast("double") / 1_000_000
 
 
 def any_order_sum(value: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripfold.session import kept
+
 TRIP = ["entity_id", "date"]
 READING_ORDER = ["ts", "reading_id"]
 
@@ -14,17 +16,16 @@ READING_ORDER = ["ts", "reading_id"]
 def in_order(
     readings: DataFrame,
     spread: bool = False,
-    slice_seconds: int = 60,
     sums: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Adds pos (1, 2, ...), prev_ts and prev_place within (entity, date).
 
     `sums` names SQL expressions of a row; for each, name_before is its sum over the readings before
-    and name_total that over the whole day. With `spread` a day is cut into time slices that are
-    ordered in separate tasks.
+    and name_total that over the whole day. With `spread` a day is cut into slices that are ordered in
+    separate tasks, however many readings fall into a minute or a second.
     """
     if spread:
-        return _in_sliced_order(readings, slice_seconds, sums or {})
+        return _in_sliced_order(readings, sums or {})
     totals = (f"sum({e}) OVER (PARTITION BY {', '.join(TRIP)}) AS {n}_total" for n, e in (sums or {}).items())
     return _numbered(readings, TRIP, sums or {}).selectExpr("*", *totals)
 
@@ -41,9 +42,21 @@ def _numbered(readings: DataFrame, keys: list[str], sums: Mapping[str, str]) ->
     )
 
 
-def _in_sliced_order(readings: DataFrame, slice_seconds: int, sums: Mapping[str, str]) -> DataFrame:
+def placed_in_slices(readings: DataFrame) -> DataFrame:
+    """Readings with `slice`: the number of their range of (entity, date, time, reading).
+
+    Ranges hold about equal numbers of readings, as a number of its own per reading is the last part
+    of the order: neither a crowded second nor readings that tie fill one. Where the bounds lie is
+    drawn, and no result depends on it; the placement is written down once, so that later steps agree.
+    """
+    number = readings.withColumn("number", F.monotonically_increasing_id())
+    placed = number.repartitionByRange(*TRIP, *READING_ORDER, "number").drop("number")
+    return kept(placed.withColumn("slice", F.spark_partition_id()))
+
+
+def _in_sliced_order(readings: DataFrame, sums: Mapping[str, str]) -> DataFrame:
     slices = [*TRIP, "slice"]
-    sliced = readings.withColumn("slice", F.floor(F.unix_seconds("ts") / slice_seconds))
+    sliced = placed_in_slices(readings)
 
     # What each slice hands to the next one: its last reading, how many came before, and sums.
     # Counts and last readings are combined before the shuffle, so this stays one small row

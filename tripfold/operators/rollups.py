@@ -99,6 +99,46 @@ def itinerary_leg_rows(readings: DataFrame, lookup: DataFrame, spread: bool = Fa
     )
 
 
+def itinerary_leg_chunks(
+    readings: DataFrame, lookup: DataFrame, spread: bool = False, legs: int = 10_000
+) -> DataFrame:
+    """The legs of an itinerary as records of at most `legs` legs: entity, chunk (from 0), timed_path.
+
+    A chunk's legs joined to those of the next, in order, are the itinerary's timed_path. The number
+    of a leg among an entity's is made from its place in the day and the days' counts, which are short
+    rows, so no cell and no window holds an entity's legs.
+    """
+    counts = readings.groupBy(*TRIP).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("entity_id").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*TRIP, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    rows = itinerary_leg_rows(readings, lookup, spread).alias("r")
+    numbered = rows.join(starts.alias("s"), [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in TRIP]).select(
+        "r.*", (F.col("before") + F.col("pos") - 1).alias("number")
+    )
+    return (
+        numbered.withColumn("chunk", F.floor(F.col("number") / legs))
+        .groupBy("entity_id", "chunk")
+        .agg(nested("timed_path", "ts", "place", "elapsed", "distance", "speed", "days_to_next", by="number"))
+    )
+
+
+#: A day of an itinerary without the text of its path.
+DAILY_TOTALS = [c for c in DAILY if c != "path"]
+
+
+def itinerary_day_chunks(totals: DataFrame, days: int = 1_000) -> DataFrame:
+    """The days of an itinerary, from `trip_totals`, as records of at most `days` days, counters running
+    on from chunk to chunk: entity, chunk (from 0), daily_records."""
+    order = Window.partitionBy("entity_id").orderBy(*TRIP_ORDER)
+    rows = _with_day_counters(totals, False).withColumn("number", F.row_number().over(order) - 1)
+    return (
+        rows.withColumn("hash", F.col("path_hash"))
+        .withColumn("chunk", F.floor(F.col("number") / days))
+        .groupBy("entity_id", "chunk")
+        .agg(nested("daily_records", *DAILY_TOTALS, by="number"))
+    )
+
+
 ITINERARY = [
     "entity_id",
     "entity_type",

@@ -15,6 +15,7 @@ from tripfold.functions.expressions import any_order_sum, day_of_week, path_hash
 from tripfold.operators.ordering import READING_ORDER, TRIP, in_order
 from tripfold.operators.prints import PATH_SUMS, faced, print_hash, trip_aggregates, with_place_terms
 from tripfold.schema import SPEED_LIMIT, STOP_SEP
+from tripfold.sources.edges import distance_bin, edge_cells, edge_reach
 
 
 def nested(name: str, *fields: str, by: str = "pos", descending: bool = False) -> Column:
@@ -134,7 +135,7 @@ _LEG = ["pos", "ts", "place", "elapsed"]
 def trip_leg_rows(readings: DataFrame, lookup: DataFrame, spread: bool = False) -> DataFrame:
     """Legs with a single distance, the least; 0 where there is no edge."""
     distance = F.coalesce("min_distance", F.lit(0.0))
-    return _located_legs(readings, lookup, spread).select(
+    return _located_legs(readings, edge_reach(lookup), spread).select(
         *TRIP,
         "entity_type",
         *_LEG,
@@ -144,27 +145,40 @@ def trip_leg_rows(readings: DataFrame, lookup: DataFrame, spread: bool = False)
 
 
 def trip_candidate_legs(readings: DataFrame, lookup: DataFrame, spread: bool = False) -> DataFrame:
-    """Legs with every candidate (distance, speed), by ascending distance."""
+    """Legs with every candidate (distance, speed, copies, before), by ascending distance.
+
+    Equal candidates are one, with their number and how many come before.
+    """
     candidates = F.transform(
-        F.coalesce("distances", F.array().cast("array<double>")),
-        lambda d: F.struct(d.alias("distance"), speed(d, F.col("elapsed")).alias("speed")),
+        F.coalesce("runs", F.array().cast("array<struct<distance:double,copies:bigint,before:bigint>>")),
+        lambda r: F.struct(
+            r["distance"].alias("distance"),
+            speed(r["distance"], F.col("elapsed")).alias("speed"),
+            r["copies"].alias("copies"),
+            r["before"].alias("before"),
+        ),
     )
     return _located_legs(readings, lookup, spread).select(
         *TRIP, "entity_type", *_LEG, candidates.alias("candidates")
     )
 
 
+#: The numbers, from 1, of the edges that a candidate `way` stands for; NULL where there is none.
+CANDIDATE_NUMBERS = "sequence(way.before + 1, way.before + way.copies)"
+
+
 def trip_leg_candidate_rows(
     readings: DataFrame, lookup: DataFrame, spread: bool = False
 ) -> DataFrame:
-    """One row per leg and candidate; a leg without any has one row, with NULLs."""
-    return trip_candidate_legs(readings, lookup, spread).select(
-        *TRIP, "entity_type", *_LEG, F.posexplode_outer("candidates").alias("candidate", "way")
-    ).select(
+    """One row per leg and candidate, equal ones written out; a leg without any has one row, with NULLs."""
+    ways = trip_candidate_legs(readings, lookup, spread).select(
+        *TRIP, "entity_type", *_LEG, F.explode_outer("candidates").alias("way")
+    )
+    return ways.select(
         *TRIP,
         "entity_type",
         *_LEG,
-        (F.col("candidate") + 1).alias("candidate"),
+        F.expr(f"explode_outer({CANDIDATE_NUMBERS})").alias("candidate"),
         "way.distance",
         "way.speed",
     )
@@ -184,31 +198,57 @@ def estimated_leg_rows(
 
     Within a leg the time is the same for all, so the lowest speed is the least distance.
     """
+    if pick not in ("lowest", "closest"):
+        raise ValueError(f"pick must be 'lowest' or 'closest', not {pick!r}")
+    legs = _located_legs(readings, edge_reach(lookup), spread, sums)
     if pick == "lowest":
         chosen = F.col("min_distance")
-    elif pick == "closest":
-        ranked = F.transform(
-            "distances",
-            lambda d: F.struct(
-                F.abs(speed(d, F.col("elapsed")) - limit).alias("off"), d.alias("distance")
-            ),
-        )
-        chosen = F.array_min(ranked)["distance"]
     else:
-        raise ValueError(f"pick must be 'lowest' or 'closest', not {pick!r}")
+        legs, chosen = _nearest(legs, lookup, limit)
     distance = F.when(F.col("elapsed") > 0, F.coalesce(chosen, F.lit(0.0))).otherwise(F.lit(0.0))
-    return (
-        _located_legs(readings, lookup, spread, sums)
-        .withColumn("distance", distance)
-        .select(
-            *TRIP,
-            "entity_type",
-            *_LEG,
-            "distance",
-            F.coalesce(speed(F.col("distance"), F.col("elapsed")), F.lit(0.0)).alias("speed"),
-            *(f"{name}_{part}" for name in sums or () for part in ("before", "total")),
-        )
+    return legs.withColumn("distance", distance).select(
+        *TRIP,
+        "entity_type",
+        *_LEG,
+        "distance",
+        F.coalesce(speed(F.col("distance"), F.col("elapsed")), F.lit(0.0)).alias("speed"),
+        *(f"{name}_{part}" for name in sums or () for part in ("before", "total")),
+    )
+
+
+def _nearest(legs: DataFrame, lookup: DataFrame, limit: float) -> tuple[DataFrame, Column]:
+    """Legs joined to the distance whose speed is nearest to `limit`, and that distance as a column.
+
+    The wanted distance (limit times elapsed) falls into one cell of its pair, and the leg meets the
+    cells of its bin only: no list of distances travels with a leg. The speeds of the cell's distance
+    and its two neighbours decide, the lesser distance on a tie.
+    """
+    wanted = F.lit(limit) * F.col("elapsed") / 3600
+    legs = legs.withColumn("wanted", F.when(F.col("elapsed") > 0, wanted)).withColumn(
+        "wanted_bin", distance_bin(F.col("wanted"), F.col("min_distance"), F.col("max_distance"), F.col("n_distances"))
     )
+    cells = edge_cells(lookup).select(
+        F.col("source").alias("cell_source"),
+        F.col("target").alias("cell_target"),
+        "bin",
+        "from",
+        "to",
+        *(F.col(c).alias(f"cell_{c}") for c in ("lower", "distance", "upper")),
+    )
+    inside = (
+        (F.col("prev_place") == F.col("cell_source"))
+        & (F.col("place") == F.col("cell_target"))
+        & (F.col("wanted_bin") == F.col("bin"))
+        & (F.col("wanted") >= F.col("from"))
+        & (F.col("wanted") < F.col("to"))
+    )
+
+    def off(side: str) -> Column:
+        d = F.col(f"cell_{side}")
+        return F.when(d.isNotNull(), F.struct(F.abs(speed(d, F.col("elapsed")) - limit).alias("off"), d.alias("distance")))
+
+    best = F.least(off("lower"), off("distance"), off("upper"))
+    return legs.join(cells, inside, "left"), best["distance"]
 
 
 # Whole trips.
@@ -287,7 +327,10 @@ def trip_legs(readings: DataFrame, lookup: DataFrame, spread: bool = False) -> D
 
 
 def trip_leg_candidates(readings: DataFrame, lookup: DataFrame, spread: bool = False) -> DataFrame:
-    """One row per trip, timed_path holding (ts, place, elapsed, candidates)."""
+    """One row per trip, timed_path holding (ts, place, elapsed, candidates).
+
+    A candidate is (distance, speed, copies, before); see `trip_candidate_legs`.
+    """
     rows = trip_candidate_legs(readings, lookup, spread)
     return _trip_records(rows, spread, "ts", "place", "elapsed", "candidates")
 

@@ -23,7 +23,9 @@ from tripfold.operators.rollups import (
     entity_path_rollup,
     entity_path_rows,
     itinerary,
+    itinerary_day_chunks,
     itinerary_days,
+    itinerary_leg_chunks,
     itinerary_leg_rows,
     itinerary_totals,
 )
@@ -150,6 +152,18 @@ def journey_itinerary_totals(
     return by_heat(readings, hot, lambda r, s: itinerary_totals(_totals(r, lookup, s)))
 
 
+def journey_itinerary_leg_chunks(
+    readings: DataFrame, lookup: DataFrame, hot: Sequence[Any] = (), legs: int = 10_000
+) -> DataFrame:
+    return by_heat(readings, hot, lambda r, s: itinerary_leg_chunks(by_entity(r, s), lookup, s, legs))
+
+
+def journey_itinerary_day_chunks(
+    readings: DataFrame, lookup: DataFrame, hot: Sequence[Any] = (), days: int = 1_000
+) -> DataFrame:
+    return by_heat(readings, hot, lambda r, s: itinerary_day_chunks(_totals(r, lookup, s), days))
+
+
 def journey_path_rows(readings: DataFrame, hot: Sequence[Any] = ()) -> DataFrame:
     return by_heat(readings, hot, lambda r, s: entity_path_rows(by_entity(r, s), s))
 

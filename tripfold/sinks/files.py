@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 
 from tripfold.schema import DATE, ISO_TIME
 
@@ -28,11 +28,22 @@ def write_parquet(
     path: str,
     mode: str = "errorifexists",
     partition_by: Sequence[str] = (),
-) -> None:
-    """Parquet; partitioned by date, trips can be read back a day at a time.
+    only_these: bool = False,
+    counts: Mapping[str, Column] | None = None,
+) -> dict[str, int]:
+    """Parquet; partitioned by date, trips can be read back a day at a time. Returns the `counts`.
 
     Rows are placed by partition first, so that a date is a few files, and a large date is split.
+    With `only_these` an overwrite replaces the partitions that rows has, and leaves the others.
+    `counts` are aggregates taken while the rows are written, in the task that writes them.
     """
     if partition_by:
         rows = rows.hint("rebalance", *partition_by)
-    rows.write.mode(mode).partitionBy(*partition_by).parquet(path)
+    seen = Observation()
+    if counts:
+        rows = rows.observe(seen, *(column.alias(name) for name, column in counts.items()))
+    writer = rows.write.mode(mode).partitionBy(*partition_by)
+    if only_these:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    writer.parquet(path)
+    return dict(seen.get) if counts else {}

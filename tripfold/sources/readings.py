@@ -41,6 +41,19 @@ def _unusable() -> Column:
     return F.col("ts").isNull() | F.col("entity_id").isNull() | F.col("place").isNull()
 
 
+def _reason() -> Column:
+    return (
+        F.when(F.col("entity_id").isNull(), "no entity")
+        .when(F.col("place").isNull(), "no place")
+        .when(F.col("ts").isNull(), "unreadable time")
+    )
+
+
+def parsed_readings(raw: DataFrame) -> DataFrame:
+    """All readings in one pass: those of `normalise` with a NULL `reason`, those of `rejected` with one."""
+    return with_date(_parsed(raw)).withColumn("reason", _reason())
+
+
 def normalise(raw: DataFrame, strict: bool = False) -> DataFrame:
     """Typed readings: reading_id, entity_id, entity_type, ts, place, date.
 
@@ -63,12 +76,7 @@ def rejected(raw: DataFrame) -> DataFrame:
     return (
         _parsed(raw)
         .where(_unusable())
-        .withColumn(
-            "reason",
-            F.when(F.col("entity_id").isNull(), "no entity")
-            .when(F.col("place").isNull(), "no place")
-            .otherwise("unreadable time"),
-        )
+        .withColumn("reason", _reason())
         .drop("ts")
     )
 
