@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tripfold.llm.vectors import KEYS, best, dealt, distinct_ids, in_blocks, matrix, one_row_each, one_vector_each, per_block, shard_count, usable
 
-#: Components this large would let a score leave the range of a long.
-MOST = float(1 << 20)
+#: Scaled components below this keep sums and differences of two of them in a long.
+MOST = float(1 << 61)
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -151,7 +151,11 @@ def search(ids: np.ndarray, values: np.ndarray, query_ids: np.ndarray, queries:
     for i in range(len(queries)):
         picked = rows(sure[i])
         picked = np.r_[picked, rows(edge[i])[: k - len(picked)]].astype(np.int64)
+        # Of longs, so a product or sum on the way may leave the range, and the end is right if it is in it.
         score = values[picked] @ queries[i]
+        about = values[picked].astype(np.float64) @ queries[i].astype(np.float64)
+        if (abs(about) > 1.01 * 2.0**63).any() or (abs(about - score) > 2.0**62).any():
+            raise OverflowError("an inner product is no long")
         parts.append((np.full(len(picked), query_ids[i]), ids[picked], score))
     columns = (np.concatenate(x) for x in zip(*parts, strict=True))
     return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
@@ -171,14 +175,15 @@ def top_products(
 
     Components count as floor(scale * x). A query meets rows of its own length but not those of its
     own id. Ties go to the smaller vec_id. An id that repeats counts once, with its smallest
-    vector. Rows without id, with a NULL or empty vector, or with a component that is NULL, not
-    finite or of size 2^20 and more take no part. Fewer candidates than k are all returned; empty
+    vector. Rows without id, with a NULL or empty vector, or with a component that is NULL or not
+    finite take no part; nor do those with one that is 2^61 or more when scaled, which is no long in
+    a score with any but tiny others. A score among the k best that is no long fails. Fewer candidates than k are all returned; empty
     tables give no rows. Rows are dealt by id over shards, and every block of queries goes to every
     shard; a task holds one shard and one block.
     """
-    rows = one_row_each(usable(vectors, key, vector, MOST, zero=True))
+    rows = one_row_each(usable(vectors, key, vector, MOST / scale, zero=True))
     shards = shard_count(rows, shard_rows)
-    asked, blocks = in_blocks(one_vector_each(usable(queries, key, vector, MOST, zero=True)), shards, block_rows)
+    asked, blocks = in_blocks(one_vector_each(usable(queries, key, vector, MOST / scale, zero=True)), shards, block_rows)
 
     def scored(data: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if not len(data) or not len(wanted):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripfold.session import kept, shared_folder
+
 #: A word is a run of other characters than these six: blank and x09 to x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,22 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    own = tempfile.mkdtemp(prefix="shared-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    """The folder that driver and executors share; fails on a cluster that names none."""
+    return shared_folder(spark)
 
 
 def checkpoint(rows: DataFrame) -> DataFrame:
     """Rows written to the shared folder now, so that what follows survives lost executors."""
-    spark = rows.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return rows.checkpoint(eager=True)
+    return kept(rows)
 
 
 def id_fold(column: str, parts: int) -> Column:

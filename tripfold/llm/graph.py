@@ -16,6 +16,27 @@ FOUND = "query_id long, vec_id long, score double"
 HELD = 1 << 22
 
 
+class Frame:
+    """Points and queries moved and scaled, in double precision, to where single precision tells them apart.
+
+    The middle of each component becomes 0 and the typical size of a point 1, whatever the offset or
+    unit of the data. Middle and size are medians, so that a few far points do not flatten the others;
+    those are cut off at 1e15, far out still. Only the search sees these; scores come from the originals.
+    """
+
+    def __init__(self, points: np.ndarray):
+        # Halves, as a sum of two of the largest doubles is none.
+        self.middle = np.median(points / 2, axis=0) * 2
+        with np.errstate(over="ignore"):
+            size = np.abs(points - self.middle).max(axis=1)
+        size = size[(size > 0) & np.isfinite(size)]
+        self.size = float(np.median(size)) if len(size) else 1.0
+
+    def __call__(self, points: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return np.clip((points - self.middle) / self.size, -1e15, 1e15).astype(np.float32)
+
+
 class Graph:
     """Out-edges of each point (-1: none) and the point where searches enter."""
 
@@ -197,7 +218,7 @@ def index_shard(frame: pd.DataFrame, **options) -> pd.DataFrame:
     group = group.reshape(-1)
     order = np.argsort(group, kind="stable")
     ids = np.split(frame["vec_id"].to_numpy()[order], np.cumsum(np.bincount(group))[:-1])
-    graph = Graph.built(points, **options)
+    graph = Graph.built(Frame(points)(points), **options)
     # The entry comes first.
     place = np.r_[graph.entry, np.delete(np.arange(len(points)), graph.entry)]
     number = np.empty(len(points), np.int64)
@@ -218,11 +239,12 @@ def search_shard(nodes: pd.DataFrame, wanted: pd.DataFrame, k: int, width: int)
     nodes = nodes.sort_values("node", kind="stable", ignore_index=True)
     points = matrix(nodes["vec"])
     most = max(1, int(nodes["edges"].map(len).max()))
-    graph = Graph(points, degree=max(1, most - 8), width=max(width, 2 * k + 2))
+    frame = Frame(points)
+    graph = Graph(frame(points), degree=max(1, most - 8), width=max(width, 2 * k + 2))
     for line, edges in enumerate(nodes["edges"]):
         graph.edges[line, : len(edges)] = edges
     queries = matrix(wanted["vec"])
-    near, _ = graph.beam(queries)
+    near, _ = graph.beam(frame(queries))
     rows = []
     for query_id, q, found in zip(wanted["vec_id"], queries, near, strict=True):
         found = found[found >= 0]

@@ -8,10 +8,10 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as store
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tripfold.llm.common import checkpoint, shared_dir
@@ -87,7 +87,7 @@ class Roller:
             self.row = dict(
                 name=name, temporary=f"{self.attempt}/{name}", records=0, bytes=0, first_id=page_id
             )
-            self.out = self.fs.open_output_stream(f"{self.path}/{self.row['temporary']}")
+            self.out = self.fs.open_output_stream(f"{self.path}/{self.row['temporary']}", compression=None)
             self._write(record([
                 ("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:file:{name}>"), ("WARC-Date", DATE),
                 ("WARC-Filename", name), ("Content-Type", "application/warc-fields"),
@@ -131,12 +131,40 @@ def revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
     return found.where("page_id < refers_to").distinct()
 
 
+def shard_starts(pages: DataFrame, shards: int) -> list[int]:
+    """The least page_id of each shard, so that shards hold about equal numbers of pages.
+
+    An id's shard follows from the exact number of pages with smaller ids, whatever way the rows lie.
+    Ids are counted first, and their running sum is made per range and then over the ranges' sums.
+    """
+    counts = pages.where("page_id IS NOT NULL").groupBy("page_id").count()
+    placed = checkpoint(counts.repartitionByRange("page_id").withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("part").agg(F.sum("count").alias("held"))
+    # A row for each partition.
+    starts = parts.select("part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"))
+    total = parts.agg(F.sum("held")).first()[0] or 0
+    inside = Window.partitionBy("part").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
+    smaller = F.coalesce(F.sum("count").over(inside), F.lit(0))
+    ranked = placed.withColumn("smaller", smaller).join(F.broadcast(starts), "part")
+    shard = F.floor((F.col("smaller") + F.col("start")) * shards / total).alias("shard")
+    return sorted(r["least"] for r in ranked.groupBy(shard).agg(F.min("page_id").alias("least")).collect())
+
+
+def shard_of(page_id: Column, starts: list[int]) -> Column:
+    """How many shards start after the first up to an id; 0 for a NULL id."""
+    if len(starts) < 2:
+        return F.lit(0)
+    later = F.lit(np.array(starts[1:], np.int64))
+    return F.coalesce(F.size(F.filter(later, lambda start: start <= page_id)), F.lit(0))
+
+
 def write_pages(
     pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes: int = 64 << 20, shards: int | None = None
 ) -> DataFrame:
     """Writes `page_id, url, html` as WARC files; returns the manifest.
 
-    Records are sorted by range over the shards. A task writes under names of its attempt and
+    Records are sorted by range over the shards, with exact bounds (see `shard_starts`). A task writes under names of its attempt and
     reports them; once all tasks are done, the files that the manifest names get their final names,
     by tasks that may run again, and then the manifest is written. What a lost attempt left is
     in no manifest. Runs over the same pages write the same bytes if they use as many shards.
@@ -156,10 +184,11 @@ def write_pages(
     )
     both = rows.withColumn("what", F.lit(1)).withColumn("refers_to", F.lit(None).cast("long")).unionByName(marks)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = both.repartitionByRange(n, "page_id").sortWithinPartitions("page_id", "what", "url", "sha")
+    both = both.withColumn("shard", shard_of(F.col("page_id"), shard_starts(rows, n)))
+    placed = both.repartitionById(n, "shard").sortWithinPartitions("shard", "page_id", "what", "url", "sha")
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller = Roller(folder, TaskContext.get().partitionId(), roll_bytes)
+        roller = None
         schema = pa.schema([
             ("name", pa.string()), ("temporary", pa.string()), ("records", pa.int64()),
             ("bytes", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()),
@@ -169,6 +198,9 @@ def write_pages(
         for part in parts:
             for row in part.to_pylist():
                 page_id, sha = row["page_id"], row["sha"]
+                if roller is None or roller.shard != row["shard"]:
+                    done.append(roller and roller.close())
+                    roller = Roller(folder, row["shard"], roll_bytes)
                 if page_id != current:
                     current, nth, refers, seen = page_id, 0, {}, {}
                 if not row["what"]:
@@ -183,10 +215,10 @@ def write_pages(
                         seen[sha] = url
                 done.append(roller.add(page_record(page_id, nth, url, html, to), page_id))
                 nth += 1
-        done.append(roller.close())
+        done.append(roller and roller.close())
         yield pa.RecordBatch.from_pylist([x for x in done if x], schema=schema)
 
-    columns = placed.select("page_id", "what", "url", "html", "sha", "refers_to")
+    columns = placed.select("shard", "page_id", "what", "url", "html", "sha", "refers_to")
     manifest = checkpoint(columns.mapInArrow(write, MANIFEST))
 
     def commit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +238,7 @@ def write_pages(
 
 
 def members(stream) -> Iterator[bytes]:
-    """The gzip members of a file, one at a time."""
+    """The gzip members of a file, one at a time; fails where a file ends inside one."""
     press, held, data = zlib.decompressobj(31), [], b""
     while data := data or stream.read(1 << 20):
         held.append(press.decompress(data))
@@ -214,6 +246,8 @@ def members(stream) -> Iterator[bytes]:
         if press.eof:
             yield b"".join(held)
             press, held = zlib.decompressobj(31), []
+    if held:
+        raise ValueError("a file ends inside a record")
 
 
 def parse(member: bytes) -> tuple[dict[str, str], bytes]:
@@ -254,7 +288,10 @@ def page_row(headers: dict[str, str], block: bytes) -> dict:
 
 
 def read_pages(manifest: DataFrame, folder: str) -> DataFrame:
-    """A row per page record of the files that the manifest names, a file at a time in a task."""
+    """A row per page record of the files that the manifest names, a file at a time in a task.
+
+    Fails where a file has other numbers of bytes or records than the manifest says.
+    """
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _fs(folder)
@@ -263,18 +300,23 @@ def read_pages(manifest: DataFrame, folder: str) -> DataFrame:
             ("record_type", pa.string()), ("refers_to", pa.int64()),
         ])
         for part in parts:
-            for name in part.column(0).to_pylist():
-                rows = []
-                with fs.open_input_stream(f"{path}/{name}") as stream:
+            for name, size, records in zip(*(part[c].to_pylist() for c in ("name", "bytes", "records")), strict=True):
+                rows, seen = [], 0
+                if fs.get_file_info(f"{path}/{name}").size != size:
+                    raise ValueError(f"{name} does not have the {size} bytes of the manifest")
+                with fs.open_input_stream(f"{path}/{name}", compression=None) as stream:
                     for headers, block in map(parse, members(stream)):
                         if headers["warc-type"] != "warcinfo":
                             rows.append(page_row(headers, block))
+                            seen += 1
                         if len(rows) == 10_000:
                             yield pa.RecordBatch.from_pylist(rows, schema=schema)
                             rows = []
+                if seen != records:
+                    raise ValueError(f"{name} has {seen} records, the manifest {records}")
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    files = manifest.select("name").repartition(
+    files = manifest.select("name", "bytes", "records").repartition(
         int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     )
     return files.mapInArrow(read, RECORDS)
