@@ -10,7 +10,15 @@ from tests import fold
 from tests.data import readings_frame
 from tripfold.operators import trips
 from tripfold.operators.visits import is_visit_candidate
-from tripfold.sources.edges import edge_cells, edge_distances, edge_lookup, read_edges, rejected_edges
+from tripfold.sources.edges import (
+    edge_cells,
+    edge_distances,
+    edge_lookup,
+    read_edges,
+    rejected_edges,
+    store_edges,
+    stored_edges,
+)
 
 EDGES = "source string, target string, distance double"
 
@@ -119,3 +127,25 @@ def test_a_null_place_is_not_outer(spark):
         "start_place string, end_place string",
     )
     assert [r.c for r in rows.select(is_visit_candidate().alias("c")).collect()] == [True, True, True, False, True]
+
+
+def test_stored_edges_do_not_move(spark, tmp_path):
+    rng = random.Random(5)
+    edges = [(rng.choice("ab") + str(i % 40), "gate3", rng.uniform(0, 9)) for i in range(500)]
+    edges += [("gate1", "gate3", 1.5), ("gate3", "gate1", 0.5), ("gate1", "gate3", 1.5)]
+    frame = spark.createDataFrame(edges, EDGES)
+    store_edges(frame, "some_edges", 8, str(tmp_path / "edges"))
+    readings = readings_frame(spark, two_places(200))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for make in (trips.trip_summary, trips.trip_totals):
+            kept = make(readings, stored_edges(spark, "some_edges"))
+            plan = kept._jdf.queryExecution().executedPlan().toString()
+            # The legs go to the edges: no shuffle has the edges' columns.
+            assert "SortMergeJoin" in plan and "hashpartitioning(prev_place" in plan
+            assert "hashpartitioning(source" not in plan
+            assert sorted(map(repr, kept.collect())) == sorted(map(repr, make(readings, edge_lookup(frame)).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("DROP TABLE some_edges")

@@ -41,6 +41,7 @@ _MEMBER = [
     "avg_speed",
     "path",
     "path_rev",
+    "path_hash",
     "start_place",
     "end_place",
     "start_time",
@@ -57,6 +58,12 @@ def _merged_ends() -> list[Column]:
     ]
 
 
+def hash_of_members(members: Column) -> Column:
+    """The hash of `path` and `path_rev`, joined from those of members that have their own."""
+    joined = path_hash(F.col("path"), F.col("path_rev"))
+    return F.when(F.size(members) == 1, F.element_at(members, 1)["path_hash"]).otherwise(joined)
+
+
 def _merged(segments: DataFrame, spread: bool, *also: str) -> DataFrame:
     """One record per segment of trips. On the spread plan its ends are aggregates of their own,
     so that a step that needs only them makes no lists there."""
@@ -87,7 +94,8 @@ def _merged(segments: DataFrame, spread: bool, *also: str) -> DataFrame:
         last["end_time"].alias("end_time"),
         round3(F.col("distance")).alias("total_distance"),
         speed(F.col("distance"), F.col("total_time")).alias("avg_speed"),
-    ).withColumn("path_hash", path_hash(F.col("path"), F.col("path_rev")))
+        # A trip that stays alone keeps its path, and so its hash.
+    ).withColumn("path_hash", hash_of_members(members))
 
 
 _SLIM = ["entity_id", "date", "start_time", "start_place", "end_place", "good"]

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripfold.functions.expressions import calendar_days, exact_sum, path_hash, speed
+from tripfold.functions.expressions import calendar_days, exact_sum, speed
 from tripfold.operators.prints import joined_print, print_hash
+from tripfold.operators.repair import hash_of_members
 from tripfold.operators.segments import add_segment, attach
 from tripfold.operators.trips import nested
 from tripfold.schema import DAY_SEP, DESTINATION_SEP, PlaceRules
@@ -168,7 +169,7 @@ def visits(
     )
     return whole.select(
         "*",
-        path_hash(F.col("path"), F.col("path_rev")).alias("path_hash"),
+        hash_of_members(members).alias("path_hash"),
         F.array_join("destinations", DESTINATION_SEP).alias("destination_string"),
     ).select(*VISIT)
 

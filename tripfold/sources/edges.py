@@ -151,3 +151,20 @@ def edge_lookup(edges: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame
     width = F.octet_length("source") + F.octet_length("target") + F.lit(64)
     size = edges.agg(F.sum(width.cast("bigint"))).first()[0] or 0
     return F.broadcast(distances) if size <= max_bytes else distances
+
+
+def store_edges(edges: DataFrame, name: str, buckets: int, path: str | None = None) -> None:
+    """Keeps `edge_distances` as a table dealt by place pair, for edges too many to broadcast.
+
+    Legs are then placed by the same pairs and meet them where they lie: runs that use the table again
+    do not move the edges. `path` is where its files go, if not into the warehouse.
+    """
+    writer = edge_distances(edges).repartition(buckets, "source", "target").write.mode("overwrite").format("parquet")
+    if path:
+        writer = writer.option("path", path)
+    writer.bucketBy(buckets, "source", "target").sortBy("source", "target").saveAsTable(name)
+
+
+def stored_edges(spark: SparkSession, name: str) -> DataFrame:
+    """The lookup that `store_edges` kept."""
+    return spark.table(name)
