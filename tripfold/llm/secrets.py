@@ -1,4 +1,4 @@
-"""Secrets in texts, told from copied examples by how many owners hold them."""
+"""Secrets in texts, told from copied examples by how many repositories and owners hold them."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -113,18 +114,49 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
 
 
+@dataclass(frozen=True)
+class Copied:
+    """When a candidate is a widely copied example, and not the credential of some owner.
+
+    It is one if it is in many repositories of several owners: `least_repos` and `least_owners`, or
+    `repo_root` and `owner_root` times the square root of the corpus' repositories and owners where
+    those are more. So a credential that someone copied to a few places stays one, and what counts as
+    many grows with the corpus. And it is one, whoever owns it, in `everywhere` of all repositories.
+    """
+
+    least_repos: int = 5
+    least_owners: int = 3
+    repo_root: float = 0.05
+    owner_root: float = 0.5
+    everywhere: float = 0.01
+
+    def limits(self, repos: int, owners: int) -> tuple[int, int, int]:
+        """Repositories and owners that make an example together, and repositories that do alone."""
+        many = max(self.least_repos, math.ceil(self.repo_root * math.sqrt(repos)))
+        several = max(self.least_owners, math.ceil(self.owner_root * math.sqrt(owners)))
+        return many, several, max(many, math.ceil(self.everywhere * repos))
+
+
+def totals(scanned: DataFrame) -> tuple[int, int]:
+    """Repositories and owners of the corpus, counted to about a hundredth, the same on each run."""
+    # A NULL counts as one, as in `ownership`.
+    known = [F.approx_count_distinct(F.struct(c), 0.01).alias(c) for c in ("repo", "owner")]
+    row = scanned.agg(*known).first()
+    return row["repo"] or 0, row["owner"] or 0
+
+
 def find_secrets(
     docs: DataFrame,
     key: str = "doc_id",
     text: str = "text",
     owner: str = "source",
     repo: str = "doc_id",
-    max_owners: int = 2,
+    copied: Copied = Copied(),
 ) -> DataFrame:
     """A row per row: counts and digest of the base spans, all spans, and which are live.
 
-    A candidate held by more than `max_owners` owners is a copied example, else it looks live. Base
-    spans are kept either way; a random-looking token is a span only if it looks live. `live` lists
+    A candidate is judged by its repositories and owners (see `Copied`): a copied example, or it looks
+    live. Base spans are kept either way; a random-looking token is a span only if it looks live. `live` lists
     (start, end) of the spans that look live. NULL and empty texts have no span and empty lists;
     repeated rows give a row each; an empty table gives none. Other columns are not read.
     """
@@ -133,7 +165,9 @@ def find_secrets(
         "row", "owner", "repo", "s.*"
     )
     stats = checkpoint(ownership(each))
-    judged = each.join(stats, "hash").withColumn("is_live", F.col("owners") <= max_owners)
+    many, several, everywhere = copied.limits(*totals(scanned))
+    example = ((F.col("repos") >= many) & (F.col("owners") >= several)) | (F.col("repos") >= everywhere)
+    judged = each.join(stats, "hash").withColumn("is_live", ~example)
     judged = judged.where((F.col("kind") < 3) | F.col("is_live"))
     lists = checkpoint(
         judged.groupBy("row").agg(
@@ -174,7 +208,7 @@ def cut_out(text: str, spans: list[tuple[int, int]], mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "<SECRET>", copied: Copied = Copied()) -> DataFrame:
     """Documents without the secrets that look live; n_chars follows the text."""
 
     @F.pandas_udf("string")
@@ -183,7 +217,7 @@ def redact(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
             [cut_out(t, [(s["start"], s["end"]) for s in ss], mark) for t, ss in zip(texts, spans, strict=True)]
         )
 
-    found = find_secrets(docs).where("n_live > 0")
+    found = find_secrets(docs, copied=copied).where("n_live > 0")
     marks = checkpoint(
         found.groupBy(F.col("doc_id").alias("marked_id"), F.col("body_hash").alias("marked_text")).agg(
             F.first("live").alias("marked_spans")
