@@ -1,12 +1,17 @@
 """A log-bilinear language model trained by noise-contrastive estimation.
 
-The model knows classes: every very frequent word is one, and all other words share classes by
-their ending. It predicts a class from the class before: the dot product of a context vector and a
-target vector, plus the target's bias, normalised over all classes. A word's probability is its
-class's, times its own smoothed share of the class. Over the classes, the model table and the pair
-counts it learns from have a size set by the model and not by the corpus; the counts behind them
-cover every training text. Words themselves are unbounded: the commonest are broadcast, the others
-meet their counts in a join.
+The model knows classes: the commonest words are one each, and all other words share classes by
+their ending. How many words are classes of their own grows with the square root of the training
+tokens, up to the size a task can hold; the pair counts and the training steps grow with it. For
+each of the places before a word there is a model of its own: the dot product of a context vector
+and a target vector, plus the target's bias, normalised over all classes. Both and the plain
+distribution of classes are mixed with fixed weights, so that the mixture is normalised as well. A
+word's probability is its class's, times its own smoothed share of the class.
+
+Every pair of classes that the training texts hold is counted and trained on, weighted by its count.
+Pairs are dealt by their context, so that a context's vector is one shard's; targets are averaged
+between rounds. Neither depends on how the rows lie. Words themselves are unbounded: the commonest
+are broadcast, the others meet their counts in a join.
 """
 
 from __future__ import annotations
@@ -15,13 +20,13 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tripfold.llm.common import checkpoint, sigmoid, utf8_words
@@ -34,18 +39,34 @@ HELD = 300_000
 
 @dataclass(frozen=True)
 class Shape:
-    """Bounds of the model: all that is broadcast or trained is of these sizes."""
+    """Sizes of the model.
+
+    `frequent` words are classes at least; from `growth` times the root of the training tokens on it
+    is that many, `most` at most, which bounds the broadcast model to some 35 MB. A shard of the pairs
+    has `shard_pairs` on average, or 16 per class; it makes one pass a round, in `steps` steps at least.
+    """
 
     head: int = 100_000
     frequent: int = 1_024
+    growth: float = 3.0
+    most: int = 65_536
     endings: int = 256
     dim: int = 32
-    shards: int = 4
+    #: Weights of the model of the word before, of the one before that, and of the plain distribution.
+    mix: tuple[float, ...] = (0.55, 0.4, 0.05)
+    shard_pairs: int = 250_000
     rounds: int = 3
-    steps: int = 300
+    steps: int = 60
     batch: int = 4_096
     noise: int = 128
 
+    @property
+    def places(self) -> int:
+        return len(self.mix) - 1
+
+    def grown(self, tokens: int) -> Shape:
+        return replace(self, frequent=max(self.frequent, min(self.most, int(self.growth * math.sqrt(tokens)))))
+
     @property
     def classes(self) -> int:
         return self.frequent + self.endings
@@ -124,6 +145,7 @@ def commonest(counts: DataFrame, limit: int) -> list[Row]:
 
 def vocabulary(counts: DataFrame, shape: Shape) -> Vocabulary:
     tokens, distinct = counts.agg(F.sum("n"), F.count("*")).first()
+    shape = shape.grown(tokens or 0)
     ordinary = counts.where(F.length("word") > 0)
     head = commonest(ordinary, shape.head)
     end = (tokens or 0) - (ordinary.agg(F.sum("n")).first()[0] or 0)
@@ -173,44 +195,61 @@ def classes_of(places: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.r_[0, inner, 0]
 
 
+def befores(c: np.ndarray, place: int) -> np.ndarray:
+    """For each class of a text but the first, the one `place` + 1 before it; the end before the text."""
+    return c[:-1] if place == 0 else np.r_[np.zeros(min(place, len(c) - 1), c.dtype), c[: -1 - place]]
+
+
 def pair_counts(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """`shard, pair, n`: how often a class follows another, over all rows; pair = before * C + class."""
+    """`pair, n`: how often a class follows another, over all rows.
+
+    pair = (place * C + before) * C + class. Counted in blocks before the shuffle.
+    """
     shape = vocab.shape
     shared = texts.sparkSession.sparkContext.broadcast(vocab)
 
     def batch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, table = Places(shared.value), class_table(shared.value)
-        total = np.zeros(shape.classes**2, np.int64)
         held: list[np.ndarray] = []
         size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            pairs, n = np.unique(np.concatenate([np.empty(0, np.int64), *held]), return_counts=True)
+            held.clear()
+            for at in range(0, len(pairs), 100_000):
+                cut = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[cut]), pa.array(n[cut].astype(np.int64))], names=["pair", "n"])
+
         for part in parts:
             for text in part.column(0):
                 c = classes_of(places.of(utf8_words(text.as_py())), table)
-                held.append(c[:-1] * shape.classes + c[1:])
-                size += len(c)
-                if size > 1 << 20:
-                    total += np.bincount(np.concatenate(held), minlength=len(total))
-                    held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total))
-        pairs = np.flatnonzero(total)
-        shard = np.full(len(pairs), TaskContext.get().partitionId() % shape.shards, np.int32)
-        for at in range(0, len(pairs), 100_000):
-            cut = slice(at, at + 100_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard[cut]), pa.array(pairs[cut]), pa.array(total[pairs[cut]])], names=["shard", "pair", "n"]
-            )
+                for place in range(shape.places):
+                    held.append((place * shape.classes + befores(c, place)) * shape.classes + c[1:])
+                    size += len(c)
+                if size > 1 << 22:
+                    yield from out()
+                    size = 0
+        yield from out()
+
+    counted = texts.select("text").mapInArrow(batch, "pair long, n long")
+    return checkpoint(counted.groupBy("pair").agg(F.sum("n").alias("n")))
 
-    counted = texts.select("text").mapInArrow(batch, "shard int, pair long, n long")
-    return checkpoint(counted.groupBy("shard", "pair").agg(F.sum("n").alias("n")))
+
+def summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids, and the sums of their rows."""
+    order = np.argsort(ids, kind="stable")
+    ranked = ids[order]
+    starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+    return ranked[starts], np.add.reduceat(rows[order], starts, axis=0)
 
 
 @dataclass
 class Bilinear:
+    """The model of one place: vectors of contexts and targets, and biases of targets."""
+
     context: np.ndarray
     target: np.ndarray
     bias: np.ndarray
-    squares: dict[str, np.ndarray] = field(default_factory=dict)
 
     @classmethod
     def fresh(cls, noise: np.ndarray, dim: int, seed: int) -> Bilinear:
@@ -227,87 +266,202 @@ class Bilinear:
         a, b = classes * dim, 2 * classes * dim
         return cls(data[:a].reshape(classes, dim).copy(), data[a:b].reshape(classes, dim).copy(), data[b:].copy())
 
-    def log10(self) -> np.ndarray:
-        """Normalised log10 probabilities, a row per context: one matrix product per block of rows."""
-        out = np.empty((len(self.context), len(self.target)), np.float32)
-        for at in range(0, len(out), 512):
-            raw = (self.context[at : at + 512] @ self.target.T + self.bias).astype(np.float64)
-            raw -= raw.max(axis=1, keepdims=True)
-            out[at : at + 512] = (raw - np.log(np.exp(raw).sum(axis=1, keepdims=True))) / math.log(10)
-        return out
+    def raw(self, first: int, last: int) -> np.ndarray:
+        """Scores of all classes behind the contexts first to last - 1: one matrix product."""
+        return (self.context[first:last] @ self.target.T + self.bias).astype(np.float64)
 
-    def _step(self, name: str, grad: np.ndarray, rate: float) -> None:
-        value = getattr(self, name)
-        square = self.squares.setdefault(name, np.full(value.shape, 1e-6, np.float32))
-        square += grad * grad
-        value -= rate * grad / np.sqrt(square)
+    def totals(self, first: int, last: int) -> np.ndarray:
+        """Logarithms of what the probabilities behind the contexts first to last - 1 are divided by."""
+        raw = self.raw(first, last)
+        top = raw.max(axis=1)
+        return top + np.log(np.exp(raw - top[:, None]).sum(axis=1))
+
+    def log10(self) -> np.ndarray:
+        """Normalised log10 probabilities, a row per context."""
+        n = len(self.context)
+        return (self.raw(0, n) - self.totals(0, n)[:, None]) / math.log(10)
 
     def train(self, before: np.ndarray, after: np.ndarray, n: np.ndarray, noise: np.ndarray, shape: Shape, seed: int, rate: float) -> None:
-        """Steps of noise-contrastive estimation; pairs are drawn by their counts.
+        """One pass of noise-contrastive estimation over all pairs, weighted by their counts.
 
-        Each true pair is told from `shape.noise` classes drawn from `noise`, which the pairs of a
-        step share, so that all their scores are one matrix product.
+        A step tells a batch of true pairs from `shape.noise` classes drawn from `noise`, which its
+        pairs share, so that all their scores are one matrix product. Counts over 16 are split, so that
+        no pair outweighs its step; few pairs are passed over again until `shape.steps` are made.
         """
         rng = np.random.default_rng(seed)
-        pairs, words = np.cumsum(n) / n.sum(), np.cumsum(noise)
+        times = -(-n // 16)
+        weight = np.repeat(n / times, times)
+        weight = (weight / weight.mean()).astype(np.float32)
+        pairs, words = np.repeat(np.arange(len(n)), times), np.cumsum(noise)
         words /= words[-1]
         odds = np.log(shape.noise * noise).astype(np.float32)
-        for _ in range(shape.steps):
-            at = np.minimum(np.searchsorted(pairs, rng.random(shape.batch)), len(n) - 1)
-            h, w = before[at], after[at]
-            k = np.minimum(np.searchsorted(words, rng.random(shape.noise)), len(noise) - 1)
-            c, t, z = self.context[h], self.target[w], self.target[k]
-            true = np.einsum("ij,ij->i", c, t) + self.bias[w] - odds[w]
-            false = c @ z.T + self.bias[k] - odds[k]
-            g_true = (sigmoid(true) - 1).astype(np.float32) / shape.batch
-            g_false = sigmoid(false).astype(np.float32) / shape.batch
-            context, target, bias = (np.zeros_like(x) for x in (self.context, self.target, self.bias))
-            np.add.at(context, h, g_true[:, None] * t + g_false @ z)
-            np.add.at(target, w, g_true[:, None] * c)
-            np.add.at(target, k, g_false.T @ c)
-            np.add.at(bias, w, g_true)
-            np.add.at(bias, k, g_false.sum(axis=0))
-            self._step("context", context, rate)
-            self._step("target", target, rate)
-            self._step("bias", bias, rate / 10)
-
-
-def train_pairs(pairs: DataFrame, shape: Shape) -> Bilinear:
-    """Rounds in which every shard of the pair counts trains on from the mean of all shards' models.
-
-    A shard holds at most classes^2 counts, whatever the corpus; a round sends `shards` models to
-    the driver.
+        squares = [np.full(len(noise), 1e-6, np.float32) for _ in range(3)]
+
+        def move(value: np.ndarray, square: np.ndarray, ids: np.ndarray, rows: np.ndarray, speed: float) -> None:
+            ids, grad = summed(ids, rows)
+            square[ids] += (grad * grad).reshape(len(ids), -1).mean(axis=1)
+            root = np.sqrt(square[ids])
+            value[ids] -= speed * grad / (root[:, None] if grad.ndim > 1 else root)
+
+        made, total = 0, max(shape.steps, -(-len(pairs) // shape.batch))
+        while made < max(1, shape.steps):
+            order = rng.permutation(len(pairs))
+            for at in range(0, len(order), shape.batch):
+                made += 1
+                speed = rate * max(0.3, 1 - 0.7 * made / total)
+                some = order[at : at + shape.batch]
+                h, w, much = before[pairs[some]], after[pairs[some]], weight[some]
+                k = np.minimum(np.searchsorted(words, rng.random(shape.noise)), len(noise) - 1)
+                c, t, z = self.context[h], self.target[w], self.target[k]
+                true = np.einsum("ij,ij->i", c, t) + self.bias[w] - odds[w]
+                false = c @ z.T + self.bias[k] - odds[k]
+                g_true = ((sigmoid(true) - 1) * much).astype(np.float32)
+                g_false = (sigmoid(false) * much[:, None]).astype(np.float32)
+                both = np.r_[w, k]
+                move(self.context, squares[0], h, g_true[:, None] * t + g_false @ z, speed)
+                move(self.target, squares[1], both, np.concatenate([g_true[:, None] * c, g_false.T @ c]), speed)
+                move(self.bias, squares[2], both, np.r_[g_true, g_false.sum(axis=0)], speed / 4)
+
+
+@dataclass
+class Model:
+    """A log-bilinear model per place, their normalisers, and the plain distribution of classes."""
+
+    places: list[Bilinear]
+    totals: list[np.ndarray]
+    plain: np.ndarray
+    mix: tuple[float, ...]
+
+    def log10(self, c: np.ndarray) -> float:
+        """log10 probability of a text's classes, which come with the end before and behind."""
+        out = 0.0
+        for at in range(0, len(c) - 1, 1 << 15):
+            last = min(len(c) - 1, at + (1 << 15))
+            after = c[at + 1 : last + 1]
+            total = self.mix[-1] * self.plain[after]
+            for place, (model, norm) in enumerate(zip(self.places, self.totals, strict=True)):
+                h = befores(c[max(0, at - place) : last + 1], place)[-len(after) :]
+                raw = np.einsum("ij,ij->i", model.context[h], model.target[after]) + model.bias[after]
+                total = total + self.mix[place] * np.exp(raw - norm[h])
+            out += float(np.log10(total).sum())
+        return out
+
+
+def blocks_of(classes: int, size: int) -> list[tuple[int, int]]:
+    return [(at, min(classes, at + size)) for at in range(0, classes, size)]
+
+
+def mean_rows(part: pd.DataFrame) -> pd.DataFrame:
+    """Rows of one place and block as their mean, weighted for each class, and the weights' sums."""
+    part = part.sort_values(["deal", "shard"])
+    first = part.iloc[0]
+    total = sum(np.frombuffer(w, np.float64) for w in part["weight"])
+    rows = sum(
+        np.frombuffer(w, np.float64)[:, None] * np.frombuffer(r, np.float32).reshape(len(total), -1)
+        for w, r in zip(part["weight"], part["rows"], strict=True)
+    )
+    rows = (rows / total[:, None]).astype(np.float32)
+    fields = {"place": first["place"], "block": first["block"], "deal": first["deal"], "shard": 0}
+    return pd.DataFrame({k: [v] for k, v in {**fields, "weight": total.tobytes(), "rows": rows.tobytes()}.items()})
+
+
+ROWS = "place int, block int, deal int, shard long, weight binary, rows binary"
+
+
+def dealt_pairs(pairs: DataFrame, shape: Shape) -> tuple[DataFrame, int]:
+    """`place, shard, before, after, n`, the pairs of a shard in one row, written down; shards per place.
+
+    All pairs of a context are one shard's, at most one per class.
     """
     classes = shape.classes
-    sums = pairs.groupBy((F.col("pair") % classes).alias("after")).agg(F.sum("n")).collect()
+    shards = max(1, -(-pairs.count() // max(shape.shard_pairs, 16 * classes)))
+    context = F.expr(f"pair div {classes}")
+    place = F.expr(f"cast(pair div {classes * classes} as int)")
+    shard = place * shards + F.pmod(F.xxhash64(context), F.lit(shards))
+    rows = pairs.select(place.alias("place"), shard.cast("long").alias("shard"), "pair", "n")
+
+    def packed(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("pair")
+        codes = part["pair"].to_numpy() % (classes * classes)
+        cells = [codes // classes, codes % classes, part["n"].to_numpy()]
+        named = zip(("before", "after", "n"), (x.astype(np.int64).tobytes() for x in cells), strict=True)
+        return pd.DataFrame({"place": [part["place"].iloc[0]], "shard": [part["shard"].iloc[0]], **{k: [v] for k, v in named}})
+
+    dealt = rows.repartition(shards * shape.places, "shard").groupBy("shard")
+    made = dealt.applyInPandas(packed, "place int, shard long, before binary, after binary, n binary")
+    return checkpoint(made), shards
+
+
+def train_pairs(pairs: DataFrame, vocab: Vocabulary) -> Model:
+    """Rounds in which every shard of the pair counts trains on from what all have made so far.
+
+    A context's vector comes from the shard that holds its pairs, a target's is the shards' mean,
+    weighted by how often they hold it. One shard of each place goes first, so that the others turn
+    their contexts towards the same targets. The driver receives one model a round, not one per shard.
+    """
+    shape, classes = vocab.shape, vocab.shape.classes
     noise = np.full(classes, 0.5)
-    for at, n in sums:
-        noise[at] += n
+    single = vocab.counts[: shape.frequent]
+    noise[: len(single)] += single
+    noise[shape.frequent :] += vocab.class_tokens
     noise /= noise.sum()
-    model = Bilinear.fresh(noise, shape.dim, seed=1)
-    context = pairs.sparkSession.sparkContext
-
-    def trainer(start: Broadcast, turn: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-        def trained(part: pd.DataFrame) -> pd.DataFrame:
-            own = Bilinear.unpacked(np.frombuffer(start.value, np.float32), classes)
-            part = part.sort_values("pair")
-            pair, n, shard = part["pair"].to_numpy(), part["n"].to_numpy(), int(part["shard"].iloc[0])
-            rate = 0.2 / (turn + 1)
-            own.train(pair // classes, pair % classes, n, noise, shape, turn * 1000 + shard, rate)
-            return pd.DataFrame({"shard": [shard], "n": [float(n.sum())], "model": [own.packed()]})
+    models = [Bilinear.fresh(noise, shape.dim, seed=1 + place) for place in range(shape.places)]
+    spark = pairs.sparkSession
+    dealt, shards = dealt_pairs(pairs, shape)
+    blocks = blocks_of(classes, 512)
+
+    def trainer(start: Broadcast, rate: float, turn: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def trained(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                for place, shard, *cells in part[["place", "shard", "before", "after", "n"]].itertuples(index=False):
+                    own = Bilinear.unpacked(np.frombuffer(start.value[place], np.float32), classes)
+                    before, after, n = (np.frombuffer(x, np.int64) for x in cells)
+                    own.train(before, after, n, noise, shape, turn * 1_000_003 + shard, rate)
+                    ids = np.unique(before)
+                    made = [(place, -1, 0, shard, ids.tobytes(), own.context[ids].tobytes())]
+                    weight = np.bincount(after, n, classes) + 1e-3
+                    rows = np.concatenate([own.target, own.bias[:, None]], axis=1)
+                    for block, (a, b) in enumerate(blocks):
+                        made.append((place, block, shard % 32, shard, weight[a:b].tobytes(), rows[a:b].tobytes()))
+                    yield pd.DataFrame(made, columns=["place", "block", "deal", "shard", "weight", "rows"])
 
         return trained
 
-    for turn in range(shape.rounds):
-        train = trainer(context.broadcast(model.packed()), turn)
-        made = pairs.groupBy("shard").applyInPandas(train, "shard int, n double, model binary").collect()
-        if not made:
-            break
-        made = sorted(made, key=lambda r: r["shard"])
-        weights = np.array([r["n"] for r in made])
-        models = np.stack([np.frombuffer(bytes(r["model"]), np.float32) for r in made])
-        model = Bilinear.unpacked(np.average(models, axis=0, weights=weights).astype(np.float32), classes)
-    return model
+    ahead = [dealt.where(F.col("shard") % shards == 0)] if shards > 1 else []
+    for turn, some in enumerate(ahead + [dealt] * shape.rounds):
+        start = spark.sparkContext.broadcast([m.packed() for m in models])
+        made = checkpoint(some.mapInPandas(trainer(start, 0.06 / (1 + max(0, turn - len(ahead))), turn), ROWS))
+        part = made.where("block >= 0").groupBy("place", "block", "deal").applyInPandas(mean_rows, ROWS)
+        whole = part.groupBy("place", "block").applyInPandas(mean_rows, ROWS)
+        for r in made.where("block < 0").collect():
+            ids = np.frombuffer(bytes(r["weight"]), np.int64)
+            models[r["place"]].context[ids] = np.frombuffer(bytes(r["rows"]), np.float32).reshape(len(ids), -1)
+        for r in whole.collect():
+            (a, b), rows = blocks[r["block"]], np.frombuffer(bytes(r["rows"]), np.float32)
+            model, rows = models[r["place"]], rows.reshape(b - a, -1)
+            model.target[a:b], model.bias[a:b] = rows[:, :-1], rows[:, -1]
+    return Model(models, normalisers(spark, models), noise, shape.mix)
+
+
+def normalisers(spark: SparkSession, models: list[Bilinear]) -> list[np.ndarray]:
+    """For each place the totals of all contexts, in blocks that Spark deals to its tasks."""
+    classes = len(models[0].bias)
+    shared = spark.sparkContext.broadcast([m.packed() for m in models])
+    blocks = [(place, a, b) for place in range(len(models)) for a, b in blocks_of(classes, 256)]
+
+    def totals(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = [Bilinear.unpacked(np.frombuffer(m, np.float32), classes) for m in shared.value]
+        for part in parts:
+            for i in part["id"]:
+                place, a, b = blocks[i]
+                yield pd.DataFrame({"id": [i], "totals": [own[place].totals(a, b).tobytes()]})
+
+    tasks = max(1, min(len(blocks), spark.sparkContext.defaultParallelism * 2))
+    out = [np.empty(classes) for _ in models]
+    for r in spark.range(0, len(blocks), 1, tasks).mapInPandas(totals, "id long, totals binary").collect():
+        place, a, b = blocks[r["id"]]
+        out[place][a:b] = np.frombuffer(bytes(r["totals"]), np.float64)
+    return out
 
 
 PARTS = (
@@ -316,17 +470,17 @@ PARTS = (
 )
 
 
-def score_texts(texts: DataFrame, counts: DataFrame, vocab: Vocabulary, log10: np.ndarray) -> DataFrame:
+def score_texts(texts: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Model) -> DataFrame:
     """`doc_id, held_out, n_tokens, n_known, base_score, score` for each row of doc_id, held_out, text.
 
     A task knows the counts of the broadcast words. It gives a row per text with all that needs no
     other count, under a key that is no word, and a row per other word of the text; a left join adds
     those counts, and sums per text follow.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((vocab, log10))
+    shared = texts.sparkSession.sparkContext.broadcast((vocab, model))
 
     def batch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, log10 = shared.value
+        vocab, model = shared.value
         places, table = Places(vocab), class_table(vocab)
         inside = np.log10(vocab.counts + 0.5)
         totals = vocab.class_totals()
@@ -339,7 +493,7 @@ def score_texts(texts: DataFrame, counts: DataFrame, vocab: Vocabulary, log10: n
                 at = places.of(words)
                 c = classes_of(at, table)
                 known = np.r_[at[at >= 0], 0]
-                ours = float(log10[c[:-1], c[1:]].sum(dtype=np.float64)) - float(totals[c[1:]].sum())
+                ours = model.log10(c) - float(totals[c[1:]].sum())
                 ours += float(inside[known[known >= frequent]].sum())
                 base = float(inside[known].sum()) - vocab.base_total * (len(words) + 1)
                 for column, value in zip(columns, (row, doc_id, held_out, len(words) + 1, len(known), base, ours, b" %d" % row, 0), strict=True):
@@ -395,6 +549,5 @@ def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text
     learn = texts.where(~F.col("held_out"))
     counts = count_words(learn)
     vocab = vocabulary(counts, shape)
-    model = train_pairs(pair_counts(learn, vocab), shape)
-    scored = score_texts(texts, counts, vocab, model.log10())
+    scored = score_texts(texts, counts, vocab, train_pairs(pair_counts(learn, vocab), vocab))
     return scored.withColumn("train_tokens", F.lit(vocab.tokens).cast("long"))
