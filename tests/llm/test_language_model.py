@@ -11,7 +11,7 @@ from tests.llm.test_operators import docs_of
 from tripfold.llm import lm
 from tripfold.llm.common import id_fold
 
-SHAPE = lm.Shape(head=60, frequent=24, growth=0.0, endings=8, dim=8, shard_pairs=1, steps=20, batch=128, noise=16)
+SHAPE = lm.Shape(head=60, frequent=24, growth=0.0, endings=8, dim=8, shard_tokens=1, steps=20, batch=128, noise=16)
 
 
 @pytest.fixture(scope="module")

@@ -42,28 +42,32 @@ class Shape:
     """Sizes of the model.
 
     `frequent` words are classes at least; from `growth` times the root of the training tokens on it
-    is that many, `most` at most, which bounds the broadcast model to some 35 MB. A shard of the pairs
-    has `shard_pairs` on average, or 16 per class; it makes one pass a round, in `steps` steps at least.
+    is that many, `most` at most, which bounds the broadcast model to some 35 MB. A shard is dealt the
+    pairs of `shard_tokens` or 64 tokens per class; it makes a pass a round, in `steps` steps at least.
     """
 
     head: int = 100_000
     frequent: int = 1_024
-    growth: float = 3.0
+    growth: float = 2.0
     most: int = 65_536
     endings: int = 256
     dim: int = 32
     #: Weights of the model of the word before, of the one before that, and of the plain distribution.
     mix: tuple[float, ...] = (0.55, 0.4, 0.05)
-    shard_pairs: int = 250_000
-    rounds: int = 3
+    shard_tokens: int = 4_000_000
+    rounds: int = 2
     steps: int = 60
-    batch: int = 4_096
-    noise: int = 128
+    batch: int = 1_024
+    noise: int = 64
 
     @property
     def places(self) -> int:
         return len(self.mix) - 1
 
+    def shards(self, tokens: int) -> int:
+        """Shards of a place: its pairs are no more than the tokens, nor than the classes squared."""
+        return max(1, -(-min(tokens, self.classes**2) // max(self.shard_tokens, 64 * self.classes)))
+
     def grown(self, tokens: int) -> Shape:
         return replace(self, frequent=max(self.frequent, min(self.most, int(self.growth * math.sqrt(tokens)))))
 
@@ -232,7 +236,7 @@ def pair_counts(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
         yield from out()
 
     counted = texts.select("text").mapInArrow(batch, "pair long, n long")
-    return checkpoint(counted.groupBy("pair").agg(F.sum("n").alias("n")))
+    return counted.groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -352,7 +356,12 @@ def blocks_of(classes: int, size: int) -> list[tuple[int, int]]:
 
 
 def mean_rows(part: pd.DataFrame) -> pd.DataFrame:
-    """Rows of one place and block as their mean, weighted for each class, and the weights' sums."""
+    """Rows of one place and block as their mean, weighted for each class, and the weights' sums.
+
+    Contexts (block -1) are one shard's and stay as they are.
+    """
+    if part["block"].iloc[0] < 0:
+        return part
     part = part.sort_values(["deal", "shard"])
     first = part.iloc[0]
     total = sum(np.frombuffer(w, np.float64) for w in part["weight"])
@@ -365,16 +374,21 @@ def mean_rows(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({k: [v] for k, v in {**fields, "weight": total.tobytes(), "rows": rows.tobytes()}.items()})
 
 
-ROWS = "place int, block int, deal int, shard long, weight binary, rows binary"
+ROWS = "place int, block int, deal long, shard long, weight binary, rows binary"
+
+
+def shortest(x: np.ndarray) -> np.ndarray:
+    """The same numbers in four bytes each, if they fit."""
+    return x.astype(np.int32) if not len(x) or x.max() < 1 << 31 else x.astype(np.int64)
 
 
-def dealt_pairs(pairs: DataFrame, shape: Shape) -> tuple[DataFrame, int]:
-    """`place, shard, before, after, n`, the pairs of a shard in one row, written down; shards per place.
+def dealt_pairs(pairs: DataFrame, shape: Shape, shards: int) -> DataFrame:
+    """`place, shard, before, times, after, n`: the pairs of a shard in one row, written down.
 
-    All pairs of a context are one shard's, at most one per class.
+    All pairs of a context are one shard's, at most one per class; `times` is how many. `n` has four
+    or eight bytes for each of `after`'s four.
     """
     classes = shape.classes
-    shards = max(1, -(-pairs.count() // max(shape.shard_pairs, 16 * classes)))
     context = F.expr(f"pair div {classes}")
     place = F.expr(f"cast(pair div {classes * classes} as int)")
     shard = place * shards + F.pmod(F.xxhash64(context), F.lit(shards))
@@ -383,13 +397,15 @@ def dealt_pairs(pairs: DataFrame, shape: Shape) -> tuple[DataFrame, int]:
     def packed(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("pair")
         codes = part["pair"].to_numpy() % (classes * classes)
-        cells = [codes // classes, codes % classes, part["n"].to_numpy()]
-        named = zip(("before", "after", "n"), (x.astype(np.int64).tobytes() for x in cells), strict=True)
-        return pd.DataFrame({"place": [part["place"].iloc[0]], "shard": [part["shard"].iloc[0]], **{k: [v] for k, v in named}})
+        before, times = np.unique(codes // classes, return_counts=True)
+        cells = {"before": before, "times": times, "after": codes % classes, "n": part["n"].to_numpy()}
+        fields = {"place": part["place"].iloc[0], "shard": part["shard"].iloc[0]}
+        fields |= {k: shortest(v).tobytes() for k, v in cells.items()}
+        return pd.DataFrame({k: [v] for k, v in fields.items()})
 
     dealt = rows.repartition(shards * shape.places, "shard").groupBy("shard")
-    made = dealt.applyInPandas(packed, "place int, shard long, before binary, after binary, n binary")
-    return checkpoint(made), shards
+    kinds = "place int, shard long, before binary, times binary, after binary, n binary"
+    return checkpoint(dealt.applyInPandas(packed, kinds))
 
 
 def train_pairs(pairs: DataFrame, vocab: Vocabulary) -> Model:
@@ -407,18 +423,20 @@ def train_pairs(pairs: DataFrame, vocab: Vocabulary) -> Model:
     noise /= noise.sum()
     models = [Bilinear.fresh(noise, shape.dim, seed=1 + place) for place in range(shape.places)]
     spark = pairs.sparkSession
-    dealt, shards = dealt_pairs(pairs, shape)
+    shards = shape.shards(vocab.tokens)
+    dealt = dealt_pairs(pairs, shape, shards)
     blocks = blocks_of(classes, 512)
 
     def trainer(start: Broadcast, rate: float, turn: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
         def trained(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
-                for place, shard, *cells in part[["place", "shard", "before", "after", "n"]].itertuples(index=False):
+                for r in part.itertuples(index=False):
+                    place, shard = r.place, r.shard
                     own = Bilinear.unpacked(np.frombuffer(start.value[place], np.float32), classes)
-                    before, after, n = (np.frombuffer(x, np.int64) for x in cells)
-                    own.train(before, after, n, noise, shape, turn * 1_000_003 + shard, rate)
-                    ids = np.unique(before)
-                    made = [(place, -1, 0, shard, ids.tobytes(), own.context[ids].tobytes())]
+                    ids, times, after = (np.frombuffer(x, np.int32) for x in (r.before, r.times, r.after))
+                    n = np.frombuffer(r.n, np.int32 if len(r.n) == len(r.after) else np.int64).astype(np.int64)
+                    own.train(np.repeat(ids, times), after, n, noise, shape, turn * 1_000_003 + shard, rate)
+                    made = [(place, -1, shard, shard, ids.tobytes(), own.context[ids].tobytes())]
                     weight = np.bincount(after, n, classes) + 1e-3
                     rows = np.concatenate([own.target, own.bias[:, None]], axis=1)
                     for block, (a, b) in enumerate(blocks):
@@ -430,15 +448,18 @@ def train_pairs(pairs: DataFrame, vocab: Vocabulary) -> Model:
     ahead = [dealt.where(F.col("shard") % shards == 0)] if shards > 1 else []
     for turn, some in enumerate(ahead + [dealt] * shape.rounds):
         start = spark.sparkContext.broadcast([m.packed() for m in models])
-        made = checkpoint(some.mapInPandas(trainer(start, 0.06 / (1 + max(0, turn - len(ahead))), turn), ROWS))
-        part = made.where("block >= 0").groupBy("place", "block", "deal").applyInPandas(mean_rows, ROWS)
-        whole = part.groupBy("place", "block").applyInPandas(mean_rows, ROWS)
-        for r in made.where("block < 0").collect():
-            ids = np.frombuffer(bytes(r["weight"]), np.int64)
-            models[r["place"]].context[ids] = np.frombuffer(bytes(r["rows"]), np.float32).reshape(len(ids), -1)
+        made = some.mapInPandas(trainer(start, 0.1 / (1 + max(0, turn - len(ahead))), turn), ROWS)
+        some = made.groupBy("place", "block", "deal").applyInPandas(mean_rows, ROWS)
+        block = F.when(F.col("block") < 0, F.col("deal")).otherwise(-1).alias("alone")
+        whole = some.groupBy("place", "block", block).applyInPandas(mean_rows, ROWS)
         for r in whole.collect():
-            (a, b), rows = blocks[r["block"]], np.frombuffer(bytes(r["rows"]), np.float32)
-            model, rows = models[r["place"]], rows.reshape(b - a, -1)
+            model, rows = models[r["place"]], np.frombuffer(bytes(r["rows"]), np.float32)
+            if r["block"] < 0:
+                ids = np.frombuffer(bytes(r["weight"]), np.int32)
+                model.context[ids] = rows.reshape(len(ids), -1)
+                continue
+            a, b = blocks[r["block"]]
+            rows = rows.reshape(b - a, -1)
             model.target[a:b], model.bias[a:b] = rows[:, :-1], rows[:, -1]
     return Model(models, normalisers(spark, models), noise, shape.mix)
 
