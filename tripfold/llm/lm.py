@@ -29,7 +29,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tripfold.llm.common import checkpoint, sigmoid, utf8_words
+from tripfold.llm.common import by_bytes, checkpoint, sigmoid, utf8_words
 
 #: The end of a text among the words, which are never empty.
 END = b""
@@ -194,9 +194,8 @@ def class_table(vocab: Vocabulary) -> np.ndarray:
 
 
 def classes_of(places: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Classes of a text's words, with the end before and behind."""
-    inner = np.where(places < 0, -1 - places, table[np.maximum(places, 0)])
-    return np.r_[0, inner, 0]
+    """Classes of words."""
+    return np.where(places < 0, -1 - places, table[np.maximum(places, 0)])
 
 
 def befores(c: np.ndarray, place: int) -> np.ndarray:
@@ -205,9 +204,9 @@ def befores(c: np.ndarray, place: int) -> np.ndarray:
 
 
 def pair_counts(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """`pair, n`: how often a class follows another, over all rows.
+    """`pair, n`: how often a class follows another, over all rows; a pair has a row per block of texts.
 
-    pair = (place * C + before) * C + class. Counted in blocks before the shuffle.
+    pair = (place * C + before) * C + class.
     """
     shape = vocab.shape
     shared = texts.sparkSession.sparkContext.broadcast(vocab)
@@ -226,7 +225,7 @@ def pair_counts(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
 
         for part in parts:
             for text in part.column(0):
-                c = classes_of(places.of(utf8_words(text.as_py())), table)
+                c = np.r_[0, classes_of(places.of(utf8_words(text.as_py())), table), 0]
                 for place in range(shape.places):
                     held.append((place * shape.classes + befores(c, place)) * shape.classes + c[1:])
                     size += len(c)
@@ -235,8 +234,7 @@ def pair_counts(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
                     size = 0
         yield from out()
 
-    counted = texts.select("text").mapInArrow(batch, "pair long, n long")
-    return counted.groupBy("pair").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(batch, "pair long, n long")
 
 
 def summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -318,9 +316,14 @@ class Bilinear:
                 k = np.minimum(np.searchsorted(words, rng.random(shape.noise)), len(noise) - 1)
                 c, t, z = self.context[h], self.target[w], self.target[k]
                 true = np.einsum("ij,ij->i", c, t) + self.bias[w] - odds[w]
-                false = c @ z.T + self.bias[k] - odds[k]
                 g_true = ((sigmoid(true) - 1) * much).astype(np.float32)
-                g_false = (sigmoid(false) * much[:, None]).astype(np.float32)
+                # The same of the noise, written over its scores: weight / (1 + exp(-score)).
+                g_false = c @ -z.T
+                g_false += odds[k] - self.bias[k]
+                np.minimum(g_false, 60, out=g_false)
+                np.exp(g_false, out=g_false)
+                g_false += 1
+                np.divide(much[:, None], g_false, out=g_false)
                 both = np.r_[w, k]
                 move(self.context, squares[0], h, g_true[:, None] * t + g_false @ z, speed)
                 move(self.target, squares[1], both, np.concatenate([g_true[:, None] * c, g_false.T @ c]), speed)
@@ -338,16 +341,26 @@ class Model:
 
     def log10(self, c: np.ndarray) -> float:
         """log10 probability of a text's classes, which come with the end before and behind."""
-        out = 0.0
-        for at in range(0, len(c) - 1, 1 << 15):
-            last = min(len(c) - 1, at + (1 << 15))
-            after = c[at + 1 : last + 1]
+        return float(self.words_log10(c, np.zeros(1, np.int64)).sum())
+
+    def words_log10(self, c: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log10 probability of each word of some texts and of their ends, a text behind the other.
+
+        `c` has the classes of all texts, each with the end before and behind; `starts` are their places.
+        """
+        first = np.repeat(starts, np.diff(np.r_[starts, len(c)]))
+        at = np.flatnonzero(first != np.arange(len(c)))
+        first = first[at]
+        out = np.empty(len(at))
+        for i in range(0, len(at), 1 << 13):
+            some = slice(i, i + (1 << 13))
+            after = c[at[some]]
             total = self.mix[-1] * self.plain[after]
             for place, (model, norm) in enumerate(zip(self.places, self.totals, strict=True)):
-                h = befores(c[max(0, at - place) : last + 1], place)[-len(after) :]
-                raw = np.einsum("ij,ij->i", model.context[h], model.target[after]) + model.bias[after]
-                total = total + self.mix[place] * np.exp(raw - norm[h])
-            out += float(np.log10(total).sum())
+                h = c[np.maximum(at[some] - 1 - place, first[some])]
+                raw = np.einsum("ij,ij->i", model.context.take(h, axis=0), model.target.take(after, axis=0))
+                total += self.mix[place] * np.exp(raw + model.bias[after] - norm[h])
+            out[some] = np.log10(total)
         return out
 
 
@@ -403,9 +416,10 @@ def dealt_pairs(pairs: DataFrame, shape: Shape, shards: int) -> DataFrame:
         fields |= {k: shortest(v).tobytes() for k, v in cells.items()}
         return pd.DataFrame({k: [v] for k, v in fields.items()})
 
-    dealt = rows.repartition(shards * shape.places, "shard").groupBy("shard")
+    # Placed by shard once: the sums and the packing below find their rows together.
+    dealt = rows.repartition(shards * shape.places, "shard").groupBy("place", "shard", "pair").agg(F.sum("n").alias("n"))
     kinds = "place int, shard long, before binary, times binary, after binary, n binary"
-    return checkpoint(dealt.applyInPandas(packed, kinds))
+    return checkpoint(dealt.groupBy("shard").applyInPandas(packed, kinds))
 
 
 def train_pairs(pairs: DataFrame, vocab: Vocabulary) -> Model:
@@ -503,38 +517,53 @@ def score_texts(texts: DataFrame, counts: DataFrame, vocab: Vocabulary, model: M
     def batch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, model = shared.value
         places, table = Places(vocab), class_table(vocab)
-        inside = np.log10(vocab.counts + 0.5)
+        # What a word of known place adds to either score, behind its class; an ending's words share the last.
+        base = np.r_[np.log10(vocab.counts + 0.5), 0.0]
+        inside = np.where(np.arange(len(base)) < vocab.shape.frequent, 0.0, base)
+        seen = np.r_[vocab.counts > 0, False]
         totals = vocab.class_totals()
-        frequent = vocab.shape.frequent
         row = TaskContext.get().partitionId() << 33
         for part in parts:
-            columns: list[list] = [[] for _ in range(9)]
-            for doc_id, held_out, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                words = utf8_words(text)
-                at = places.of(words)
-                c = classes_of(at, table)
-                known = np.r_[at[at >= 0], 0]
-                ours = model.log10(c) - float(totals[c[1:]].sum())
-                ours += float(inside[known[known >= frequent]].sum())
-                base = float(inside[known].sum()) - vocab.base_total * (len(words) + 1)
-                for column, value in zip(columns, (row, doc_id, held_out, len(words) + 1, len(known), base, ours, b" %d" % row, 0), strict=True):
-                    column.append(value)
-                others = Counter(words[i] for i in np.flatnonzero(at < 0).tolist())
-                columns[0] += [row] * len(others)
-                for column in columns[1:7]:
-                    column += [None] * len(others)
-                columns[7] += others.keys()
-                columns[8] += others.values()
-                row += 1
-                if len(columns[0]) > 200_000:
-                    yield made(columns)
-                    columns = [[] for _ in range(9)]
-            yield made(columns)
-
-    def made(columns: list[list]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
-        names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "word", "n"]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            ids, held, texts = (part.column(i) for i in range(3))
+            at = 0
+            for block in by_bytes((t.as_py() for t in texts), 1 << 20):
+                found = [utf8_words(t) for t in block]
+                sizes = np.array([len(w) + 1 for w in found], np.int64)
+                ends = np.cumsum(sizes)
+                words = [word for text in found for word in (*text, END)]
+                place = np.maximum(numbers := places.of(words), -1)
+                starts = ends - sizes
+                classes = classes_of(numbers, table)
+                c = np.insert(classes, starts, 0)
+                score = model.words_log10(c, starts + np.arange(len(sizes)))
+                score += inside[place] - totals[classes]
+                rest = np.flatnonzero(place < 0)
+                cuts = np.searchsorted(rest, np.r_[starts, len(words)])
+                rare = [Counter(words[i] for i in rest[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                kinds = np.array([len(r) for r in rare], np.int64)
+                rows = np.arange(row, row + len(sizes))
+                cells = {
+                    "n_tokens": sizes,
+                    "n_known": np.add.reduceat(seen[place], starts, dtype=np.int64),
+                    "base": np.add.reduceat(base[place], starts) - vocab.base_total * sizes,
+                    "model": np.add.reduceat(score, starts),
+                }
+                none = pa.nulls(int(kinds.sum()))
+                both = lambda x, kind: pa.concat_arrays([x.cast(kind), none.cast(kind)])
+                long = pa.int64()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.r_[rows, np.repeat(rows, kinds)]),
+                        both(ids.slice(at, len(block)), long),
+                        both(held.slice(at, len(block)), pa.bool_()),
+                        *(both(pa.array(x), long if x.dtype == np.int64 else pa.float64()) for x in cells.values()),
+                        pa.array([*(b" %d" % r for r in rows.tolist()), *(w for r in rare for w in r)], pa.binary()),
+                        pa.array([*([0] * len(rows)), *(n for r in rare for n in r.values())], long),
+                    ],
+                    names=["row", "doc_id", "held_out", *cells, "word", "n"],
+                )
+                row += len(block)
+                at += len(block)
 
     parts = texts.select("doc_id", "held_out", "text").mapInArrow(batch, PARTS)
     rare = counts.select("word", F.col("n").alias("c"))
