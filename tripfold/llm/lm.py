@@ -42,14 +42,15 @@ class Shape:
     """Sizes of the model.
 
     `frequent` words are classes at least; from `growth` times the root of the training tokens on it
-    is that many, `most` at most, which bounds the broadcast model to some 35 MB. A shard is dealt the
-    pairs of `shard_tokens` or 64 tokens per class; it makes a pass a round, in `steps` steps at least.
+    is that many, `most` at most, which bounds the broadcast model to some 35 MB and keeps a pair of
+    classes within 32 bits. A shard is dealt the pairs of `shard_tokens` or 64 tokens per class; it
+    makes a pass a round, in `steps` steps at least.
     """
 
     head: int = 100_000
     frequent: int = 1_024
     growth: float = 2.0
-    most: int = 65_536
+    most: int = 65_280
     endings: int = 256
     dim: int = 32
     #: Weights of the model of the word before, of the one before that, and of the plain distribution.
@@ -198,43 +199,70 @@ def classes_of(places: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.where(places < 0, -1 - places, table[np.maximum(places, 0)])
 
 
-def befores(c: np.ndarray, place: int) -> np.ndarray:
-    """For each class of a text but the first, the one `place` + 1 before it; the end before the text."""
-    return c[:-1] if place == 0 else np.r_[np.zeros(min(place, len(c) - 1), c.dtype), c[: -1 - place]]
+def targets(size: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words and ends of texts that lie one behind the other, each with the end before it
+    (at `starts`) and behind; and for each of them the start of its text."""
+    first = np.repeat(starts, np.diff(np.r_[starts, size]))
+    at = np.flatnonzero(first != np.arange(size))
+    return at, first[at]
+
+
+def shard_of(context: np.ndarray, shards: int) -> np.ndarray:
+    """A number below `shards` for each context, the same in every task."""
+    x = context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
 
 
 def pair_counts(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """`pair, n`: how often a class follows another, over all rows; a pair has a row per block of texts.
+    """`place, shard, steps, n`: how often a class follows another, over all rows, packed.
 
-    pair = (place * C + before) * C + class.
+    A row has the pairs of a shard in one block of texts. A pair is before * C + class, less than 2^32;
+    they ascend, and `steps` are their differences.
     """
-    shape = vocab.shape
+    shape, shards = vocab.shape, vocab.shape.shards(vocab.tokens)
     shared = texts.sparkSession.sparkContext.broadcast(vocab)
 
     def batch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, table = Places(shared.value), class_table(shared.value)
-        held: list[np.ndarray] = []
+        held: list[list[np.ndarray]] = [[] for _ in range(shape.places)]
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            pairs, n = np.unique(np.concatenate([np.empty(0, np.int64), *held]), return_counts=True)
-            held.clear()
-            for at in range(0, len(pairs), 100_000):
-                cut = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[cut]), pa.array(n[cut].astype(np.int64))], names=["pair", "n"])
+            for place, codes in enumerate(held):
+                pairs, n = np.unique(np.concatenate([np.empty(0, np.int64), *codes]), return_counts=True)
+                codes.clear()
+                shard = shard_of(pairs // shape.classes, shards)
+                order = np.argsort(shard, kind="stable")
+                pairs, n = pairs[order], n[order].astype(np.uint32)
+                ends = np.cumsum(np.bincount(shard, minlength=shards))
+                made = [(i, a, b) for i, (a, b) in enumerate(zip(np.r_[0, ends[:-1]], ends, strict=True)) if a < b]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([place] * len(made), pa.int32()),
+                        pa.array([place * shards + i for i, _, _ in made], pa.int64()),
+                        pa.array([np.diff(pairs[a:b], prepend=0).astype(np.uint32).tobytes() for _, a, b in made], pa.binary()),
+                        pa.array([n[a:b].tobytes() for _, a, b in made], pa.binary()),
+                    ],
+                    names=["place", "shard", "steps", "n"],
+                )
 
         for part in parts:
-            for text in part.column(0):
-                c = np.r_[0, classes_of(places.of(utf8_words(text.as_py())), table), 0]
-                for place in range(shape.places):
-                    held.append((place * shape.classes + befores(c, place)) * shape.classes + c[1:])
-                    size += len(c)
-                if size > 1 << 22:
+            for block in by_bytes((t.as_py() for t in part.column(0)), 1 << 20):
+                found = [utf8_words(t) for t in block]
+                sizes = np.array([len(w) + 1 for w in found], np.int64)
+                starts = np.cumsum(sizes) - sizes
+                words = places.of([word for text in found for word in (*text, END)])
+                c = np.insert(classes_of(words, table), starts, 0)
+                at, first = targets(len(c), starts + np.arange(len(starts)))
+                for place, codes in enumerate(held):
+                    codes.append(c[np.maximum(at - 1 - place, first)] * shape.classes + c[at])
+                size += len(c)
+                if size > 1 << 21:
                     yield from out()
                     size = 0
         yield from out()
 
-    return texts.select("text").mapInArrow(batch, "pair long, n long")
+    return texts.select("text").mapInArrow(batch, "place int, shard long, steps binary, n binary")
 
 
 def summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -348,9 +376,7 @@ class Model:
 
         `c` has the classes of all texts, each with the end before and behind; `starts` are their places.
         """
-        first = np.repeat(starts, np.diff(np.r_[starts, len(c)]))
-        at = np.flatnonzero(first != np.arange(len(c)))
-        first = first[at]
+        at, first = targets(len(c), starts)
         out = np.empty(len(at))
         for i in range(0, len(at), 1 << 13):
             some = slice(i, i + (1 << 13))
@@ -399,27 +425,40 @@ def dealt_pairs(pairs: DataFrame, shape: Shape, shards: int) -> DataFrame:
     """`place, shard, before, times, after, n`: the pairs of a shard in one row, written down.
 
     All pairs of a context are one shard's, at most one per class; `times` is how many. `n` has four
-    or eight bytes for each of `after`'s four.
+    or eight bytes for each of `after`'s four. Blocks are summed as they come, so that a task holds a
+    shard's distinct pairs and a bounded number of others.
     """
-    classes = shape.classes
-    context = F.expr(f"pair div {classes}")
-    place = F.expr(f"cast(pair div {classes * classes} as int)")
-    shard = place * shards + F.pmod(F.xxhash64(context), F.lit(shards))
-    rows = pairs.select(place.alias("place"), shard.cast("long").alias("shard"), "pair", "n")
-
-    def packed(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pair")
-        codes = part["pair"].to_numpy() % (classes * classes)
-        before, times = np.unique(codes // classes, return_counts=True)
-        cells = {"before": before, "times": times, "after": codes % classes, "n": part["n"].to_numpy()}
-        fields = {"place": part["place"].iloc[0], "shard": part["shard"].iloc[0]}
-        fields |= {k: shortest(v).tobytes() for k, v in cells.items()}
+
+    def row(place: int, shard: int, codes: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        before, times = np.unique(codes // shape.classes, return_counts=True)
+        cells = {"before": before, "times": times, "after": codes % shape.classes, "n": n}
+        fields = {"place": place, "shard": shard} | {k: shortest(v).tobytes() for k, v in cells.items()}
         return pd.DataFrame({k: [v] for k, v in fields.items()})
 
-    # Placed by shard once: the sums and the packing below find their rows together.
-    dealt = rows.repartition(shards * shape.places, "shard").groupBy("place", "shard", "pair").agg(F.sum("n").alias("n"))
+    def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: tuple[int, int] | None = None
+        codes, n, fresh = [], [], 0
+
+        def total() -> tuple[np.ndarray, np.ndarray]:
+            return summed(np.concatenate(codes), np.concatenate(n))
+
+        for part in parts:
+            for r in part.itertuples(index=False):
+                if now and now[1] != r.shard:
+                    yield row(*now, *total())
+                    codes, n, fresh = [], [], 0
+                now = r.place, r.shard
+                codes.append(np.cumsum(np.frombuffer(r.steps, np.uint32), dtype=np.int64))
+                n.append(np.frombuffer(r.n, np.uint32).astype(np.int64))
+                fresh += len(n[-1])
+                if fresh > max(1 << 22, len(n[0])):
+                    (codes, n), fresh = ([x] for x in total()), 0
+        if now:
+            yield row(*now, *total())
+
+    dealt = pairs.repartition(shards * shape.places, "shard").sortWithinPartitions("shard")
     kinds = "place int, shard long, before binary, times binary, after binary, n binary"
-    return checkpoint(dealt.groupBy("shard").applyInPandas(packed, kinds))
+    return checkpoint(dealt.mapInPandas(packed, kinds))
 
 
 def train_pairs(pairs: DataFrame, vocab: Vocabulary) -> Model:
