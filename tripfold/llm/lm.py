@@ -21,6 +21,7 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -249,9 +250,11 @@ def pair_counts(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
         for part in parts:
             for block in by_bytes((t.as_py() for t in part.column(0)), 1 << 20):
                 found = [utf8_words(t) for t in block]
-                sizes = np.array([len(w) + 1 for w in found], np.int64)
+                for text in found:
+                    text.append(END)
+                sizes = np.array([len(w) for w in found], np.int64)
                 starts = np.cumsum(sizes) - sizes
-                words = places.of([word for text in found for word in (*text, END)])
+                words = places.of(list(chain.from_iterable(found)))
                 c = np.insert(classes_of(words, table), starts, 0)
                 at, first = targets(len(c), starts + np.arange(len(starts)))
                 for place, codes in enumerate(held):
@@ -268,9 +271,9 @@ def pair_counts(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
 def summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids, and the sums of their rows."""
     order = np.argsort(ids, kind="stable")
-    ranked = ids[order]
+    ranked = ids.take(order)
     starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-    return ranked[starts], np.add.reduceat(rows[order], starts, axis=0)
+    return ranked[starts], np.add.reduceat(rows.take(order, axis=0), starts, axis=0)
 
 
 @dataclass
@@ -327,11 +330,9 @@ class Bilinear:
         odds = np.log(shape.noise * noise).astype(np.float32)
         squares = [np.full(len(noise), 1e-6, np.float32) for _ in range(3)]
 
-        def move(value: np.ndarray, square: np.ndarray, ids: np.ndarray, rows: np.ndarray, speed: float) -> None:
-            ids, grad = summed(ids, rows)
-            square[ids] += (grad * grad).reshape(len(ids), -1).mean(axis=1)
-            root = np.sqrt(square[ids])
-            value[ids] -= speed * grad / (root[:, None] if grad.ndim > 1 else root)
+        def move(value: np.ndarray, square: np.ndarray, ids: np.ndarray, grad: np.ndarray, speed: float) -> None:
+            square[ids] += np.einsum("ij,ij->i", grad, grad) / grad.shape[1]
+            value[ids] -= grad * (speed / np.sqrt(square[ids]))[:, None]
 
         made, total = 0, max(shape.steps, -(-len(pairs) // shape.batch))
         while made < max(1, shape.steps):
@@ -342,7 +343,7 @@ class Bilinear:
                 some = order[at : at + shape.batch]
                 h, w, much = before[pairs[some]], after[pairs[some]], weight[some]
                 k = np.minimum(np.searchsorted(words, rng.random(shape.noise)), len(noise) - 1)
-                c, t, z = self.context[h], self.target[w], self.target[k]
+                c, t, z = self.context.take(h, axis=0), self.target.take(w, axis=0), self.target[k]
                 true = np.einsum("ij,ij->i", c, t) + self.bias[w] - odds[w]
                 g_true = ((sigmoid(true) - 1) * much).astype(np.float32)
                 # The same of the noise, written over its scores: weight / (1 + exp(-score)).
@@ -352,10 +353,17 @@ class Bilinear:
                 np.exp(g_false, out=g_false)
                 g_false += 1
                 np.divide(much[:, None], g_false, out=g_false)
-                both = np.r_[w, k]
-                move(self.context, squares[0], h, g_true[:, None] * t + g_false @ z, speed)
-                move(self.target, squares[1], both, np.concatenate([g_true[:, None] * c, g_false.T @ c]), speed)
-                move(self.bias, squares[2], both, np.r_[g_true, g_false.sum(axis=0)], speed / 4)
+                t *= g_true[:, None]
+                t += g_false @ z
+                move(self.context, squares[0], *summed(h, t), speed)
+                # Targets and their biases are summed together; the bias is the last column.
+                moves = np.empty((len(w) + len(k), c.shape[1] + 1), np.float32)
+                np.multiply(g_true[:, None], c, out=moves[: len(w), :-1])
+                np.matmul(g_false.T, c, out=moves[len(w) :, :-1])
+                moves[: len(w), -1], moves[len(w) :, -1] = g_true, g_false.sum(axis=0)
+                ids, grad = summed(np.r_[w, k], moves)
+                move(self.target, squares[1], ids, grad[:, :-1], speed)
+                move(self.bias[:, None], squares[2], ids, grad[:, -1:], speed / 4)
 
 
 @dataclass
@@ -395,7 +403,7 @@ def blocks_of(classes: int, size: int) -> list[tuple[int, int]]:
 
 
 def mean_rows(part: pd.DataFrame) -> pd.DataFrame:
-    """Rows of one place and block as their mean, weighted for each class, and the weights' sums.
+    """Moves of one place and block as their mean, weighted for each class, and the weights' sums.
 
     Contexts (block -1) are one shard's and stay as they are.
     """
@@ -403,12 +411,12 @@ def mean_rows(part: pd.DataFrame) -> pd.DataFrame:
         return part
     part = part.sort_values(["deal", "shard"])
     first = part.iloc[0]
-    total = sum(np.frombuffer(w, np.float64) for w in part["weight"])
+    total = sum(np.frombuffer(w, np.float32).astype(np.float64) for w in part["weight"])
     rows = sum(
-        np.frombuffer(w, np.float64)[:, None] * np.frombuffer(r, np.float32).reshape(len(total), -1)
+        np.frombuffer(w, np.float32).astype(np.float64)[:, None] * np.frombuffer(r, np.float16).reshape(len(total), -1)
         for w, r in zip(part["weight"], part["rows"], strict=True)
     )
-    rows = (rows / total[:, None]).astype(np.float32)
+    total, rows = total.astype(np.float32), (rows / total[:, None]).astype(np.float16)
     fields = {"place": first["place"], "block": first["block"], "deal": first["deal"], "shard": 0}
     return pd.DataFrame({k: [v] for k, v in {**fields, "weight": total.tobytes(), "rows": rows.tobytes()}.items()})
 
@@ -490,8 +498,10 @@ def train_pairs(pairs: DataFrame, vocab: Vocabulary) -> Model:
                     n = np.frombuffer(r.n, np.int32 if len(r.n) == len(r.after) else np.int64).astype(np.int64)
                     own.train(np.repeat(ids, times), after, n, noise, shape, turn * 1_000_003 + shard, rate)
                     made = [(place, -1, shard, shard, ids.tobytes(), own.context[ids].tobytes())]
-                    weight = np.bincount(after, n, classes) + 1e-3
-                    rows = np.concatenate([own.target, own.bias[:, None]], axis=1)
+                    # How far targets moved goes out in two bytes a number: this grows with shards and classes.
+                    weight = (np.bincount(after, n, classes) + 1e-3).astype(np.float32)
+                    old = Bilinear.unpacked(np.frombuffer(start.value[place], np.float32), classes)
+                    rows = np.concatenate([own.target - old.target, (own.bias - old.bias)[:, None]], axis=1).astype(np.float16)
                     for block, (a, b) in enumerate(blocks):
                         made.append((place, block, shard % 32, shard, weight[a:b].tobytes(), rows[a:b].tobytes()))
                     yield pd.DataFrame(made, columns=["place", "block", "deal", "shard", "weight", "rows"])
@@ -506,14 +516,15 @@ def train_pairs(pairs: DataFrame, vocab: Vocabulary) -> Model:
         block = F.when(F.col("block") < 0, F.col("deal")).otherwise(-1).alias("alone")
         whole = some.groupBy("place", "block", block).applyInPandas(mean_rows, ROWS)
         for r in whole.collect():
-            model, rows = models[r["place"]], np.frombuffer(bytes(r["rows"]), np.float32)
+            model = models[r["place"]]
             if r["block"] < 0:
                 ids = np.frombuffer(bytes(r["weight"]), np.int32)
-                model.context[ids] = rows.reshape(len(ids), -1)
+                model.context[ids] = np.frombuffer(bytes(r["rows"]), np.float32).reshape(len(ids), -1)
                 continue
             a, b = blocks[r["block"]]
-            rows = rows.reshape(b - a, -1)
-            model.target[a:b], model.bias[a:b] = rows[:, :-1], rows[:, -1]
+            moves = np.frombuffer(bytes(r["rows"]), np.float16).astype(np.float32).reshape(b - a, -1)
+            model.target[a:b] += moves[:, :-1]
+            model.bias[a:b] += moves[:, -1]
     return Model(models, normalisers(spark, models), noise, shape.mix)
 
 
@@ -569,7 +580,9 @@ def score_texts(texts: DataFrame, counts: DataFrame, vocab: Vocabulary, model: M
                 found = [utf8_words(t) for t in block]
                 sizes = np.array([len(w) + 1 for w in found], np.int64)
                 ends = np.cumsum(sizes)
-                words = [word for text in found for word in (*text, END)]
+                for text in found:
+                    text.append(END)
+                words = list(chain.from_iterable(found))
                 place = np.maximum(numbers := places.of(words), -1)
                 starts = ends - sizes
                 classes = classes_of(numbers, table)
@@ -578,7 +591,8 @@ def score_texts(texts: DataFrame, counts: DataFrame, vocab: Vocabulary, model: M
                 score += inside[place] - totals[classes]
                 rest = np.flatnonzero(place < 0)
                 cuts = np.searchsorted(rest, np.r_[starts, len(words)])
-                rare = [Counter(words[i] for i in rest[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                others = [words[i] for i in rest.tolist()]
+                rare = [Counter(others[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
                 kinds = np.array([len(r) for r in rare], np.int64)
                 rows = np.arange(row, row + len(sizes))
                 cells = {
@@ -596,8 +610,8 @@ def score_texts(texts: DataFrame, counts: DataFrame, vocab: Vocabulary, model: M
                         both(ids.slice(at, len(block)), long),
                         both(held.slice(at, len(block)), pa.bool_()),
                         *(both(pa.array(x), long if x.dtype == np.int64 else pa.float64()) for x in cells.values()),
-                        pa.array([*(b" %d" % r for r in rows.tolist()), *(w for r in rare for w in r)], pa.binary()),
-                        pa.array([*([0] * len(rows)), *(n for r in rare for n in r.values())], long),
+                        pa.array([*(b" %d" % r for r in rows.tolist()), *chain.from_iterable(rare)], pa.binary()),
+                        pa.array([*([0] * len(rows)), *chain.from_iterable(r.values() for r in rare)], long),
                     ],
                     names=["row", "doc_id", "held_out", *cells, "word", "n"],
                 )
