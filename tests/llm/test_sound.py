@@ -1,13 +1,14 @@
-"""Vectors far from the origin or of wide values; WARC files that do not depend on how rows lie."""
+"""Vectors far from the origin or of wide values; WARC files that do not depend on how rows lie; long labelled texts."""
 
 import gzip
 import io
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.test_operators import vectors
-from tripfold.llm import bitslice, graph, warc
+from tripfold.llm import bitslice, graph, toxicity, warc
 
 
 @pytest.mark.parametrize("move", ["offset 1e3", "offset 1e4", "scale 1e20", "scale 1e-30", "far points"])
@@ -81,3 +82,15 @@ def test_cut_files_fail(spark, tmp_path):
         warc.read_pages(manifest, str(tmp_path / "w")).collect()
     with pytest.raises(ValueError, match="ends inside"):
         list(warc.members(io.BytesIO(whole[:-10])))
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    """A text of more than 20,000 words is the only toxic one; the model knows its word."""
+    rows = [(i, "calm words only here", "en", "a") for i in range(40)]
+    rows += [(100, "calm " * 20_100 + "vile vile", "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = docs.select("doc_id", (F.col("doc_id") == 100).cast("int").alias("toxic"))
+    model = toxicity.train(docs, labels)
+    buckets = toxicity.Buckets()
+    scores = model.scores([toxicity.codes(t, buckets) for t in ("vile vile", "calm words only here")])
+    assert scores[0] > scores[1]
