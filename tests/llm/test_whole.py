@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from tripfold.llm import queries, toxicity
+from tripfold.llm import pieces, queries, toxicity
 
 
 def made_word(kind, i):
@@ -74,3 +74,46 @@ def test_op9_query_as_registered(spark, tmp_path):
     table.select("doc_id", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
     got = queries.op9_toxicity(spark, str(tmp_path)).join(table, "doc_id").collect()
     assert len(got) == 400 and np.mean([r.predicted == r.toxic for r in got if r.held_out]) > 0.9
+
+
+def test_op10_query_chooses_among_cells(spark, tmp_path):
+    """Four samples: from the third on the search has several cells to choose from."""
+    rows = [(1, "the cat sat on a mat"), (2, None), (3, ""), (4, "a" * 40), (None, "é ▁ 🎉  two words"), (6, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op10_pieces(spark, str(tmp_path)).collect()
+    assert all(r.decoded for r in got)
+    for i, n in ((1, 4), (2, 1), (3, 1), (4, 4), (None, 4), (6, 2)):
+        mine = sorted((r for r in got if r.doc_id == i), key=lambda r: r.sample)
+        assert [r.sample for r in mine] == list(range(1, len(mine) + 1)) and len({r.ids_digest for r in mine}) == len(mine)
+        assert len(mine) == n and [r.perturbed for r in mine] == sorted((r.perturbed for r in mine), reverse=True)
+
+
+def test_pieces_third_draw_is_without_replacement():
+    vocab = pieces.Vocabulary.load()
+    (every,) = pieces.sampled([(0, "cats")], 1000, "z", vocab)
+    p = {tuple(r[1].tolist()): float(np.exp(r[2])) for r in every}
+    assert abs(sum(p.values()) - 1) < 1e-9
+    n, third = 4000, dict.fromkeys(p, 0.0)
+    for samples in pieces.sampled(((i, "cats") for i in range(n)), 4, "z", vocab):
+        third[tuple(samples[2][1].tolist())] += 1 / n
+    for key in sorted(p, key=p.get)[-3:]:
+        others = [(a, b) for a in p for b in p if len({a, b, key}) == 3]
+        want = sum(p[a] * p[b] / (1 - p[a]) * p[key] / (1 - p[a] - p[b]) for a, b in others)
+        assert abs(third[key] - want) < 0.03
+
+
+def test_pieces_do_not_depend_on_blocks(monkeypatch):
+    """Lattices are kept from block to block; samples are those of one block with its own."""
+    vocab = pieces.Vocabulary.load()
+    rows = [(i, f"word{i % 7} é▁{i} 🎉 the  cat {'y' * (i % 5)}") for i in range(60)] + [(99, None)]
+
+    def found():
+        return [[(r[0], r[1].tobytes(), *r[2:]) for r in s] for s in pieces.sampled(rows, 4, "z", vocab)]
+
+    whole = found()
+    for block, kept, walks in ((50, 1 << 19, 7), (50, 100, 1 << 14)):
+        monkeypatch.setattr(pieces, "BLOCK", block)
+        monkeypatch.setattr(pieces, "KEPT", kept)
+        monkeypatch.setattr(pieces, "WALKS", walks)
+        assert found() == whole
+    assert vocab.spells(np.array([], np.int32), "") and not vocab.spells(np.array([], np.int32), "a")

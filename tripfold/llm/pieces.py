@@ -17,9 +17,10 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass
-from itertools import count
+from dataclasses import dataclass, field
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,10 @@ LITERAL = 0x110001
 _CHUNK = re.compile(" +[^ ]*")
 #: Characters whose lattices are built together.
 BLOCK = 1 << 20
+#: Characters of words whose lattices are kept for the next block.
+KEPT = 1 << 19
+#: Paths drawn together, few enough that their numbers stay near.
+WALKS = 1 << 14
 _STEP = 0x9E3779B97F4A7C15
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -67,8 +72,14 @@ class Vocabulary:
     longest: int
     weight: np.ndarray
     raw: list[bytes]
+    #: All pieces' bytes on end, where each piece's begin, and how many they are.
+    joined: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
     byte_id: np.ndarray
     byte_weight: float
+    #: Pieces of the characters that have been spelt in bytes so far.
+    spelt: dict[int, np.ndarray] = field(default_factory=dict)
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -115,7 +126,9 @@ class Vocabulary:
             while keys[slot] >= 0:
                 slot = (slot + 1) % len(keys)
             keys[slot], nodes[slot] = key, to
-        return cls(keys, nodes, piece_at, longest, weight, raw, byte_id, float(weight[np.isfinite(weight)].min()))
+        size = np.fromiter(map(len, raw), np.int64, n)
+        joined = np.frombuffer(b"".join(raw), np.uint8)
+        return cls(keys, nodes, piece_at, longest, weight, raw, joined, np.cumsum(size) - size, size, byte_id, float(weight[np.isfinite(weight)].min()))
 
     @staticmethod
     def _slot(key: np.ndarray, size: int) -> np.ndarray:
@@ -142,6 +155,20 @@ class Vocabulary:
         return joined[1:].decode("utf-8", "replace") if joined[:1] == b" " else joined.decode("utf-8", "replace")
 
 
+    def spelling(self, char: int) -> np.ndarray:
+        if char not in self.spelt:
+            self.spelt[char] = self.byte_id[list(chr(char).encode("utf-8", "surrogatepass"))]
+        return self.spelt[char]
+
+    def spells(self, ids: np.ndarray, text: str) -> bool:
+        """Whether a segmentation decodes to the text: by its bytes, and where they differ by `decode`."""
+        size = self.size[ids]
+        shift = self.begin[ids] - (np.cumsum(size) - size)
+        found = self.joined[np.repeat(shift, size) + np.arange(size.sum())].tobytes()
+        whole = text.encode("utf-8", "surrogatepass")
+        return (found[1:] if found[:1] == b" " else found) == whole or self.decode(ids.tolist()) == text
+
+
 def chunks(text: str) -> list[str]:
     """The text behind a first blank, cut before every run of blanks. Nothing for an empty text."""
     if not text:
@@ -210,21 +237,42 @@ class Lattices:
         self.prob = np.exp(self.log_prob)
         self.source = source
 
+    def with_more(self, more: Lattices) -> Lattices:
+        """These, and those of other chunks behind them."""
+        out = object.__new__(Lattices)
+        nodes, edges = len(self.first) - 1, len(self.to)
+        out.start = np.concatenate((self.start, more.start + nodes))
+        out.first = np.concatenate((self.first[:-1], more.first + edges))
+        out.to = np.concatenate((self.to, np.where(more.to < 0, -1, more.to + nodes)))
+        out.source = np.concatenate((self.source, more.source + nodes))
+        for name in ("piece", "log_prob", "prob"):
+            setattr(out, name, np.concatenate((getattr(self, name), getattr(more, name))))
+        return out
+
     def walk(self, node: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A drawn path from each node to its chunk's end: all edges in order, and each one's count."""
+        parts = [self._walk(node[at : at + WALKS], seed[at : at + WALKS]) for at in range(0, len(node), WALKS)]
+        edges, counts = zip(*parts, strict=True) if parts else ((), ())
+        return np.concatenate([np.empty(0, np.int64), *edges]), np.concatenate([np.empty(0, np.int64), *counts])
+
+    def _walk(self, node: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         node = node.copy()
         taken = []
         live = np.flatnonzero(node >= 0)
         while len(live):
             rest = uniform(seed[live], len(taken))
-            edge, last = self.first[node[live]].copy(), self.first[node[live] + 1] - 1
-            look = np.arange(len(live))
+            here = node[live]
+            edge, last = self.first[here], self.first[here + 1] - 1
+            p = self.prob[edge]
+            look = np.flatnonzero((rest >= p) & (edge < last))
+            p, left, at, end = p[look], rest[look], edge[look], last[look]
             while len(look):
-                p = self.prob[edge[look]]
-                further = (rest[look] >= p) & (edge[look] < last[look])
-                look, p = look[further], p[further]
-                rest[look] -= p
-                edge[look] += 1
+                left, at = left - p, at + 1
+                p = self.prob[at]
+                further = (left >= p) & (at < end)
+                done = ~further
+                edge[look[done]] = at[done]
+                look, p, left, at, end = look[further], p[further], left[further], at[further], end[further]
             taken.append((live, edge))
             node[live] = self.to[edge]
             live = live[node[live] >= 0]
@@ -315,18 +363,43 @@ def below(location: float, limit: float, u: float) -> float:
 
 
 def stream(seed: int) -> Iterator[float]:
-    one = np.array([seed], np.uint64)
-    return (float(uniform(one, n)[0]) for n in count())
+    """The numbers `uniform` gives for one seed, one after another."""
+    full, (a, b) = (1 << 64) - 1, map(int, _MIX)
+    for n in count(1):
+        x = seed + _STEP * n & full
+        x = (x ^ x >> 30) * a & full
+        x = (x ^ x >> 27) * b & full
+        yield ((x ^ x >> 31) >> 11) * 2.0**-53 + 2.0**-54
+
+
+class Known:
+    """Chunks met so far, by number, and their lattices; forgets all when they are many."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab = vocab
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: dict[str, int] = defaultdict(count().__next__)
+        self.lattices: Lattices | None = None
+
+    def numbered(self, texts: Sequence[str]) -> list[np.ndarray]:
+        if self.lattices is not None and len(self.lattices.first) > KEPT:
+            self.forget()
+        had = len(self.numbers)
+        out = [np.fromiter(map(self.numbers.__getitem__, chunks(t)), np.int64) for t in texts]
+        if len(self.numbers) > had:
+            new = Lattices(list(islice(self.numbers, had, None)), self.vocab)
+            self.lattices = new if self.lattices is None else self.lattices.with_more(new)
+        return out
 
 
-def sample_block(texts: Sequence[str], seeds: np.ndarray, k: int, vocab: Vocabulary) -> tuple[list[tuple[list[Sample], float]], Lattices | None]:
+def sample_block(texts: Sequence[str], seeds: np.ndarray, k: int, known: Known) -> tuple[list[tuple[list[Sample], float]], Lattices | None]:
     """For each text its k samples (all segmentations, if fewer), largest first, and the next bound."""
-    numbers: dict[str, int] = {}
-    words = [[numbers.setdefault(c, len(numbers)) for c in chunks(t)] for t in texts]
-    if not numbers:
+    words = known.numbered(texts)
+    lattices = known.lattices
+    if lattices is None:
         return [([Sample(np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1), 0.0)], -np.inf) for _ in texts], None
-    lattices = Lattices(list(numbers), vocab)
-    words = [np.array(w, np.int64) for w in words]
 
     def paths(parts: list[tuple[int, int, np.ndarray]], nth: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For (text, its first word to draw, nodes to start from): edges and their words."""
@@ -336,15 +409,19 @@ def sample_block(texts: Sequence[str], seeds: np.ndarray, k: int, vocab: Vocabul
         seed = mixed(own + steps((nth + 1) << 40) + np.uint64(_STEP) * place.astype(np.uint64))
         edges, counts = lattices.walk(np.concatenate([nodes for *_, nodes in parts]), seed)
         of = np.repeat(place, counts)
-        cuts = np.cumsum(np.add.reduceat(np.r_[counts, 0], np.cumsum(sizes) - sizes) * (sizes > 0))
-        return list(zip(np.split(edges, cuts[:-1]), np.split(of, cuts[:-1]), strict=True))
+        cuts = np.cumsum(np.add.reduceat(np.r_[counts, 0], np.cumsum(sizes) - sizes) * (sizes > 0)).tolist()
+        return [(edges[a:b], of[a:b]) for a, b in zip([0, *cuts], cuts, strict=False)]
 
-    def sample(edges: np.ndarray, of: np.ndarray, perturbed: float) -> Sample:
-        return Sample(edges, of, np.r_[0.0, np.cumsum(lattices.log_prob[edges])], perturbed)
+    def sums(edges: np.ndarray, base: float) -> np.ndarray:
+        """`base`, and its sums with the edges' log probabilities one by one."""
+        out = np.empty(len(edges) + 1)
+        out[0] = base
+        np.take(lattices.log_prob, edges, out=out[1:])
+        return np.cumsum(out, out=out)
 
     draws = [stream(int(s)) for s in mixed(seeds ^ np.uint64(_STEP))]
     first = paths([(i, 0, lattices.start[w]) for i, w in enumerate(words)], 0)
-    found = [[sample(*p, -float(np.log(-np.log(next(d)))))] for p, d in zip(first, draws, strict=True)]
+    found = [[Sample(*p, sums(p[0], 0.0), -float(np.log(-np.log(next(d)))))] for p, d in zip(first, draws, strict=True)]
     heaps: list[list[tuple[float, int, Cell]]] = [[] for _ in texts]
     order = count()
 
@@ -369,7 +446,13 @@ def sample_block(texts: Sequence[str], seeds: np.ndarray, k: int, vocab: Vocabul
             parts.append((i, word, np.r_[lattices.to[edge], lattices.start[words[i][word + 1 :]]]))
         for (i, bound, cell, at, edge), (edges, of) in zip(opened, paths(parts, nth), strict=True):
             path = cell.path
-            new = sample(np.r_[path.edges[:at], edge, edges], np.r_[path.words[:at], path.words[at], of], bound)
+            tail = np.concatenate(([edge], edges))
+            new = Sample(
+                np.concatenate((path.edges[:at], tail)),
+                np.concatenate((path.words[: at + 1], of)),
+                np.concatenate((path.sums[:at], sums(tail, path.sums[at]))),
+                bound,
+            )
             found[i].append(new)
             push(i, Cell(path, cell.at, [*cell.gone, (at, edge, float(new.sums[at + 1]))]), bound)
             push(i, Cell(new, at + 1, []), bound)
@@ -382,13 +465,11 @@ def piece_ids(sample: Sample, lattices: Lattices | None, vocab: Vocabulary) -> n
     ids = lattices.piece[sample.edges]
     strange = np.flatnonzero(ids < 0)
     if len(strange):
-        spelt = [vocab.byte_id[list(chr(-1 - c).encode("utf-8", "surrogatepass"))] for c in ids[strange].tolist()]
-        more = np.array([len(s) for s in spelt])
-        out = np.repeat(ids, np.bincount(strange, more - 1, len(ids)).astype(int) + 1)
-        at = strange + np.cumsum(more - 1) - (more - 1)
-        for place, s in zip(at.tolist(), spelt, strict=True):
-            out[place : place + len(s)] = s
-        ids = out
+        spelt = [vocab.spelling(-1 - c) for c in ids[strange].tolist()]
+        times = np.ones(len(ids), np.int64)
+        times[strange] = [len(s) for s in spelt]
+        ids = np.repeat(ids, times)
+        ids[ids < 0] = np.concatenate(spelt)
     return ids.astype(np.int32)
 
 
@@ -400,10 +481,11 @@ def inclusion(log_prob: float, threshold: float) -> float:
 def sampled(rows: Iterable[tuple[int | None, str | None]], k: int, seed: str, vocab: Vocabulary) -> Iterator[list[tuple[int, np.ndarray, float, float, float]]]:
     """For each (key, text): (rank, ids, log probability, perturbed, inclusion) of its samples."""
     held: list[tuple[int | None, str]] = []
+    known = Known(vocab)
 
     def out() -> Iterator[list[tuple[int, np.ndarray, float, float, float]]]:
         seeds = np.array([xxhash.xxh64_intdigest(f"{seed}:{key}") for key, _ in held], np.uint64)
-        found, lattices = sample_block([t for _, t in held], seeds, k, vocab)
+        found, lattices = sample_block([t for _, t in held], seeds, k, known)
         for samples, threshold in found:
             yield [
                 (n, piece_ids(s, lattices, vocab), s.log_prob, s.perturbed, inclusion(s.log_prob, threshold))
@@ -442,7 +524,7 @@ def _mapped(docs: DataFrame, key: str, text: str, k: int, seed: str, model: str,
                 for n, ids, log_prob, perturbed, inside in samples:
                     row = (doc_id, n, log_prob, perturbed, inside, len(ids))
                     if digest:
-                        ok = vocab.decode(ids.tolist()) == (body or "")
+                        ok = vocab.spells(ids, body or "")
                         row += (xxhash.xxh64_hexdigest(ids.tobytes()), ok)
                     else:
                         row += (ids,)
