@@ -39,7 +39,7 @@ BLOCK = 1 << 20
 #: Characters of words whose lattices are kept for the next block.
 KEPT = 1 << 19
 #: Paths drawn together, few enough that their numbers stay near.
-WALKS = 1 << 14
+WALKS = 1 << 16
 _STEP = 0x9E3779B97F4A7C15
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
