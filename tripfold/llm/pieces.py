@@ -17,13 +17,15 @@ from __future__ import annotations
 
 import heapq
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import count, islice
+from itertools import accumulate, count, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -37,10 +39,11 @@ _CHUNK = re.compile(" +[^ ]*")
 #: Characters whose lattices are built together.
 BLOCK = 1 << 20
 #: Characters of words whose lattices are kept for the next block.
-KEPT = 1 << 19
+KEPT = 1 << 20
 #: Paths drawn together, few enough that their numbers stay near.
-WALKS = 1 << 16
+WALKS = 1 << 14
 _STEP = 0x9E3779B97F4A7C15
+_ONES = np.frombuffer(b"".join((b"\xff" * n).ljust(8, b"\0") for n in range(9)), np.uint64)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -51,15 +54,39 @@ def steps(n: int) -> np.uint64:
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """SplitMix64's output function."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
-    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
-    return x ^ (x >> np.uint64(31))
+    out = x >> np.uint64(30)
+    out ^= x
+    out *= _MIX[0]
+    out ^= out >> np.uint64(27)
+    out *= _MIX[1]
+    out ^= out >> np.uint64(31)
+    return out
 
 
 def uniform(seed: np.ndarray, nth: int) -> np.ndarray:
     """In (0, 1), by seed and number."""
     at = mixed(seed + steps(nth + 1))
-    return ((at >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    at >>= np.uint64(11)
+    out = at.astype(np.float64)
+    out += 0.5
+    out *= 2.0**-53
+    return out
+
+
+def index_type(n: int) -> type:
+    """The narrowest kind of number for places among n."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
+def picked(of: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """`of[at]` for places that are there, without numpy's second look at them."""
+    return of.take(at, mode="clip")
+
+
+def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Ranges of these sizes, one behind the other."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
 @dataclass
@@ -72,10 +99,9 @@ class Vocabulary:
     longest: int
     weight: np.ndarray
     raw: list[bytes]
-    #: All pieces' bytes on end, where each piece's begin, and how many they are.
-    joined: np.ndarray
-    begin: np.ndarray
+    #: How many bytes each piece has, and by eights these bytes, with zeros behind.
     size: np.ndarray
+    eights: list[np.ndarray]
     byte_id: np.ndarray
     byte_weight: float
     #: Pieces of the characters that have been spelt in bytes so far.
@@ -115,11 +141,13 @@ class Vocabulary:
                     made += 1
                 at = children[at, ord(c)]
             ends[at] = i
-        piece_at = np.full(made, -1, np.int64)
+        byte_weight = float(weight[np.isfinite(weight)].min())
+        weight[byte_id] = byte_weight
+        piece_at = np.full(made, -1, np.int32)
         piece_at[list(ends)] = list(ends.values())
-        keys, nodes = np.full(1 << 18, -1, np.int64), np.zeros(1 << 18, np.int64)
+        keys, nodes = np.full(1 << 18, -1, np.int64), np.zeros(1 << 18, np.int32)
         while len(keys) < 3 * len(children):
-            keys, nodes = np.full(2 * len(keys), -1, np.int64), np.zeros(2 * len(keys), np.int64)
+            keys, nodes = np.full(2 * len(keys), -1, np.int64), np.zeros(2 * len(keys), np.int32)
         for (at, c), to in children.items():
             key = at << 21 | c
             slot = int(cls._slot(np.array([key]), len(keys))[0])
@@ -127,20 +155,30 @@ class Vocabulary:
                 slot = (slot + 1) % len(keys)
             keys[slot], nodes[slot] = key, to
         size = np.fromiter(map(len, raw), np.int64, n)
-        joined = np.frombuffer(b"".join(raw), np.uint8)
-        return cls(keys, nodes, piece_at, longest, weight, raw, joined, np.cumsum(size) - size, size, byte_id, float(weight[np.isfinite(weight)].min()))
+        size = size.astype(np.min_scalar_type(size.max()))
+        parts = (b"".join(r[a : a + 8].ljust(8, b"\0") for r in raw) for a in range(0, int(size.max()), 8))
+        eights = [np.frombuffer(p, np.uint64) for p in parts]
+        return cls(keys, nodes, piece_at, longest, weight, raw, size, eights, byte_id, byte_weight)
 
     @staticmethod
     def _slot(key: np.ndarray, size: int) -> np.ndarray:
-        return (mixed(key.astype(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
+        """The highest bits of the key times an odd number."""
+        slot = key.astype(np.uint64)
+        slot *= np.uint64(_STEP)
+        slot >>= np.uint64(65 - size.bit_length())
+        return slot.view(np.int64)
 
     def child(self, at: np.ndarray, char: np.ndarray) -> np.ndarray:
         """Trie node below `at` by `char`, -1 if there is none."""
-        key = at << 21 | char
+        key = at.astype(np.int64)
+        key <<= 21
+        key |= char
         slot = self._slot(key, len(self.keys))
-        found = self.keys[slot]
-        out = np.where(found == key, self.nodes[slot], -1)
-        open_ = np.flatnonzero((found != key) & (found >= 0))
+        found = picked(self.keys, slot)
+        out = picked(self.nodes, slot)
+        other = np.flatnonzero(found != key)
+        out[other] = -1
+        open_ = other[found[other] >= 0]
         while len(open_):
             slot[open_] = (slot[open_] + 1) % len(self.keys)
             found = self.keys[slot[open_]]
@@ -160,129 +198,198 @@ class Vocabulary:
             self.spelt[char] = self.byte_id[list(chr(char).encode("utf-8", "surrogatepass"))]
         return self.spelt[char]
 
-    def spells(self, ids: np.ndarray, text: str) -> bool:
-        """Whether a segmentation decodes to the text: by its bytes, and where they differ by `decode`."""
-        size = self.size[ids]
-        shift = self.begin[ids] - (np.cumsum(size) - size)
-        found = self.joined[np.repeat(shift, size) + np.arange(size.sum())].tobytes()
-        whole = text.encode("utf-8", "surrogatepass")
-        return (found[1:] if found[:1] == b" " else found) == whole or self.decode(ids.tolist()) == text
+    def spells(self, ids: np.ndarray, text: str, eights: np.ndarray | None = None) -> bool:
+        """Whether a segmentation decodes to the text: by its bytes, and where they differ by `decode`.
+
+        `eights` are the text's `in_eights`, for many segmentations of one text.
+        """
+        whole = in_eights(text) if eights is None else eights
+        every, ids = ids, ids.astype(np.intp)
+        size = picked(self.size, ids)
+        at = np.cumsum(size, dtype=np.intp)
+        if len(ids) and at[-1] == len(whole):
+            at -= size
+            for part in self.eights:
+                differ = picked(whole, at)
+                differ ^= picked(part, ids)
+                differ &= picked(_ONES, np.minimum(size, 8))
+                if differ.any():
+                    break
+                far = np.flatnonzero(size > 8)
+                if not len(far):
+                    return True
+                ids, at, size = ids[far], at[far] + 8, size[far] - 8
+        found = b"".join(map(self.raw.__getitem__, every.tolist()))
+        return (found[1:] if found[:1] == b" " else found) == text.encode("utf-8", "surrogatepass") or self.decode(every.tolist()) == text
+
+
+def in_eights(text: str) -> np.ndarray:
+    """For every byte of a blank and the text the eight bytes from there, with zeros behind the end."""
+    whole = b" " + text.encode("utf-8", "surrogatepass")
+    return np.ndarray(len(whole), np.uint64, whole + bytes(8), 0, (1,)).copy()
 
 
 def chunks(text: str) -> list[str]:
     """The text behind a first blank, cut before every run of blanks. Nothing for an empty text."""
-    if not text:
-        return []
-    return _CHUNK.findall(" " + text) if "  " in text or text[0] == " " else [" " + w for w in text.split(" ")]
+    return _CHUNK.findall(" " + text) if text else []
+
+
+def plain(text: str) -> bool:
+    """Whether every blank is one between two chunks."""
+    return bool(text) and text[0] != " " and "  " not in text
 
 
 class Lattices:
     """The lattices of distinct chunks: a node per character, edges to later ones or the end (-1).
 
     `log_prob[e]` is the log probability to leave the edge's node by it, so that a path's
-    probability is the product over its edges, given its chunk.
+    probability is the product over its edges, given its chunk; `before[e]` is the probability to
+    leave the node by an edge in front.
     """
 
     def __init__(self, distinct: Sequence[str], vocab: Vocabulary):
         sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))
-        ends = np.cumsum(sizes)
-        self.start = ends - sizes
+        kind = index_type(int(sizes.sum()) * vocab.longest)
+        ends = np.cumsum(sizes).astype(kind)
+        self.start = ends - sizes.astype(kind)
         joined = "".join(distinct).encode("utf-32-le", "surrogatepass")
-        chars = np.frombuffer(joined, np.uint32).astype(np.int64)
+        chars = np.frombuffer(joined, np.int32)
         chars = np.where(chars == BLANK, LITERAL, np.where(chars == 32, BLANK, chars))
-        end = np.repeat(ends, sizes)
-        at, node = np.arange(len(chars)), np.zeros(len(chars), np.int64)
-        source, target, piece = [], [], []
+        far = np.repeat(ends, sizes) - np.arange(len(chars), dtype=kind)
+        at, node = np.arange(len(chars), dtype=kind), np.zeros(len(chars), np.int32)
+        degree = np.zeros(len(chars), kind)
+        hits = []
         for size in range(1, vocab.longest + 1):
-            inside = at + size <= end[at]
-            at, node = at[inside], node[inside]
-            node = vocab.child(node, chars[at + size - 1])
-            at, node = at[node >= 0], node[node >= 0]
-            known = vocab.piece_at[node]
-            hit = known >= 0
-            source.append(at[hit])
-            target.append(at[hit] + size)
-            piece.append(known[hit])
-            if size == 1:
-                lacking = np.ones(len(chars), bool)
-                lacking[at[hit]] = False
-        # Characters without a piece are spelt in bytes: one edge, its piece -1 - character.
-        strange = np.flatnonzero(lacking)
-        source.append(strange)
-        target.append(strange + 1)
+            if size > 1:
+                inside = np.flatnonzero(picked(far, at) >= size)
+                at, node = picked(at, inside), picked(node, inside)
+            node = vocab.child(node, picked(chars[size - 1 :], at))
+            there = np.flatnonzero(node >= 0)
+            at, node = picked(at, there), picked(node, there)
+            known = picked(vocab.piece_at, node)
+            hit = np.flatnonzero(known >= 0)
+            source = picked(at, hit)
+            degree[source] += 1
+            hits.append((size, source, picked(known, hit)))
+        # Characters without a piece are spelt in bytes: one edge, its piece -1 - character, or the one byte's.
+        lacking = np.ones(len(chars), bool)
+        lacking[hits[0][1]] = False
+        strange = np.flatnonzero(lacking).astype(kind)
+        degree[strange] += 1
         literal = np.where(chars[strange] == LITERAL, BLANK, chars[strange])
-        piece.append(-1 - literal)
-        source, target, self.piece = (np.concatenate(x) for x in (source, target, piece))
-        order = np.argsort(source, kind="stable")
-        source, target, self.piece = source[order], target[order], self.piece[order]
-        long = -1 - self.piece
-        in_bytes = 1 + (long >= 0x80).astype(int) + (long >= 0x800) + (long >= 0x10000)
-        weight = np.where(self.piece < 0, in_bytes * vocab.byte_weight, vocab.weight[np.maximum(self.piece, 0)])
-        self.first = np.searchsorted(source, np.arange(len(chars) + 1))
-        self.to = np.where(target == end[source], -1, target)
+        spelt = np.where(literal < 0x80, vocab.byte_id[literal & 0x7F], -1 - literal).astype(np.int32)
+        self.first = np.zeros(len(chars) + 1, kind)
+        np.cumsum(degree, out=self.first[1:])
+        self.to, self.piece = np.empty(self.first[-1], kind), np.empty(self.first[-1], np.int32)
+        free = self.first[:-1].copy()
+        for size, source, piece in [*hits, (1, strange, spelt)]:
+            edge = picked(free, source)
+            free[source] = edge + 1
+            self.to[edge] = np.where(picked(far, source) == size, -1, source + size)
+            self.piece[edge] = piece
         # Log sums of all ways to the end, from the last characters to the first.
         total = np.zeros(len(chars) + 1)
-        far = end - np.arange(len(chars))
-        by_far = np.argsort(far, kind="stable")
-        cuts = np.searchsorted(far[by_far], np.arange(1, (far.max() if len(far) else 0) + 2))
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            nodes = by_far[a:b]
-            degree = self.first[nodes + 1] - self.first[nodes]
-            heads = np.cumsum(degree) - degree
-            edges = np.repeat(self.first[nodes] - heads, degree) + np.arange(degree.sum())
-            value = weight[edges] + total[self.to[edges]]
-            top = np.maximum.reduceat(value, heads)
-            total[nodes] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, degree)), heads))
-        self.log_prob = weight + total[self.to] - total[source]
-        self.prob = np.exp(self.log_prob)
-        self.source = source
+        longest = int(far.max()) if len(far) else 0
+        by_far = np.argsort(far.astype(np.uint16) if longest < 1 << 16 else far, kind="stable")
+        cuts = np.searchsorted(picked(far, by_far), np.arange(1, longest + 2))
+        degree = picked(degree, by_far)
+        heads = np.cumsum(degree) - degree
+        edges = ranges(picked(self.first, by_far), degree)
+        piece, to = picked(self.piece, edges), picked(self.to, edges)
+        to[to < 0] = len(chars)
+        weight = picked(vocab.weight, piece)
+        strange = np.flatnonzero(piece < 0)
+        literal = -1 - piece[strange]
+        weight[strange] = (2 + (literal >= 0x800).astype(int) + (literal >= 0x10000)) * vocab.byte_weight
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+            nodes, many = by_far[a:b], degree[a:b]
+            here = slice(heads[a], heads[b] if b < len(heads) else None)
+            value, head = weight[here], heads[a:b] - heads[a]
+            value += picked(total, to[here])
+            top = np.maximum.reduceat(value, head)
+            power = value - np.repeat(top, many)
+            np.exp(power, out=power)
+            total[nodes] = top = top + np.log(np.add.reduceat(power, head))
+            value -= np.repeat(top, many)
+        self.log_prob = np.empty(len(edges))
+        self.log_prob[edges] = weight
+        self.before = np.zeros(len(edges))
+        prob = np.exp(self.log_prob)
+        edge, size = self.first[:-1], np.diff(self.first)
+        nth = 1
+        while len(edge):
+            more = np.flatnonzero(size > nth)
+            edge, size = picked(edge, more), picked(size, more)
+            at = edge + (nth - 1)
+            self.before[edge + nth] = picked(self.before, at) + picked(prob, at)
+            nth += 1
 
     def with_more(self, more: Lattices) -> Lattices:
         """These, and those of other chunks behind them."""
         out = object.__new__(Lattices)
         nodes, edges = len(self.first) - 1, len(self.to)
-        out.start = np.concatenate((self.start, more.start + nodes))
-        out.first = np.concatenate((self.first[:-1], more.first + edges))
-        out.to = np.concatenate((self.to, np.where(more.to < 0, -1, more.to + nodes)))
-        out.source = np.concatenate((self.source, more.source + nodes))
-        for name in ("piece", "log_prob", "prob"):
+        kind = index_type(max(nodes + len(more.first), edges + len(more.to)))
+        out.start = np.concatenate((self.start, more.start.astype(kind) + nodes))
+        out.first = np.concatenate((self.first[:-1], more.first.astype(kind) + edges))
+        out.to = np.concatenate((self.to, np.where(more.to < 0, -1, more.to.astype(kind) + nodes)))
+        for name in ("piece", "log_prob", "before"):
             setattr(out, name, np.concatenate((getattr(self, name), getattr(more, name))))
         return out
 
+    def only(self, chosen: np.ndarray) -> Lattices:
+        """Those of the chosen chunks, in their order."""
+        out = object.__new__(Lattices)
+        kind = self.first.dtype
+        begin = self.start[chosen]
+        sizes = np.diff(np.append(self.start, len(self.first) - 1))[chosen]
+        out.start = (np.cumsum(sizes) - sizes).astype(kind)
+        nodes = ranges(begin, sizes)
+        degree = self.first[nodes + 1] - self.first[nodes]
+        out.first = np.zeros(len(nodes) + 1, kind)
+        np.cumsum(degree, out=out.first[1:])
+        many = self.first[begin + sizes] - self.first[begin]
+        edges = ranges(self.first[begin], many)
+        to = self.to[edges]
+        out.to = np.where(to < 0, -1, to + np.repeat(out.start - begin, many)).astype(kind)
+        for name in ("piece", "log_prob", "before"):
+            setattr(out, name, getattr(self, name)[edges])
+        return out
+
+    def around(self, edge: int) -> range:
+        """All edges of an edge's node."""
+        node = int(np.searchsorted(self.first, self.first.dtype.type(edge), "right"))
+        return range(int(self.first[node - 1]), int(self.first[node]))
+
     def walk(self, node: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A drawn path from each node to its chunk's end: all edges in order, and each one's count."""
         parts = [self._walk(node[at : at + WALKS], seed[at : at + WALKS]) for at in range(0, len(node), WALKS)]
         edges, counts = zip(*parts, strict=True) if parts else ((), ())
-        return np.concatenate([np.empty(0, np.int64), *edges]), np.concatenate([np.empty(0, np.int64), *counts])
+        return np.concatenate([np.empty(0, self.to.dtype), *edges]), np.concatenate([np.empty(0, np.int64), *counts])
 
     def _walk(self, node: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        node = node.copy()
+        counts = np.zeros(len(node), np.int64)
         taken = []
         live = np.flatnonzero(node >= 0)
+        node, seed = picked(node, live), picked(seed, live)
         while len(live):
-            rest = uniform(seed[live], len(taken))
-            here = node[live]
-            edge, last = self.first[here], self.first[here + 1] - 1
-            p = self.prob[edge]
-            look = np.flatnonzero((rest >= p) & (edge < last))
-            p, left, at, end = p[look], rest[look], edge[look], last[look]
+            rest = uniform(seed, len(taken))
+            # The last edges are the longest pieces, and mostly the likeliest.
+            edge = picked(self.first[1:], node)
+            edge -= 1
+            look = np.flatnonzero(rest < picked(self.before, edge))
             while len(look):
-                left, at = left - p, at + 1
-                p = self.prob[at]
-                further = (left >= p) & (at < end)
-                done = ~further
-                edge[look[done]] = at[done]
-                look, p, left, at, end = look[further], p[further], left[further], at[further], end[further]
+                now = picked(edge, look) - 1
+                edge[look] = now
+                look = look[np.flatnonzero(picked(rest, look) < picked(self.before, now))]
             taken.append((live, edge))
-            node[live] = self.to[edge]
-            live = live[node[live] >= 0]
-        counts = np.zeros(len(node), np.int64)
-        for live, _ in taken:
-            counts[live] += 1
+            node = picked(self.to, edge)
+            counts[picked(live, np.flatnonzero(node < 0))] = len(taken)
+            on = np.flatnonzero(node >= 0)
+            live, node, seed = picked(live, on), picked(node, on), picked(seed, on)
         heads = np.cumsum(counts) - counts
-        out = np.empty(int(counts.sum()), np.int64)
+        out = np.empty(int(counts.sum()), self.to.dtype)
         for nth, (live, edge) in enumerate(taken):
-            out[heads[live] + nth] = edge
+            out[picked(heads, live) + nth] = edge
         return out, counts
 
 
@@ -319,11 +426,10 @@ class Cell:
         gone = {(a, b) for a, b, _ in self.gone}
         out, odds = [], []
         for at in range(self.at, len(self.path.edges)):
-            node = lattices.source[self.path.edges[at]]
-            for edge in range(lattices.first[node], lattices.first[node + 1]):
+            for edge in lattices.around(self.path.edges[at]):
                 if edge != self.path.edges[at] and (at, edge) not in gone:
                     out.append((at, edge))
-                    odds.append(np.exp(self.path.sums[at] - self.path.sums[self.at]) * lattices.prob[edge])
+                    odds.append(np.exp(self.path.sums[at] - self.path.sums[self.at]) * np.exp(lattices.log_prob[edge]))
         return out, np.array(odds)
 
     def log_mass(self, lattices: Lattices) -> float:
@@ -346,13 +452,14 @@ class Cell:
             tail = self.path.sums[self.at + 1 :]
             at = self.at + min(int(np.searchsorted(-tail, -kept)), len(tail) - 1)
             own = int(self.path.edges[at])
-            node = lattices.source[own]
-            others = np.arange(lattices.first[node], lattices.first[node + 1])
-            others = others[others != own]
-            if not len(others):
+            others = lattices.around(own)
+            if len(others) == 1:
                 continue
-            odds = np.cumsum(lattices.prob[others])
-            edge = int(others[min(int(np.searchsorted(odds, next(draws) * odds[-1], "right")), len(others) - 1)])
+            odds = np.exp(lattices.log_prob[others.start : others.stop]).tolist()
+            del odds[own - others.start]
+            odds = list(accumulate(odds))
+            edge = others.start + min(bisect_right(odds, next(draws) * odds[-1]), len(odds) - 1)
+            edge += edge >= own
             if (at, edge) not in gone:
                 return at, edge
 
@@ -373,24 +480,44 @@ def stream(seed: int) -> Iterator[float]:
 
 
 class Known:
-    """Chunks met so far, by number, and their lattices; forgets all when they are many."""
+    """Chunks met so far, by number, and their lattices; when they are many, those met once are forgotten."""
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.forget()
+        #: By a chunk's bytes behind its first blank.
+        self.numbers: dict[bytes, int] = defaultdict(count().__next__)
+        self.lattices: Lattices | None = None
+        self.again = np.zeros(0, bool)
 
     def forget(self) -> None:
-        self.numbers: dict[str, int] = defaultdict(count().__next__)
-        self.lattices: Lattices | None = None
+        """Keeps what more than one block had since the last time."""
+        kept = np.flatnonzero(self.again)
+        words = list(self.numbers)
+        self.numbers = defaultdict(count(len(kept)).__next__, zip(map(words.__getitem__, kept.tolist()), count()))
+        self.lattices = self.lattices.only(kept) if len(kept) else None
+        self.again = np.zeros(len(kept), bool)
 
     def numbered(self, texts: Sequence[str]) -> list[np.ndarray]:
         if self.lattices is not None and len(self.lattices.first) > KEPT:
             self.forget()
         had = len(self.numbers)
-        out = [np.fromiter(map(self.numbers.__getitem__, chunks(t)), np.int64) for t in texts]
+        each = pa.array([t.encode("utf-8", "surrogatepass") if plain(t) else None for t in texts], pa.large_binary())
+        cut = pc.split_pattern(each, b" ")
+        coded = cut.flatten().dictionary_encode()
+        met = [np.fromiter(map(self.numbers.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)), np.int64)]
+        at, words = cut.offsets.to_numpy(), met[0][coded.indices.to_numpy()]
+        out = [words[a:b] for a, b in pairwise(at.tolist())]
+        for n, text in enumerate(texts):
+            if not plain(text):
+                keys = (c[1:].encode("utf-8", "surrogatepass") for c in chunks(text))
+                out[n] = np.fromiter(map(self.numbers.__getitem__, keys), np.int64)
+                met.append(out[n])
+        for words in met:
+            self.again[words[words < had]] = True
         if len(self.numbers) > had:
-            new = Lattices(list(islice(self.numbers, had, None)), self.vocab)
+            new = Lattices([" " + w.decode("utf-8", "surrogatepass") for w in islice(self.numbers, had, None)], self.vocab)
             self.lattices = new if self.lattices is None else self.lattices.with_more(new)
+            self.again = np.concatenate((self.again, np.zeros(len(self.numbers) - had, bool)))
         return out
 
 
@@ -400,28 +527,35 @@ def sample_block(texts: Sequence[str], seeds: np.ndarray, k: int, known: Known)
     lattices = known.lattices
     if lattices is None:
         return [([Sample(np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1), 0.0)], -np.inf) for _ in texts], None
-
-    def paths(parts: list[tuple[int, int, np.ndarray]], nth: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For (text, its first word to draw, nodes to start from): edges and their words."""
-        sizes = np.array([len(nodes) for *_, nodes in parts])
-        own = np.concatenate([seeds[[i]].repeat(n) for (i, *_), n in zip(parts, sizes, strict=True)])
-        place = np.concatenate([np.arange(w, w + n) for (_, w, _), n in zip(parts, sizes, strict=True)])
-        seed = mixed(own + steps((nth + 1) << 40) + np.uint64(_STEP) * place.astype(np.uint64))
-        edges, counts = lattices.walk(np.concatenate([nodes for *_, nodes in parts]), seed)
-        of = np.repeat(place, counts)
-        cuts = np.cumsum(np.add.reduceat(np.r_[counts, 0], np.cumsum(sizes) - sizes) * (sizes > 0)).tolist()
-        return [(edges[a:b], of[a:b]) for a, b in zip([0, *cuts], cuts, strict=False)]
-
-    def sums(edges: np.ndarray, base: float) -> np.ndarray:
-        """`base`, and its sums with the edges' log probabilities one by one."""
-        out = np.empty(len(edges) + 1)
-        out[0] = base
-        np.take(lattices.log_prob, edges, out=out[1:])
-        return np.cumsum(out, out=out)
+    nodes = picked(lattices.start, np.concatenate(words))
+    ends = np.cumsum([len(w) for w in words])
+
+    def paths(parts: list[tuple[int, int, int]], nth: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For (text, its first word to draw, an edge to it or -1): edges, their words and log probabilities."""
+        text, word, edge = np.array(parts).T
+        sizes = np.array([len(words[i]) for i in text.tolist()]) - word
+        after = np.cumsum(sizes)
+        node = picked(nodes, ranges(ends[text] - sizes, sizes))
+        led = np.flatnonzero(edge >= 0)
+        node[after[led] - sizes[led]] = lattices.to[edge[led]]
+        place = ranges(word, sizes)
+        seed = np.repeat(seeds[text] + steps((nth + 1) << 40), sizes)
+        seed += np.uint64(_STEP) * place.astype(np.uint64)
+        edges, counts = lattices.walk(node, mixed(seed))
+        of, logs = np.repeat(place.astype(np.int32), counts), picked(lattices.log_prob, edges)
+        cuts = np.append(0, np.cumsum(counts))[np.append(0, after)].tolist()
+        return [(edges[a:b], of[a:b], logs[a:b]) for a, b in pairwise(cuts)]
+
+    def sums(base: np.ndarray, *logs: np.ndarray) -> np.ndarray:
+        """`base`, and the sums of its last with the log probabilities one by one."""
+        out = np.concatenate((base, *logs))
+        more = out[len(base) - 1 :]
+        np.cumsum(more, out=more)
+        return out
 
     draws = [stream(int(s)) for s in mixed(seeds ^ np.uint64(_STEP))]
-    first = paths([(i, 0, lattices.start[w]) for i, w in enumerate(words)], 0)
-    found = [[Sample(*p, sums(p[0], 0.0), -float(np.log(-np.log(next(d)))))] for p, d in zip(first, draws, strict=True)]
+    first = paths([(i, 0, -1) for i in range(len(texts))], 0)
+    found = [[Sample(e, w, sums(np.zeros(1), x), -float(np.log(-np.log(next(d)))))] for (e, w, x), d in zip(first, draws, strict=True)]
     heaps: list[list[tuple[float, int, Cell]]] = [[] for _ in texts]
     order = count()
 
@@ -440,17 +574,13 @@ def sample_block(texts: Sequence[str], seeds: np.ndarray, k: int, known: Known)
                 opened.append((i, -bound, cell, *cell.drawn(lattices, draws[i])))
         if not opened:
             break
-        parts = []
-        for i, _, cell, at, edge in opened:
-            word = int(cell.path.words[at])
-            parts.append((i, word, np.r_[lattices.to[edge], lattices.start[words[i][word + 1 :]]]))
-        for (i, bound, cell, at, edge), (edges, of) in zip(opened, paths(parts, nth), strict=True):
+        parts = [(i, int(cell.path.words[at]), edge) for i, _, cell, at, edge in opened]
+        for (i, bound, cell, at, edge), (edges, of, logs) in zip(opened, paths(parts, nth), strict=True):
             path = cell.path
-            tail = np.concatenate(([edge], edges))
             new = Sample(
-                np.concatenate((path.edges[:at], tail)),
+                np.concatenate((path.edges[:at], np.array([edge], edges.dtype), edges)),
                 np.concatenate((path.words[: at + 1], of)),
-                np.concatenate((path.sums[:at], sums(tail, path.sums[at]))),
+                sums(path.sums[: at + 1], lattices.log_prob[edge : edge + 1], logs),
                 bound,
             )
             found[i].append(new)
@@ -462,7 +592,7 @@ def sample_block(texts: Sequence[str], seeds: np.ndarray, k: int, known: Known)
 def piece_ids(sample: Sample, lattices: Lattices | None, vocab: Vocabulary) -> np.ndarray:
     if lattices is None or not len(sample.edges):
         return np.empty(0, np.int32)
-    ids = lattices.piece[sample.edges]
+    ids = picked(lattices.piece, sample.edges)
     strange = np.flatnonzero(ids < 0)
     if len(strange):
         spelt = [vocab.spelling(-1 - c) for c in ids[strange].tolist()]
@@ -470,7 +600,7 @@ def piece_ids(sample: Sample, lattices: Lattices | None, vocab: Vocabulary) -> n
         times[strange] = [len(s) for s in spelt]
         ids = np.repeat(ids, times)
         ids[ids < 0] = np.concatenate(spelt)
-    return ids.astype(np.int32)
+    return ids.astype(np.int32, copy=False)
 
 
 def inclusion(log_prob: float, threshold: float) -> float:
@@ -521,10 +651,11 @@ def _mapped(docs: DataFrame, key: str, text: str, k: int, seed: str, model: str,
             rows: list[tuple] = []
             held = 0
             for doc_id, body, samples in zip(keys, texts, sampled(zip(keys, texts, strict=True), k, seed, vocab), strict=True):
+                eights = in_eights(body or "") if digest else None
                 for n, ids, log_prob, perturbed, inside in samples:
                     row = (doc_id, n, log_prob, perturbed, inside, len(ids))
                     if digest:
-                        ok = vocab.spells(ids, body or "")
+                        ok = vocab.spells(ids, body or "", eights)
                         row += (xxhash.xxh64_hexdigest(ids.tobytes()), ok)
                     else:
                         row += (ids,)
