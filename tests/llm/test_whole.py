@@ -140,12 +140,14 @@ def test_pieces_of_words_met_again_are_not_built_again(monkeypatch):
 
 def test_pieces_lattices_chosen_are_those_built_alone():
     vocab = pieces.Vocabulary.load()
-    words = [" the", "  cat", " é▁🎉\n", " ", " internationalization", " \ud800x", " zzz"]
+    words = [" the", "  cat", " é▁🎉\n", " ", " internationalization", " \ud800x", " zzz", *(f" w{i}ing" for i in range(200))]
     every = pieces.Lattices(words[:4], vocab).with_more(pieces.Lattices(words[4:], vocab))
-    for chosen in ([0, 2, 5], [6], list(range(7)), [3, 1]):
-        some, alone = every.only(np.array(chosen)), pieces.Lattices([words[i] for i in chosen], vocab)
-        for name in ("start", "first", "to", "piece", "log_prob", "before"):
-            assert (getattr(some, name) == getattr(alone, name)).all()
+    for chosen in ([0, 2, 5], [6], list(range(207)), [3, 1, *range(9, 200, 7)]):
+        drawn = []
+        for some in (every.only(np.array(chosen)), pieces.Lattices([words[i] for i in chosen], vocab)):
+            edges, counts = some.walk(some.start.repeat(200), pieces.mixed(np.arange(200 * len(chosen), dtype=np.uint64)))
+            drawn.append([x.tolist() for x in (counts, some.piece[edges], some.log_prob[edges], some.before[edges])])
+        assert drawn[0] == drawn[1]
 
 
 def test_pieces_walk_is_the_plain_draw():

@@ -9,8 +9,8 @@ cell holds becomes cells with bounds below. The first bound that is left over wh
 is the threshold that turns probabilities into inclusion scores.
 
 Pieces do not reach over the start of a blank run, so the lattice is a chain of small ones, one per
-blank run and word, and equal ones share their tables. Draws depend on seed, row key, sample, place
-of the word and step only, never on which other rows are in a task.
+blank run and word; equal ones share their tables, and equal ends their nodes. Draws depend on seed,
+row key, sample, place of the word and step only, never on which other rows are in a task.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ _CHUNK = re.compile(" +[^ ]*")
 BLOCK = 1 << 20
 #: Characters of words whose lattices are kept for the next block.
 KEPT = 1 << 20
+#: Characters equally far from their chunks' ends that are compared with each other, at least.
+FEW = 64
 #: Paths drawn together, few enough that their numbers stay near.
 WALKS = 1 << 14
 _STEP = 0x9E3779B97F4A7C15
@@ -240,7 +242,7 @@ def plain(text: str) -> bool:
 
 
 class Lattices:
-    """The lattices of distinct chunks: a node per character, edges to later ones or the end (-1).
+    """The lattices of distinct chunks: a node per rest of a chunk, edges to shorter ones or the end (-1).
 
     `log_prob[e]` is the log probability to leave the edge's node by it, so that a path's
     probability is the product over its edges, given its chunk; `before[e]` is the probability to
@@ -251,69 +253,84 @@ class Lattices:
         sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))
         kind = index_type(int(sizes.sum()) * vocab.longest)
         ends = np.cumsum(sizes).astype(kind)
-        self.start = ends - sizes.astype(kind)
+        starts = ends - sizes.astype(kind)
         joined = "".join(distinct).encode("utf-32-le", "surrogatepass")
         chars = np.frombuffer(joined, np.int32)
         chars = np.where(chars == BLANK, LITERAL, np.where(chars == 32, BLANK, chars))
         far = np.repeat(ends, sizes) - np.arange(len(chars), dtype=kind)
-        at, node = np.arange(len(chars), dtype=kind), np.zeros(len(chars), np.int32)
-        degree = np.zeros(len(chars), kind)
+        longest = int(far.max()) if len(far) else 0
+        by_far = np.argsort(far.astype(np.uint16) if longest < 1 << 16 else far, kind="stable")
+        cuts = np.searchsorted(picked(far, by_far), np.arange(1, longest + 2))
+        # A node for every distinct rest of a chunk, from the last characters to the first: by its node behind and character.
+        # So far from the ends that few chunks are as long, every character has its own.
+        of, shown, bounds, done = np.zeros(len(chars), kind), [], [0], 0
+        for a, b in pairwise(cuts.tolist()):
+            if b - a < FEW:
+                break
+            here, done = by_far[a:b], b
+            key = picked(chars, here).astype(np.int64)
+            if a:
+                key |= picked(of, here + 1).astype(np.int64) << 21
+            order = np.argsort(key)
+            key = picked(key, order)
+            fresh = np.append(True, key[1:] != key[:-1])
+            of[picked(here, order)] = bounds[-1] - 1 + np.cumsum(fresh)
+            shown.append(picked(here, picked(order, np.flatnonzero(fresh))))
+            bounds.append(bounds[-1] + len(shown[-1]))
+        own = by_far[done:]
+        of[own] = bounds[-1] + np.arange(len(own))
+        shown.append(own)
+        bounds += (cuts[cuts > done] - done + bounds[-1]).tolist()
+        self.start = picked(of, starts)
+        where = np.concatenate(shown)
+        far = picked(far, where)
+        at, node = np.arange(len(where)), np.zeros(len(where), np.int32)
         hits = []
         for size in range(1, vocab.longest + 1):
             if size > 1:
                 inside = np.flatnonzero(picked(far, at) >= size)
                 at, node = picked(at, inside), picked(node, inside)
-            node = vocab.child(node, picked(chars[size - 1 :], at))
+            node = vocab.child(node, picked(chars, picked(where, at) + (size - 1)))
             there = np.flatnonzero(node >= 0)
             at, node = picked(at, there), picked(node, there)
             known = picked(vocab.piece_at, node)
             hit = np.flatnonzero(known >= 0)
-            source = picked(at, hit)
-            degree[source] += 1
-            hits.append((size, source, picked(known, hit)))
+            hits.append((size, picked(at, hit), picked(known, hit)))
         # Characters without a piece are spelt in bytes: one edge, its piece -1 - character, or the one byte's.
-        lacking = np.ones(len(chars), bool)
+        lacking = np.ones(len(where), bool)
         lacking[hits[0][1]] = False
-        strange = np.flatnonzero(lacking).astype(kind)
-        degree[strange] += 1
-        literal = np.where(chars[strange] == LITERAL, BLANK, chars[strange])
-        spelt = np.where(literal < 0x80, vocab.byte_id[literal & 0x7F], -1 - literal).astype(np.int32)
-        self.first = np.zeros(len(chars) + 1, kind)
+        strange = np.flatnonzero(lacking)
+        literal = picked(chars, picked(where, strange))
+        literal = np.where(literal == LITERAL, BLANK, literal)
+        hits.append((1, strange, np.where(literal < 0x80, vocab.byte_id[literal & 0x7F], -1 - literal).astype(np.int32)))
+        degree = np.bincount(np.concatenate([source for _, source, _ in hits]), minlength=len(where))
+        self.first = np.zeros(len(where) + 1, kind)
         np.cumsum(degree, out=self.first[1:])
         self.to, self.piece = np.empty(self.first[-1], kind), np.empty(self.first[-1], np.int32)
         free = self.first[:-1].copy()
-        for size, source, piece in [*hits, (1, strange, spelt)]:
+        for size, source, piece in hits:
             edge = picked(free, source)
             free[source] = edge + 1
-            self.to[edge] = np.where(picked(far, source) == size, -1, source + size)
+            self.to[edge] = np.where(picked(far, source) == size, -1, picked(of, picked(where, source) + size))
             self.piece[edge] = piece
-        # Log sums of all ways to the end, from the last characters to the first.
-        total = np.zeros(len(chars) + 1)
-        longest = int(far.max()) if len(far) else 0
-        by_far = np.argsort(far.astype(np.uint16) if longest < 1 << 16 else far, kind="stable")
-        cuts = np.searchsorted(picked(far, by_far), np.arange(1, longest + 2))
-        degree = picked(degree, by_far)
-        heads = np.cumsum(degree) - degree
-        edges = ranges(picked(self.first, by_far), degree)
-        piece, to = picked(self.piece, edges), picked(self.to, edges)
-        to[to < 0] = len(chars)
-        weight = picked(vocab.weight, piece)
-        strange = np.flatnonzero(piece < 0)
-        literal = -1 - piece[strange]
+        weight = picked(vocab.weight, self.piece)
+        strange = np.flatnonzero(self.piece < 0)
+        literal = -1 - self.piece[strange]
         weight[strange] = (2 + (literal >= 0x800).astype(int) + (literal >= 0x10000)) * vocab.byte_weight
-        for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
-            nodes, many = by_far[a:b], degree[a:b]
-            here = slice(heads[a], heads[b] if b < len(heads) else None)
-            value, head = weight[here], heads[a:b] - heads[a]
+        # Log sums of all ways to the end; the end's is 0.
+        total = np.zeros(len(where) + 1)
+        to = np.where(self.to < 0, len(where), self.to)
+        for a, b in pairwise(bounds):
+            here, many = slice(self.first[a], self.first[b]), degree[a:b]
+            value, head = weight[here], self.first[a:b] - self.first[a]
             value += picked(total, to[here])
             top = np.maximum.reduceat(value, head)
             power = value - np.repeat(top, many)
             np.exp(power, out=power)
-            total[nodes] = top = top + np.log(np.add.reduceat(power, head))
+            total[a:b] = top = top + np.log(np.add.reduceat(power, head))
             value -= np.repeat(top, many)
-        self.log_prob = np.empty(len(edges))
-        self.log_prob[edges] = weight
-        self.before = np.zeros(len(edges))
+        self.log_prob = weight
+        self.before = np.zeros(len(weight))
         prob = np.exp(self.log_prob)
         edge, size = self.first[:-1], np.diff(self.first)
         nth = 1
@@ -340,17 +357,21 @@ class Lattices:
         """Those of the chosen chunks, in their order."""
         out = object.__new__(Lattices)
         kind = self.first.dtype
-        begin = self.start[chosen]
-        sizes = np.diff(np.append(self.start, len(self.first) - 1))[chosen]
-        out.start = (np.cumsum(sizes) - sizes).astype(kind)
-        nodes = ranges(begin, sizes)
-        degree = self.first[nodes + 1] - self.first[nodes]
-        out.first = np.zeros(len(nodes) + 1, kind)
-        np.cumsum(degree, out=out.first[1:])
-        many = self.first[begin + sizes] - self.first[begin]
-        edges = ranges(self.first[begin], many)
+        seen, degree = np.zeros(len(self.first) - 1, bool), np.diff(self.first)
+        front = picked(self.start, chosen)
+        while len(front):
+            seen[front] = True
+            front = picked(self.to, ranges(picked(self.first, front), picked(degree, front)))
+            front = front[front >= 0]
+            front = np.unique(front[~seen[front]])
+        nodes = np.flatnonzero(seen)
+        new = (np.cumsum(seen) - 1).astype(kind)
+        degree = degree[nodes]
+        edges = ranges(self.first[nodes], degree)
+        out.start = new[self.start[chosen]]
+        out.first = np.append(0, np.cumsum(degree)).astype(kind)
         to = self.to[edges]
-        out.to = np.where(to < 0, -1, to + np.repeat(out.start - begin, many)).astype(kind)
+        out.to = np.where(to < 0, -1, new[to])
         for name in ("piece", "log_prob", "before"):
             setattr(out, name, getattr(self, name)[edges])
         return out
